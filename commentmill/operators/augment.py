@@ -53,6 +53,16 @@ def join_tokens(toks: Column) -> Column:
     return F.array_join(toks, " ")
 
 
+def on_tokens(text: Column, least: int, edit) -> Column:
+    """Edit the token array; text with fewer than ``least`` tokens is left as it is.
+
+    ``text`` is bound once: a chain of such steps collapses into one expression, and a
+    second reference would double the work at every step of the chain.
+    """
+    return bind(text, lambda t: bind(tokens(t), lambda toks: F.when(
+        F.size(toks) < least, t).otherwise(join_tokens(edit(toks)))))
+
+
 def _lowest(hashes: Column, k: Column) -> Column:
     """The k-th smallest hash of an array: a threshold that k positions pass."""
     return F.get(F.array_sort(hashes), k - 1)
@@ -82,8 +92,7 @@ def _replace_positions(text: Column, key: Column, seed: int, op: str, share: flo
 
         return F.transform(toks, at)
 
-    return bind(tokens(text), lambda toks: F.when(F.size(toks) < 2, text).otherwise(
-        join_tokens(with_hashes(toks))))
+    return on_tokens(text, 2, with_hashes)
 
 
 def synonym_lookup(synonyms: Mapping[str, list[str]] | None):
@@ -154,28 +163,31 @@ def _token_udf(edit, least: int):
     edit copies the whole array (edits x tokens per row); a mutable list does it in place.
     """
 
-    @F.pandas_udf("array<string>")
-    def run(toks: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([edit(list(t), k) if len(t) >= least else list(t)
-                          for t, k in zip(toks, key)])
+    def one(text: str, key: str) -> str:
+        toks = text.split()
+        return " ".join(edit(toks, key)) if len(toks) >= least else text
 
-    return run
+    @F.pandas_udf("string")
+    def run(text: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([one(t, k) for t, k in zip(text, key)], dtype=object)
+
+    # Spark cannot hand an expression with nested lambdas to Python. Neither the step before
+    # nor this one may therefore be folded into another expression: the input is named twice,
+    # and the function is declared non-deterministic (it is not: it only hashes its input).
+    run = run.asNondeterministic()
+    return lambda text, key: F.when(text == "", text).otherwise(run(text, key.cast("string")))
 
 
 def random_swap(text: Column, key: Column, seed: int, share: float, op: str = "swap") -> Column:
     run = _token_udf(lambda t, k: swap_tokens(t, k, seed, share, op), 2)
-    toks = tokens(text)
-    return F.when(F.size(toks) < 2, text).otherwise(
-        join_tokens(run(toks, key.cast("string"))))
+    return run(text, key)
 
 
 def random_insertion(text: Column, key: Column, seed: int, share: float,
                      synonyms: Mapping[str, list[str]] | None = None) -> Column:
     table = tidy_synonyms(synonyms or {})
     run = _token_udf(lambda t, k: insert_tokens(t, k, seed, share, table), 1)
-    toks = tokens(text)
-    return F.when(F.size(toks) < 1, text).otherwise(
-        join_tokens(run(toks, key.cast("string"))))
+    return run(text, key)
 
 
 def random_deletion(text: Column, key: Column, seed: int, share: float) -> Column:
@@ -189,8 +201,7 @@ def random_deletion(text: Column, key: Column, seed: int, share: float) -> Colum
             lambda kept: F.when(F.size(kept) > 0, kept).otherwise(
                 F.array(F.get(toks, F.array_position(h, F.array_max(h)).cast("int") - 1)))))
 
-    return bind(tokens(text), lambda toks: F.when(F.size(toks) <= 2, text).otherwise(
-        join_tokens(drop(toks))))
+    return on_tokens(text, 3, drop)
 
 
 def back_translation(text: Column) -> Column:
@@ -201,15 +212,15 @@ def back_translation(text: Column) -> Column:
         return F.concat(F.slice(toks, 1, 1), F.reverse(F.slice(toks, F.lit(2), n - 2)),
                         F.slice(toks, n, F.lit(1)))
 
-    return bind(tokens(text), lambda toks: F.when(F.size(toks) <= 3, text).otherwise(
-        join_tokens(turn(toks))))
+    return on_tokens(text, 4, turn)
 
 
-def paraphrase(text: Column, key: Column, seed: int,
-               synonyms: Mapping[str, list[str]] | None = None) -> Column:
-    """Synonyms at 15 %, then swaps at 5 %."""
-    swapped = synonym_replacement(text, key, seed, 0.15, synonyms, op="paraphrase.synonym")
-    return random_swap(swapped, key, seed, 0.05, op="paraphrase.swap")
+def paraphrase(key: Column, seed: int, synonyms: Mapping[str, list[str]] | None = None) -> list:
+    """Two steps: synonyms at 15 %, then swaps at 5 %."""
+    return [
+        lambda text: synonym_replacement(text, key, seed, 0.15, synonyms, "paraphrase.synonym"),
+        lambda text: random_swap(text, key, seed, 0.05, "paraphrase.swap"),
+    ]
 
 
 def sentences(text: Column) -> Column:
@@ -222,15 +233,14 @@ def sentence_shuffle(text: Column, key: Column, seed: int) -> Column:
             draw_hex(seed, key, "sentence", i).alias("h"), i.alias("i"), s.alias("s")))
         return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["s"]), " ")
 
-    return bind(sentences(text), lambda sents: F.when(F.size(sents) < 2, text).otherwise(
-        shuffled(sents)))
+    return bind(text, lambda t: bind(
+        sentences(t), lambda sents: F.when(F.size(sents) < 2, t).otherwise(shuffled(sents))))
 
 
 def sentence_crop(text: Column, share: float) -> Column:
     """Drop the last ``max(1, floor(n * min(share, 0.4)))`` tokens."""
-    return bind(tokens(text), lambda toks: F.when(F.size(toks) <= 4, text).otherwise(
-        join_tokens(F.slice(toks, F.lit(1),
-                            F.size(toks) - share_count(F.size(toks), min(share, 0.4))))))
+    return on_tokens(text, 5, lambda toks: F.slice(
+        toks, F.lit(1), F.size(toks) - share_count(F.size(toks), min(share, 0.4))))
 
 
 def noise_injection(text: Column, key: Column, seed: int, share: float) -> Column:
@@ -269,34 +279,47 @@ def noise_injection(text: Column, key: Column, seed: int, share: float) -> Colum
         return bind(F.array_sort(draws), lambda all_draws: bind(
             last_per_place(all_draws), lambda d: rebuild(chars, d)))
 
-    return F.when(F.length(text) == 0, text).otherwise(bind(F.split(text, ""), noisy))
+    return bind(text, lambda t: F.when(F.length(t) == 0, t).otherwise(
+        bind(F.split(t, ""), noisy)))
 
 
 # --- the configured chain ------------------------------------------------------------
 
 
-def augment_expr(text: Column, key: Column, cfg: AugmentConfig, seed: int = 42,
-                 synonyms: Mapping[str, list[str]] | None = None) -> Column:
-    s, out = cfg.strength, text
+def augment_steps(key: Column, cfg: AugmentConfig, seed: int = 42,
+                  synonyms: Mapping[str, list[str]] | None = None) -> list:
+    """The switched-on steps in their fixed order, each a Column -> Column function."""
+    s = cfg.strength
+    steps = []
     if cfg.synonym_replacement:
-        out = synonym_replacement(out, key, seed, s, synonyms)
+        steps.append(lambda t: synonym_replacement(t, key, seed, s, synonyms))
     if cfg.random_insertion:
-        out = random_insertion(out, key, seed, s, synonyms)
+        steps.append(lambda t: random_insertion(t, key, seed, s, synonyms))
     if cfg.random_swap:
-        out = random_swap(out, key, seed, s)
+        steps.append(lambda t: random_swap(t, key, seed, s))
     if cfg.random_deletion:
-        out = random_deletion(out, key, seed, s)
+        steps.append(lambda t: random_deletion(t, key, seed, s))
     if cfg.back_translation:
-        out = back_translation(out)
+        steps.append(back_translation)
     if cfg.paraphrasing:
-        out = paraphrase(out, key, seed, synonyms)
+        steps += paraphrase(key, seed, synonyms)
     if cfg.sentence_shuffling:
-        out = sentence_shuffle(out, key, seed)
+        steps.append(lambda t: sentence_shuffle(t, key, seed))
     if cfg.sentence_cropping:
-        out = sentence_crop(out, s)
+        steps.append(lambda t: sentence_crop(t, s))
     if cfg.noise_injection:
-        out = noise_injection(out, key, seed, s)
-    return out
+        steps.append(lambda t: noise_injection(t, key, seed, s))
+    return steps
+
+
+def apply_steps(df: DataFrame, text_col: str, steps: list, output: str) -> DataFrame:
+    """One projection per step, so that every step reads its input as a plain column."""
+    out = df.withColumn("_raw", as_text(F.col(text_col))).withColumn("_text", F.col("_raw"))
+    for step in steps:
+        out = out.withColumn("_text", step(F.col("_text")))
+    raw = F.col("_raw")
+    return out.withColumn(output, F.when(is_blank(raw), raw).otherwise(F.col("_text"))).drop(
+        "_raw", "_text")
 
 
 def augment(df: DataFrame, text_col: str, cfg: AugmentConfig, *, key: str, seed: int = 42,
@@ -305,8 +328,5 @@ def augment(df: DataFrame, text_col: str, cfg: AugmentConfig, *, key: str, seed:
     """Add the augmented text. The source is ``processed_text`` where present; masked text
     derived from an older version is dropped. Blank text is unchanged."""
     source = "processed_text" if "processed_text" in df.columns else text_col
-    text = F.col("_text")
-    with_text = df.withColumn("_text", as_text(F.col(source)))
-    done = with_text.withColumn(output, F.when(is_blank(text), text).otherwise(
-        augment_expr(text, F.col(key), cfg, seed, synonyms)))
-    return done.drop("_text", "clean_text", "clean_replacements")
+    steps = augment_steps(F.col(key), cfg, seed, synonyms)
+    return apply_steps(df, source, steps, output).drop("clean_text", "clean_replacements")

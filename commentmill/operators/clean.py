@@ -53,6 +53,11 @@ def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+# Declared non-deterministic (it is not) so that the optimizer never folds it into the
+# nested lambdas of a later step, where Spark cannot run Python. Filter before this step.
+_nfkc = _nfkc.asNondeterministic()
+
+
 def normalize_unicode(col: Column) -> Column:
     """NFKC. Spark has no built-in for it; rows that cannot change are sent as null."""
     needs = F.when(col.rlike(within(r"\u0080-\x{10ffff}", f"^{NFKC_STABLE}")), col)

@@ -136,12 +136,12 @@ def sanitize_expr(text: Column, terms: Iterable[str] | None = None, *, mode: str
             chain = bind(chain, replace_separated(term))
         return F.when(s["clean_text"].rlike(any_separated), chain).otherwise(s)
 
-    def both_stages(found: Column) -> Column:
-        first = state(_replace_direct(text, pattern, found, phrases, mask_token),
+    def both_stages(t: Column, found: Column) -> Column:
+        first = state(_replace_direct(t, pattern, found, phrases, mask_token),
                       F.array_distinct(found))
         return bind(first, second_stage)
 
-    return bind(_hits(text, pattern), both_stages)
+    return bind(text, lambda t: bind(_hits(t, pattern), lambda found: both_stages(t, found)))
 
 
 def sanitize(df: DataFrame, text_col: str, terms: Iterable[str] | None = None, *,
