@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from commentmill.functions.numbers import draw_hex, draw_int, hex_threshold
 from commentmill.functions.text import WS, as_text, bind, is_blank, strip, tokens
@@ -125,6 +126,44 @@ def synonym_replacement(text: Column, key: Column, seed: int, share: float,
     return _replace_positions(text, key, seed, op, share, synonym_lookup(synonyms))
 
 
+def synonyms_from_table(df: DataFrame, text_col: str, synonyms: DataFrame, *, key: str,
+                        seed: int = 42, share: float = 0.1,
+                        output: str = AUGMENTED) -> DataFrame:
+    """Synonym replacement from a (word, synonym) table of any size.
+
+    Only the k drawn tokens of a row travel: they are joined with the words (one row each, its
+    options gathered) and the picks come back per row. A frequent word makes a hot key on the
+    token side only, which Spark splits when it broadcasts the words or handles the skew.
+    ``key`` must be unique.
+    """
+    words = synonyms.select(F.lower("word").alias("word"),
+                            F.translate("synonym", "_", " ").alias("s")).filter(
+        (F.lower("s") != F.col("word")) & ~F.col("s").rlike(r"[^\x00-\x7f]"))
+    words = words.groupBy("word").agg(F.array_sort(F.collect_set("s")).alias("options"))
+
+    def drawn(toks: Column) -> Column:
+        hashes = F.transform(toks, lambda _, i: draw_hex(seed, F.col(key), "synonym", i))
+        return bind(hashes, lambda h: bind(
+            _lowest(h, share_count(F.size(toks), share)), lambda top: F.filter(
+                F.transform(toks, lambda t, i: F.when(F.get(h, i) <= top, F.struct(
+                    i.alias("i"), F.lower(F.regexp_replace(t, ASCII_EDGES, "")).alias("word")))),
+                lambda x: x.isNotNull())))
+
+    base = df.withColumn("_toks", tokens(as_text(F.col(text_col))))
+    long = base.filter(F.size("_toks") >= 2).select(
+        F.col(key).alias("_k"), F.inline(bind(F.col("_toks"), drawn)))
+    pick = F.get("options", draw_int(draw_hex(seed, F.col("_k"), "synonym.pick", F.col("i")),
+                                     F.size("options")).cast("int"))
+    picks = long.join(words, "word").groupBy("_k").agg(
+        F.map_from_entries(F.collect_list(F.struct("i", pick.alias("pick")))).alias("_picks"))
+    joined = base.join(picks, F.col(key) == F.col("_k"), "left")
+    new = F.transform("_toks", lambda t, i: F.coalesce(F.try_element_at("_picks", i), t))
+    text = as_text(F.col(text_col))
+    out = F.when(F.size("_toks") < 2, text).otherwise(join_tokens(
+        F.when(F.col("_picks").isNull(), F.col("_toks")).otherwise(new)))
+    return joined.withColumn(output, out).drop("_toks", "_k", "_picks")
+
+
 def _draw(seed: int, key: str, op: str, pos: str, bound: int) -> int:
     """Python twin of ``draw_int(draw_hex(...))``."""
     digest = hashlib.md5(f"{seed}:{key}:{op}:{pos}".encode()).hexdigest()
@@ -167,7 +206,7 @@ def _token_udf(edit, least: int):
         toks = text.split()
         return " ".join(edit(toks, key)) if len(toks) >= least else text
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(text: pd.Series, key: pd.Series) -> pd.Series:
         return pd.Series([one(t, k) for t, k in zip(text, key)], dtype=object)
 

@@ -10,6 +10,7 @@ from dataclasses import dataclass, fields
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from commentmill.functions import lexicons as lex
 from commentmill.functions.text import (
@@ -48,7 +49,7 @@ NFKC_STABLE = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
