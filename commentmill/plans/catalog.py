@@ -65,7 +65,7 @@ def _one(name: str, step: Callable[[Column], Column], cols: str = "text") -> Non
 def social(text: Column, key: Column) -> Column:
     """The document as a social-media post."""
     k = key.cast("string")
-    return F.concat(F.lit("rt : @user"), k, F.lit(" “”see​ https://ex.org/p"), k,
+    return F.concat(F.lit("rt : @user"), k, F.lit(" \u201c\u201dsee\u200b https://ex.org/p"), k,
                     F.lit(" or WWW.ex.org mail bob.x"), k,
                     F.lit("@mail.example.com now #topic ##deep what?!?! <b>so</b> "), text)
 
@@ -87,7 +87,7 @@ def disguised(text: Column) -> Column:
 # --- cleaning ----------------------------------------------------------------------------
 
 _one("clean_invisible_and_fences", lambda t: clean.collapse_quote_fences(
-    clean.strip_invisible(F.concat(F.lit('«»"a​b﻿ '), t))))
+    clean.strip_invisible(F.concat(F.lit('\u00ab\u00bb"a\u200bb\ufeff '), t))))
 _one("clean_elongations", clean.reduce_elongations)
 _one("clean_lowercase", clean.lowercase)
 _one("clean_punctuation", clean.remove_punctuation)
@@ -97,7 +97,7 @@ _one("clean_whitespace", clean.normalize_whitespace)
 _one("clean_blank_to_empty", lambda t: clean.blank_to_empty(clean.remove_punctuation(
     F.regexp_replace(t, "[A-Za-z]", ""))))
 _one("clean_unicode", lambda t: clean.normalize_unicode(F.translate(
-    t, "0123456789", "０１２３４５６７８９")))
+    t, "0123456789", "\uff10\uff11\uff12\uff13\uff14\uff15\uff16\uff17\uff18\uff19")))
 _one("clean_token_phrases", lambda t: clean.map_tokens(
     chatty(t), {**lex.SLANG, **lex.CONTRACTIONS}))
 
@@ -291,7 +291,7 @@ def training_pair_verdicts(spark, sf_dir):
 @query
 def blank_row_counts(spark, sf_dir):
     d = documents(spark, sf_dir).withColumn("text", F.when(
-        F.col("doc_id") % 9 == 0, F.lit(" 　\t\n")).when(
+        F.col("doc_id") % 9 == 0, F.lit(" \u3000\t\n")).when(
         F.col("doc_id") % 9 == 1, F.lit(None)).otherwise(F.col("text")))
     return rows.blank_counts(d, "text")
 
