@@ -340,7 +340,19 @@ def analyses(df: DataFrame, obj: str = "obj") -> DataFrame:
         F.lit("scores must be an object or an array of six"))
     bad = [F.when(F.col(c).isNull(), F.lit(f"score '{c}' is missing or not a whole number 0-100"))
            for c in (*lex.SCORE_FIELDS, "overall_score")]
-    return read.withColumn("error", F.coalesce(shape, *bad)).drop("_types", "_scores", "_cats")
+    nothing = F.when(o.isNull(), F.lit("no scored result was returned"))
+    return read.withColumn("error", F.coalesce(nothing, shape, *bad)).drop("_types", "_scores", "_cats")
+
+
+def expected_rows(df: DataFrame, raw_col: str = "raw", ids_col: str = "row_ids") -> DataFrame:
+    """One line per expected row of each batch: ``row_id`` and ``obj``, the first object of
+    that id or null. Objects of other ids are dropped. Ids of a batch are few, so this is a
+    look-up inside the row and shuffles nothing."""
+    read = df.withColumn("_rows", F.coalesce(parse_rows(F.col(raw_col)), _no_variants()))
+    known = read.withColumn("_ids", F.transform("_rows", row_id_of))
+    one = known.select(*df.columns, "_rows", "_ids", F.explode(ids_col).alias("row_id"))
+    place = F.array_position("_ids", F.col("row_id")).cast("int")
+    return one.withColumn("obj", F.when(place > 0, F.get("_rows", place - 1))).drop("_rows", "_ids")
 
 
 def explode_rows(df: DataFrame, raw_col: str = "raw") -> DataFrame:

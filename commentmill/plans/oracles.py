@@ -229,9 +229,9 @@ def scan_cte(source: str, key: str, terms: list[str], text: str = "text", more:
         f"(SELECT k, regexp_extract_all(t, {word}) AS a FROM src) UNION ALL "
         f"SELECT k, 2, generate_subscripts(a, 1), unnest(a) FROM "
         f"(SELECT k, regexp_extract_all({undisguise('t')}, {word}) AS a FROM src)), "
-        f"terms AS (SELECT k, regexp_extract(lower(w), {q(full)}, 1) AS term, min((pass, pos)) AS at "
+        f"terms AS (SELECT k, regexp_extract(lower(w), {q(full)}, 1) AS term, min((pass, pos)) AS seen "
         f"FROM words WHERE regexp_matches(lower(w), {q(full)}) GROUP BY ALL), "
-        "hits AS (SELECT k, count(*)::INT AS n, string_agg(term, ', ' ORDER BY at) AS m FROM terms GROUP BY k) "
+        "hits AS (SELECT k, count(*)::INT AS n, string_agg(term, ', ' ORDER BY seen) AS m FROM terms GROUP BY k) "
     )
 
 
@@ -287,19 +287,21 @@ def synonym_sql(op: str = "synonym", share: str = "0.1", source: str = TOKS,
     )
 
 
-def swap_sql(share: str = "0.1", op: str = "swap") -> str:
+def swap_sql(share: str = "0.1", op: str = "swap", source: str = "documents",
+             out: str = "out") -> str:
     """Swaps one after the other, as a fold over the swap list."""
     a = draw_int(op, "n", "j || ':a'")
     b = draw_int(op, "n - 1", "j || ':b'")
     return (
-        f"WITH {TOKS}, base AS (SELECT doc_id, text, a, len(a) AS n, greatest(1, floor(len(a) * {share}))::INT AS k FROM toks), "
+        f"WITH toks AS (SELECT doc_id, text, {toks('text')} AS a FROM {source}), base AS (SELECT doc_id, text, a, len(a) AS n, "
+        f"greatest(1, floor(len(a) * {share}))::INT AS k FROM toks), "
         f"draws AS (SELECT doc_id, j, {a} AS x, {b} AS y0 FROM (SELECT doc_id, n, unnest(range(k)) AS j FROM base WHERE n >= 2)), "
         "pairs AS (SELECT doc_id, list([(x + 1)::VARCHAR, (y0 + CASE WHEN y0 >= x THEN 1 ELSE 0 END + 1)::VARCHAR] ORDER BY j) AS ps "
         "FROM draws GROUP BY doc_id), "
         "done AS (SELECT doc_id, list_reduce(ps, lambda acc, p: list_transform(acc, lambda t, i: "
         "CASE WHEN i = p[1]::INT THEN acc[p[2]::INT] WHEN i = p[2]::INT THEN acc[p[1]::INT] ELSE t END), a) AS r "
         "FROM pairs JOIN base USING (doc_id)) "
-        "SELECT b.doc_id, CASE WHEN n < 2 THEN text ELSE array_to_string(r, ' ') END AS out FROM base b LEFT JOIN done USING (doc_id)"
+        "SELECT b.doc_id, CASE WHEN n < 2 THEN text ELSE array_to_string(r, ' ') END AS " + out + " FROM base b LEFT JOIN done USING (doc_id)"
     )
 
 
@@ -344,13 +346,13 @@ SHUFFLE = (
 )
 NOISE_INJECTION = (
     "WITH c AS (SELECT doc_id, text, string_split(text, '') AS a, greatest(1, floor(length(text) * 0.08))::INT AS k FROM documents), "
-    f"d AS (SELECT doc_id, j, {draw_int('noise.at', 'n', 'j')} AS at, {draw_int('noise.letter', '26', 'j')} AS l "
+    f"d AS (SELECT doc_id, j, {draw_int('noise.at', 'n', 'j')} AS place, {draw_int('noise.letter', '26', 'j')} AS l "
     "FROM (SELECT doc_id, len(a) AS n, unnest(range(k)) AS j FROM c)), "
-    "lastd AS (SELECT doc_id, at, arg_max(l, j) AS l FROM d GROUP BY ALL), "
+    "lastd AS (SELECT doc_id, place, arg_max(l, j) AS l FROM d GROUP BY ALL), "
     "ch AS (SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS ch FROM c) "
     f"SELECT ch.doc_id, string_agg(CASE WHEN l IS NULL OR regexp_matches(ch, {q(WS)}) THEN ch "
     "ELSE substr('abcdefghijklmnopqrstuvwxyz', l + 1, 1) END, '' ORDER BY pos) AS out "
-    "FROM ch LEFT JOIN lastd ON ch.doc_id = lastd.doc_id AND at = pos - 1 GROUP BY ch.doc_id"
+    "FROM ch LEFT JOIN lastd ON ch.doc_id = lastd.doc_id AND place = pos - 1 GROUP BY ch.doc_id"
 )
 SYNONYM_TABLE = (
     "WITH src AS (SELECT doc_id, concat_ws(' ', 'nation_' || doc_id % 25, text, 'nation_' || doc_id % 25) AS text FROM documents), "
@@ -562,6 +564,8 @@ def oracle_sql() -> dict[str, str]:
         "augment_synonyms": synonym_sql(),
         "augment_insertion": insertion_sql(),
         "augment_swap": swap_sql(),
+        "augment_paraphrase": swap_sql("0.05", "paraphrase.swap", "(" + synonym_sql(
+            "paraphrase.synonym", "0.15", out="text") + ")", "augmented_text"),
         "augment_deletion": DELETION,
         "augment_back_translation": BACK,
         "augment_sentence_shuffle": SHUFFLE,

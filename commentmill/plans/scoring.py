@@ -62,34 +62,41 @@ def pack(items: DataFrame, *, max_rows: int = 1, budget: int | None = None,
     limit = F.lit(input_budget() if budget is None else budget)
     cost = F.greatest(F.lit(1), (tokens if tokens is not None else estimated_tokens(
         F.col("text"))) + ROW_OVERHEAD_TOKENS)
-    chunk = F.floor((F.col("row_id") - 1) / PACK_RANGE)
-    costs = full.select(chunk.alias("chunk"), "row_id", cost.alias("cost"))
-    ranges = costs.groupBy("chunk").agg(F.array_sort(F.collect_list(
-        F.struct("row_id", "cost"))).alias("rows"))
+    # One shuffle: the texts are dealt by range, and gathering the counts, joining the result
+    # back and building the prompts all use that partitioning.
+    dealt = full.withColumn("pack_range", F.floor((F.col("row_id") - 1) / PACK_RANGE)).withColumn(
+        "_cost", cost).repartition("pack_range")
+    ranges = dealt.groupBy("pack_range").agg(F.array_sort(F.collect_list(
+        F.struct("row_id", F.col("_cost").alias("cost")))).alias("_rows"))
 
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("tokens"), F.lit(0).alias("batch"),
-                     F.array().cast("array<struct<row_id:bigint,batch:int>>").alias("out"))
+                     F.array().cast("array<int>").alias("out"))
 
     def place(s: Column, r: Column) -> Column:
         fresh = (s["n"] > 0) & ((s["tokens"] + r["cost"] > limit) | (s["n"] >= max_rows))
         batch = s["batch"] + F.when(fresh, 1).otherwise(0)
-        line = F.struct(r["row_id"].alias("row_id"), batch.alias("batch"))
         return F.struct(F.when(fresh, 1).otherwise(s["n"] + 1).alias("n"),
                         F.when(fresh, r["cost"]).otherwise(s["tokens"] + r["cost"]).alias("tokens"),
-                        batch.alias("batch"), F.array_append(s["out"], line).alias("out"))
+                        batch.alias("batch"), F.array_append(s["out"], batch).alias("out"))
 
-    placed = ranges.select("chunk", F.inline(F.aggregate("rows", empty, place,
-                                                         lambda s: s["out"])))
-    ids = placed.select("row_id", F.concat_ws(".", "chunk", "batch").alias("batch_id"))
-    return full.join(ids, "row_id")
+    placed = ranges.select("pack_range", F.col("_rows.row_id").alias("_ids"),
+                           F.aggregate("_rows", empty, place, lambda s: s["out"]).alias("_batches"))
+    at = F.array_position("_ids", F.col("row_id")).cast("int") - 1
+    return dealt.join(placed, "pack_range").withColumn(
+        "batch_id", F.concat_ws(".", "pack_range", F.get("_batches", at))).drop(
+        "_ids", "_batches", "_cost")
 
 
 def batch_prompts(packed: DataFrame, instruction: str = "") -> DataFrame:
     """(batch_id, row_ids, prompt): the instruction, then ``id: text`` lines in row order."""
     line = F.concat(F.col("row_id").cast("string"), F.lit(": "),
                     strip(F.translate("text", "\r\n", "  ")))
-    lines = packed.select("batch_id", F.struct("row_id", line.alias("line")).alias("r"))
-    grouped = lines.groupBy("batch_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    if "pack_range" not in packed.columns:  # one row per batch
+        return packed.select("batch_id", F.array("row_id").alias("row_ids"),
+                             F.concat(F.lit(instruction), line).alias("prompt"))
+    lines = packed.select("pack_range", "batch_id", F.struct("row_id", line.alias("line")).alias("r"))
+    grouped = lines.groupBy("pack_range", "batch_id").agg(
+        F.array_sort(F.collect_list("r")).alias("rs"))
     return grouped.select("batch_id", F.col("rs.row_id").alias("row_ids"), F.concat(
         F.lit(instruction), F.array_join(F.col("rs.line"), "\n")).alias("prompt"))
 
@@ -115,13 +122,11 @@ def score_batches(prompts: DataFrame, scorer: ScorerFactory | Column) -> DataFra
     return prompts.mapInPandas(run, "batch_id string, row_ids array<bigint>, raw string")
 
 
-def batch_results(raw: DataFrame) -> DataFrame:
-    """Validated rows of a raw answer table, the first answer of each expected row id; rows
-    with ids the batch did not ask for are dropped. ``error`` tells invalid rows apart."""
-    lines = parse.explode_rows(raw).filter(
-        F.array_contains("row_ids", F.col("row_id")))
-    checked = parse.analyses(lines.select("row_id", "pos", "obj")).drop("obj")
-    return rows.first_per_key(checked, "row_id", "pos").drop("pos")
+def batch_results(raw: DataFrame, *, keep_raw: bool = False) -> DataFrame:
+    """One line per row a batch asked for: its validated analysis, or ``error``."""
+    lines = parse.expected_rows(raw)
+    cols = ["row_id", "obj"] + (["raw"] if keep_raw else [])
+    return parse.analyses(lines.select(*cols)).drop("obj")
 
 
 @dataclass
@@ -134,33 +139,29 @@ class Scored:
 
 
 def score_dataset(items: DataFrame, scorer: ScorerFactory | Column, *, max_rows: int = 1,
-                  budget: int | None = None, instruction: str = "",
+                  budget: int | None = None, instruction: str = "", keep_raw: bool = False,
                   keep: Callable[[DataFrame], DataFrame] = materialized) -> Scored:
     """Score prepared rows (see ``prepared``).
 
     Rows that a batch left out or got wrong are scored again, one per batch; an invalid row
-    does not cost its neighbours their results. Raw answers are written to reliable storage,
-    because they are read twice and the scorer is the expensive part.
+    does not cost its neighbours their results. Each pass is written to reliable storage: its
+    lines are read several times, and the scorer, the expensive part, must run once.
     """
 
     def answers(packed: DataFrame) -> DataFrame:
-        return batch_results(keep(score_batches(batch_prompts(packed, instruction), scorer)))
+        raw = score_batches(batch_prompts(packed, instruction), scorer)
+        return keep(batch_results(raw, keep_raw=keep_raw))
 
     packed = pack(items, max_rows=max_rows, budget=budget)
-    first = answers(packed)
-    good = first.filter(F.col("error").isNull()).drop("error")
+    last = answers(packed)
+    good = last.filter(F.col("error").isNull())
     if max_rows > 1:
-        again = packed.drop("batch_id").join(good.select("row_id"), "row_id", "left_anti")
-        second = answers(again.withColumn("batch_id", F.col("row_id").cast("string")))
-        good = good.unionByName(second.filter(F.col("error").isNull()).drop("error"))
-        said = second
-    else:
-        said = first
-    lost = packed.select("row_id").join(good.select("row_id"), "row_id", "left_anti")
-    reasons = said.filter(F.col("error").isNotNull()).select("row_id", "error")
-    failed = lost.join(reasons, "row_id", "left").select("row_id", F.coalesce(
-        "error", F.lit("no valid scored result was returned")).alias("error"))
-    return Scored(items, good, failed)
+        todo = last.filter(F.col("error").isNotNull()).select("row_id")
+        again = items.join(todo, "row_id", "left_semi")
+        last = answers(again.withColumn("batch_id", F.col("row_id").cast("string")))
+        good = good.unionByName(last.filter(F.col("error").isNull()))
+    failed = last.filter(F.col("error").isNotNull()).select("row_id", "error")
+    return Scored(items, good.drop("error"), failed)
 
 
 def row_results(scored: Scored) -> DataFrame:
@@ -185,7 +186,7 @@ def top_examples(results: DataFrame, n: int = 5) -> DataFrame:
 
 def error_report(failed: DataFrame, shown: int = 20) -> DataFrame:
     """The first errors by row, and how many more there are."""
-    more = F.greatest(F.lit(0), F.lit(failed.count() - shown))
+    more = F.lit(max(0, failed.count() - shown)).cast("bigint")
     return failed.orderBy("row_id").limit(shown).withColumn("n_more", more)
 
 
@@ -198,14 +199,18 @@ def summarize(source: DataFrame, text_col: str, scored: Scored, *, total_rows: i
     emptied = scored.prepared.filter(F.col("text") == "").count()
     failed = scored.failed.count()
     n = F.count(F.lit(1))
+
+    def number(x: int) -> Column:
+        return F.lit(x).cast("bigint")
+
     toxic = F.count_if(rows.is_toxic(overall=F.col("overall_score")))
     means = {c: F.rint(F.avg(c)).cast("int") for c in ("overall_score", *lex.SCORE_FIELDS)}
     return scored.results.agg(
         F.lit("Completed").alias("status"),
-        F.lit(counts["rows"] if total_rows is None else total_rows).alias("rows_in_dataset"),
-        F.lit(counts["rows"]).alias("rows"), n.alias("analyzed"),
-        F.lit(counts["skipped"]).alias("skipped"), F.lit(emptied).alias("emptied"),
-        F.lit(failed).alias("errors"), toxic.alias("toxic"), (n - toxic).alias("non_toxic"),
+        number(counts["rows"] if total_rows is None else total_rows).alias("rows_in_dataset"),
+        number(counts["rows"]).alias("rows"), n.alias("analyzed"),
+        number(counts["skipped"]).alias("skipped"), number(emptied).alias("emptied"),
+        number(failed).alias("errors"), toxic.alias("toxic"), (n - toxic).alias("non_toxic"),
         *[v.alias(f"avg_{c}") for c, v in means.items()])
 
 
