@@ -66,7 +66,7 @@ def on_tokens(text: Column, least: int, edit) -> Column:
 
 def _lowest(hashes: Column, k: Column) -> Column:
     """The k-th smallest hash of an array: a threshold that k positions pass."""
-    return F.get(F.array_sort(hashes), k - 1)
+    return F.get(F.sort_array(hashes), k - 1)
 
 
 # --- token operators -----------------------------------------------------------------
@@ -139,7 +139,7 @@ def synonyms_from_table(df: DataFrame, text_col: str, synonyms: DataFrame, *, ke
     words = synonyms.select(F.lower("word").alias("word"),
                             F.translate("synonym", "_", " ").alias("s")).filter(
         (F.lower("s") != F.col("word")) & ~F.col("s").rlike(r"[^\x00-\x7f]"))
-    words = words.groupBy("word").agg(F.array_sort(F.collect_set("s")).alias("options"))
+    words = words.groupBy("word").agg(F.sort_array(F.collect_set("s")).alias("options"))
 
     def drawn(toks: Column) -> Column:
         hashes = F.transform(toks, lambda _, i: draw_hex(seed, F.col(key), "synonym", i))
@@ -270,7 +270,7 @@ def sentence_shuffle(text: Column, key: Column, seed: int) -> Column:
     def shuffled(sents: Column) -> Column:
         keyed = F.transform(sents, lambda s, i: F.struct(
             draw_hex(seed, key, "sentence", i).alias("h"), i.alias("i"), s.alias("s")))
-        return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["s"]), " ")
+        return F.array_join(F.transform(F.sort_array(keyed), lambda x: x["s"]), " ")
 
     return bind(text, lambda t: bind(
         sentences(t), lambda sents: F.when(F.size(sents) < 2, t).otherwise(shuffled(sents))))
@@ -315,7 +315,7 @@ def noise_injection(text: Column, key: Column, seed: int, share: float) -> Colum
         n = F.size(chars)
         draws = F.transform(F.sequence(F.lit(0), share_count(n, min(share, 0.08)) - 1),
                             lambda j: place(j, n))
-        return bind(F.array_sort(draws), lambda all_draws: bind(
+        return bind(F.sort_array(draws), lambda all_draws: bind(
             last_per_place(all_draws), lambda d: rebuild(chars, d)))
 
     return bind(text, lambda t: F.when(F.length(t) == 0, t).otherwise(

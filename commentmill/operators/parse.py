@@ -121,7 +121,7 @@ def parse_rows(raw: Column) -> Column:
 def completed_row_ids(raw: Column) -> Column:
     """Sorted distinct row ids whose objects are complete."""
     ids = F.transform(F.transform(_all(as_text(raw), ROW_OBJECT), F.try_parse_json), row_id_of)
-    return F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(ids, lambda x: x.isNotNull())))
 
 
 def has_complete_container(raw: Column, opening: str) -> Column:

@@ -462,7 +462,7 @@ ITEMS = (
     f"WHERE {strip('text')} <> ''), full_items AS (SELECT * FROM items WHERE txt <> '')"
 )
 PACK = (
-    f"WITH RECURSIVE {ITEMS}, cost AS (SELECT floor((row_id - 1) / 512.0)::BIGINT AS chunk, row_id, "
+    f"WITH RECURSIVE {ITEMS}, cost AS (SELECT floor((row_id - 1) / 128.0)::BIGINT AS chunk, row_id, "
     f"len(regexp_extract_all(txt, {q(W + '+|' + f'[^{WB}{S}]')})) + 16 AS c FROM full_items), "
     "seq AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY row_id) AS i FROM cost), "
     "walk(chunk, i, row_id, n, t, b) AS (SELECT chunk, i, row_id, 1, c, 0 FROM seq WHERE i = 1 UNION ALL "

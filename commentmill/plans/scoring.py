@@ -22,7 +22,8 @@ from commentmill.operators.clean import CleanConfig, clean_expr
 
 ScorerFactory = Callable[[], Callable[[str], str]]
 # Rows are packed within fixed ranges of the row id, so batches do not depend on partitioning.
-PACK_RANGE = 512
+# A range holds this many full batches, so that its end leaves none of them short.
+BATCHES_PER_RANGE = 16
 MAX_BATCH_ROWS = 24
 ROW_OVERHEAD_TOKENS = 16
 
@@ -51,8 +52,8 @@ def pack(items: DataFrame, *, max_rows: int = 1, budget: int | None = None,
          tokens: Column | None = None) -> DataFrame:
     """Add ``batch_id``: greedy filling in row order up to a token budget and a row cap.
 
-    Ranges of ``PACK_RANGE`` row ids are packed on their own. Only ids and token counts are
-    gathered, at most ``PACK_RANGE`` per range; one row per batch needs no gathering at all.
+    Ranges of row ids are packed on their own. Only ids and token counts are gathered, a few
+    hundred per range; one row per batch needs no gathering at all.
     """
     if not 1 <= max_rows <= MAX_BATCH_ROWS:
         raise ValueError(f"rows per batch must be from 1 to {MAX_BATCH_ROWS}")
@@ -64,9 +65,10 @@ def pack(items: DataFrame, *, max_rows: int = 1, budget: int | None = None,
         F.col("text"))) + ROW_OVERHEAD_TOKENS)
     # One shuffle: the texts are dealt by range, and gathering the counts, joining the result
     # back and building the prompts all use that partitioning.
-    dealt = full.withColumn("pack_range", F.floor((F.col("row_id") - 1) / PACK_RANGE)).withColumn(
+    dealt = full.withColumn("pack_range", F.floor(
+        (F.col("row_id") - 1) / (BATCHES_PER_RANGE * max_rows))).withColumn(
         "_cost", cost).repartition("pack_range")
-    ranges = dealt.groupBy("pack_range").agg(F.array_sort(F.collect_list(
+    ranges = dealt.groupBy("pack_range").agg(F.sort_array(F.collect_list(
         F.struct("row_id", F.col("_cost").alias("cost")))).alias("_rows"))
 
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("tokens"), F.lit(0).alias("batch"),
@@ -96,7 +98,7 @@ def batch_prompts(packed: DataFrame, instruction: str = "") -> DataFrame:
                              F.concat(F.lit(instruction), line).alias("prompt"))
     lines = packed.select("pack_range", "batch_id", F.struct("row_id", line.alias("line")).alias("r"))
     grouped = lines.groupBy("pack_range", "batch_id").agg(
-        F.array_sort(F.collect_list("r")).alias("rs"))
+        F.sort_array(F.collect_list("r")).alias("rs"))
     return grouped.select("batch_id", F.col("rs.row_id").alias("row_ids"), F.concat(
         F.lit(instruction), F.array_join(F.col("rs.line"), "\n")).alias("prompt"))
 
