@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 
 def round_digits(col: Column, digits: int = 4) -> Column:
-    """Round a non-negative double to ``digits`` places, ties judged on its exact value
-    and broken to even (``F.round`` breaks them upwards, on the printed value)."""
-    return F.regexp_replace(F.format_number(col, digits), ",", "").cast("double")
+    """Round for display, ties to even."""
+    return F.bround(col, digits)
 
 
 def ratio(num: Column, den: Column) -> Column:

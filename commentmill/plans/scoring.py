@@ -43,11 +43,18 @@ def prepared(df: DataFrame, text_col: str, cfg: CleanConfig, *, row_id: str = "r
              **lists) -> DataFrame:
     """(row_id, raw, text) of the rows that are not blank: raw is trimmed and kept for
     previews, text is raw cleaned. Rows that cleaning empties keep an empty text."""
-    raw = strip(as_text(F.col(text_col)))
-    kept = df.select(F.col(row_id).alias("row_id"), raw.alias("raw")).filter(F.col("raw") != "")
+    source = as_text(F.col(text_col))
+    kept = df.filter(~is_blank(source)).select(F.col(row_id).alias("row_id"),
+                                               strip(source).alias("raw"))
     return kept.withColumn("text", strip(clean_expr(F.col("raw"), cfg, **lists)))
 
 
+def _task_count(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+               spark.sparkContext.defaultParallelism)
+
+
 def pack(items: DataFrame, *, max_rows: int = 1, budget: int | None = None,
          tokens: Column | None = None) -> DataFrame:
     """Add ``batch_id``: greedy filling in row order up to a token budget and a row cap.
@@ -57,19 +64,23 @@ def pack(items: DataFrame, *, max_rows: int = 1, budget: int | None = None,
     """
     if not 1 <= max_rows <= MAX_BATCH_ROWS:
         raise ValueError(f"rows per batch must be from 1 to {MAX_BATCH_ROWS}")
-    full = items.filter(F.col("text") != "")
+    # Emptied rows are dropped without a filter on the text: a filter would be pushed below the
+    # cleaning and clean every row twice.
+    some = F.col("text") != ""
     if max_rows == 1:
-        return full.withColumn("batch_id", F.col("row_id").cast("string"))
+        return items.withColumn("batch_id", F.explode(F.when(
+            some, F.array(F.col("row_id").cast("string")))))
     limit = F.lit(input_budget() if budget is None else budget)
-    cost = F.greatest(F.lit(1), (tokens if tokens is not None else estimated_tokens(
-        F.col("text"))) + ROW_OVERHEAD_TOKENS)
-    # One shuffle: the texts are dealt by range, and gathering the counts, joining the result
+    cost = F.when(some, F.greatest(F.lit(1), (tokens if tokens is not None else estimated_tokens(
+        F.col("text"))) + ROW_OVERHEAD_TOKENS))
+    # One shuffle, into a fixed number of tasks (scoring costs far more than its bytes suggest,
+    # so the partitions must not be merged by size): the texts are dealt by range, and gathering the counts, joining the result
     # back and building the prompts all use that partitioning.
-    dealt = full.withColumn("pack_range", F.floor(
+    dealt = items.withColumn("pack_range", F.floor(
         (F.col("row_id") - 1) / (BATCHES_PER_RANGE * max_rows))).withColumn(
-        "_cost", cost).repartition("pack_range")
-    ranges = dealt.groupBy("pack_range").agg(F.sort_array(F.collect_list(
-        F.struct("row_id", F.col("_cost").alias("cost")))).alias("_rows"))
+        "_cost", cost).repartition(_task_count(items), "pack_range")
+    ranges = dealt.groupBy("pack_range").agg(F.sort_array(F.collect_list(F.when(
+        F.col("_cost").isNotNull(), F.struct("row_id", F.col("_cost").alias("cost"))))).alias("_rows"))
 
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("tokens"), F.lit(0).alias("batch"),
                      F.array().cast("array<int>").alias("out"))
@@ -83,9 +94,9 @@ def pack(items: DataFrame, *, max_rows: int = 1, budget: int | None = None,
 
     placed = ranges.select("pack_range", F.col("_rows.row_id").alias("_ids"),
                            F.aggregate("_rows", empty, place, lambda s: s["out"]).alias("_batches"))
-    at = F.array_position("_ids", F.col("row_id")).cast("int") - 1
-    return dealt.join(placed, "pack_range").withColumn(
-        "batch_id", F.concat_ws(".", "pack_range", F.get("_batches", at))).drop(
+    at = F.array_position("_ids", F.col("row_id")).cast("int")
+    return dealt.join(placed, "pack_range").filter(at > 0).withColumn(
+        "batch_id", F.concat_ws(".", "pack_range", F.get("_batches", at - 1))).drop(
         "_ids", "_batches", "_cost")
 
 
