@@ -61,8 +61,9 @@ def field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def _is(v: Column, name: str) -> Column:
-    return F.coalesce(kind(v) == name, F.lit(False))
+def is_object(v: Column) -> Column:
+    """Tested by a cast: describing the type of a large value would walk all of it."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def _no_variants() -> Column:
@@ -71,7 +72,7 @@ def _no_variants() -> Column:
 
 def items(v: Column) -> Column:
     """The elements of an array variant; null for anything else."""
-    return F.when(_is(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def as_string(v: Column) -> Column:
@@ -83,12 +84,12 @@ def as_string(v: Column) -> Column:
 
 def row_list(doc: Column) -> Column:
     """An array, or the ``results`` array of an object; null otherwise."""
-    return F.coalesce(items(doc), F.when(_is(doc, "OBJECT"), items(field(doc, "results"))))
+    return F.coalesce(items(doc), items(field(doc, "results")))
 
 
 def row_id_of(obj: Column) -> Column:
     """Whole-number row id; fractions are cut, numeric text is accepted, else null."""
-    return F.when(_is(obj, "OBJECT"), F.try_variant_get(obj, "$.row_id", "bigint"))
+    return F.try_variant_get(obj, "$.row_id", "bigint")
 
 
 def salvage_rows(text: Column) -> Column:
@@ -216,7 +217,7 @@ def parse_single(raw: Column) -> Column:
     def choose(t: Column, widest: Column, found: Column) -> Column:
         blobs = F.concat(F.reverse(found), F.array(t, widest))
         tries = F.flatten(F.transform(blobs, lambda b: F.array(b, repair_unions(b))))
-        strict = F.filter(F.transform(tries, strict_json), lambda v: _is(v, "OBJECT"))
+        strict = F.filter(F.transform(tries, strict_json), is_object)
         last = F.array(F.when(widest != "", widest).otherwise(t))
         loose = F.filter(F.transform(F.concat(F.reverse(found), last), loose_fields),
                          _says_something)
@@ -244,8 +245,7 @@ def six_scores(v: Column) -> dict[str, Column]:
     out = {}
     for i, name in enumerate(lex.SCORE_FIELDS):
         by_place = F.when(F.size(values) == len(lex.SCORE_FIELDS), F.get(values, F.lit(i)))
-        out[name] = F.when(_is(v, "OBJECT"), score(field(v, name))).when(
-            _is(v, "ARRAY"), score(by_place))
+        out[name] = F.coalesce(score(field(v, name)), score(by_place))
     return out
 
 
@@ -254,7 +254,7 @@ def _texts(v: Column, *, cut: bool) -> Column:
     listed = F.transform(items(v), lambda x: strip(F.coalesce(as_string(x), F.lit("None"))))
     said = F.split(as_string(v), ",") if cut else F.array(as_string(v))
     out = F.coalesce(listed, F.transform(said, strip))
-    return F.when(v.isNotNull() & ~_is(v, "VOID"), F.filter(out, lambda x: x != ""))
+    return F.when(v.isNotNull() & ~F.is_variant_null(v), F.filter(out, lambda x: x != ""))
 
 
 def _one_of(x: Column, allowed: Sequence[str]) -> Column:
@@ -322,7 +322,7 @@ def analyses(df: DataFrame, obj: str = "obj") -> DataFrame:
     """
     o = F.col(obj)
     types = F.when(field(o, "toxicity_type").isNull()
-                   & _is(field(o, "toxicity_types"), "ARRAY"), field(o, "toxicity_types")) \
+                   & items(field(o, "toxicity_types")).isNotNull(), field(o, "toxicity_types")) \
         .otherwise(field(o, "toxicity_type"))
     read = df.withColumn("_types", types).withColumn("_scores", field(o, "scores")).withColumn(
         "_cats", name_list(field(o, "category"), lex.CATEGORIES, ["None"]))
@@ -335,8 +335,8 @@ def analyses(df: DataFrame, obj: str = "obj") -> DataFrame:
         "toxicity_type": type_list(F.col("_types")),
         "explanation": strip(F.coalesce(as_string(field(o, "explanation")), F.lit(""))),
     })
-    shape = F.when(~(_is(F.col("_scores"), "OBJECT") | (
-        _is(F.col("_scores"), "ARRAY") & (F.size(items(F.col("_scores"))) == 6))),
+    shape = F.when(~(is_object(F.col("_scores")) | F.coalesce(
+        F.size(items(F.col("_scores"))) == 6, F.lit(False))),
         F.lit("scores must be an object or an array of six"))
     bad = [F.when(F.col(c).isNull(), F.lit(f"score '{c}' is missing or not a whole number 0-100"))
            for c in (*lex.SCORE_FIELDS, "overall_score")]

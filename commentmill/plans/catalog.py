@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentmill.functions import lexicons as lex
-from commentmill.functions.text import tokens
+from commentmill.functions.text import bind, tokens
 from commentmill.operators import (
     augment, clean, features, metrics, model, parse, profanity, profile, rows, stats,
 )
@@ -453,7 +453,7 @@ def faulty_scorer() -> Column:
     broken = F.regexp_replace(good, r'("row_id":\d*7,"overall_score":)\d+', "$112.5")
     first = F.get(F.col("row_ids"), F.lit(0))
     cut = (F.size("row_ids") > 1) & (first % 2 == 0)
-    return F.when(cut, F.substring(broken, F.lit(1), F.length(broken) - 12)).otherwise(broken)
+    return bind(broken, lambda b: F.when(cut, F.substring(b, F.lit(1), F.length(b) - 12)).otherwise(b))
 
 
 def _scored(spark, sf_dir) -> scoring.Scored:
