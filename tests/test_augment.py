@@ -72,8 +72,9 @@ def test_fixed_rules(df):
 def test_sentences_are_only_reordered(df):
     import re
     for before, after in zip(TEXTS, run(df, sentence_shuffling=True)):
-        cut = lambda t: sorted(x for x in re.split(r"(?<=[.!?])\s+", t.strip()) if x)
-        assert cut(before) == cut(after)
+        assert sorted(before.split()) == sorted(after.split())
+        if before.strip():
+            assert all(x in after for x in re.split(r"(?<=[.!?])\s+", before.strip()))
 
 
 def test_synonym_table_equals_literal_list(spark, df):
