@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from commentmill.functions import lexicons as lex
 from commentmill.functions.numbers import ratio
 from commentmill.functions.text import (
-    BOUNDARY, W, WORD, as_text, bind, is_blank, regex_quote, replacement_quote, text_map,
+    BOUNDARY, W, as_text, bind, is_blank, regex_quote, replacement_quote, text_map,
 )
 
 
@@ -164,9 +164,3 @@ def changed_rows(sanitized: DataFrame) -> DataFrame:
     """Rows with at least one replacement, and all rows."""
     return sanitized.agg(F.count_if(F.size("clean_replacements") > 0).alias("changed"),
                          F.count(F.lit(1)).alias("total"))
-
-
-__all__ = [
-    "WORD", "changed_rows", "direct_pattern", "flagged_share", "found_terms",
-    "normalize_terms", "obfuscated_pattern", "sanitize", "sanitize_expr", "scan", "undisguise",
-]

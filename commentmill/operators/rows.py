@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from commentmill.functions import lexicons as lex
 from commentmill.functions.numbers import draw_hex
-from commentmill.functions.text import as_text, bind, is_blank, strip
+from commentmill.functions.text import as_text, is_blank, strip
 
 DERIVED = ("clean_text", "augmented_text", "processed_text")  # newest version first
 SCAN_COLUMNS = ("has_profanity", "profanity_count", "profanity_matches")

@@ -123,3 +123,9 @@ def test_history(spark, tmp_path):
     assert history.totals(log.read()).first()["toxic_percent"] == 36.4
     assert history.timeline(log.read()).collect()[0]["comments"] == 11
     assert log.clear_user(1) == 2 and log.clear_user(1) == 0 and log.read().count() == 1
+
+
+def test_raw_answers_can_be_kept(items):
+    _, ready = items
+    s = scoring.score_dataset(ready.filter("row_id <= 4"), python_scorer, max_rows=2, keep_raw=True)
+    assert all(f'"row_id": {r["row_id"]}' in r["raw"] for r in s.results.collect())
