@@ -206,23 +206,24 @@ def error_report(failed: DataFrame, shown: int = 20) -> DataFrame:
 def summarize(source: DataFrame, text_col: str, scored: Scored, *, total_rows: int | None = None,
               row_id: str = "row_id") -> DataFrame:
     """One row: counts and half-even rounded means. ``rows`` is what was selected for scoring,
-    ``rows_in_dataset`` the whole table. ``emptied`` counts rows that cleaning left blank."""
+    ``rows_in_dataset`` the whole table. ``emptied`` counts rows that cleaning left blank: those
+    that are neither blank nor among the scored lines, so nothing is cleaned again."""
     counts = source.agg(F.count(F.lit(1)).alias("rows"), F.count_if(
         is_blank(as_text(F.col(text_col)))).alias("skipped")).first()
-    emptied = scored.prepared.filter(F.col("text") == "").count()
     failed = scored.failed.count()
     n = F.count(F.lit(1))
 
     def number(x: int) -> Column:
         return F.lit(x).cast("bigint")
 
+    kept = number(counts["rows"] - counts["skipped"] - failed)
     toxic = F.count_if(rows.is_toxic(overall=F.col("overall_score")))
     means = {c: F.rint(F.avg(c)).cast("int") for c in ("overall_score", *lex.SCORE_FIELDS)}
     return scored.results.agg(
         F.lit("Completed").alias("status"),
         number(counts["rows"] if total_rows is None else total_rows).alias("rows_in_dataset"),
         number(counts["rows"]).alias("rows"), n.alias("analyzed"),
-        number(counts["skipped"]).alias("skipped"), number(emptied).alias("emptied"),
+        number(counts["skipped"]).alias("skipped"), (kept - n).alias("emptied"),
         number(failed).alias("errors"), toxic.alias("toxic"), (n - toxic).alias("non_toxic"),
         *[v.alias(f"avg_{c}") for c, v in means.items()])
 
