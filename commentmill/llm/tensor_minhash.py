@@ -9,8 +9,9 @@ of the first and one of the second is a table key. So BUNDLES**2 = 100 tables of
 Rows meet at keys, never as all pairs: small buckets give their pairs, crowded ones connect every
 member with two leaders that differ from table to table. Every link is confirmed on full sets.
 Links inside a component that is already connected need no confirmation, so verification runs in
-rounds: one partner per set, then what is still apart. What crowded buckets may still hide, pairs of
-members that no leader connects, is found exactly by shared rare shingles (see ``_rare_pairs``).
+rounds: one partner per set, then what is still apart. A crowded bucket whose members are still in
+several components may hide a link that no leader shows; its members are compared exactly, by
+shared rare shingles, with what is outside their own component (see ``_rare_pairs``).
 
 Defined cases: null text is empty; an empty set links with nothing; a null id links with nothing
 and stays; rows of one id and one text are the same row repeated; an empty table gives an empty
@@ -105,7 +106,7 @@ def _sketch(width: int):
     return run
 
 
-def _set_arrays(width: int, share: tuple[int, int] | None = None):
+def _set_arrays(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = _WordHashes()
         for pdf in batches:
@@ -130,7 +131,7 @@ def _keys(reps: DataFrame) -> DataFrame:
 
 
 def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) that meet in a bucket, and the sets seen in crowded buckets."""
+    """Distinct pairs (a, b) that meet in a bucket, and the rows (key, rep) of crowded buckets."""
     keys = _keys(reps)
     flipped = F.col("rep").bitwiseXOR(F.col("flip"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(flipped).alias("lo"),
@@ -144,7 +145,7 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     lead = F.explode(F.array(F.col("lo").bitwiseXOR(F.col("flip")), F.col("hi").bitwiseXOR(F.col("flip"))))
     stars = (crowd.select("rep", lead.alias("lead")).filter("rep != lead")
              .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")))
-    return near.unionByName(stars).distinct(), crowd.select("rep").distinct()
+    return near.unionByName(stars).distinct(), crowd.select("key", "rep")
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -179,6 +180,35 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
             .drop("root_a", "root_b"))
 
 
+def _rare_pairs(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Exact candidates between different components of crowded buckets. Sets that similar share
+    one of their rarest shingles, counted among these sets, if each keeps
+    n - ceil(percent/100 * n) + 1 of them. Where sets share one, those outside the commonest
+    component meet the sets of other components; the many inside it do not meet each other."""
+    root = F.coalesce("root", "rep")
+    tagged = crowd.join(roots, crowd["rep"] == roots["node"], "left").select("key", "rep", root.alias("root"))
+    mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    members = materialized(tagged.join(mixed, "key", "left_semi").select("rep", "root").distinct())
+    posted = members.join(sets, "rep").select("rep", "root", F.size("shingles").alias("n"),
+                                              F.explode("shingles").alias("s"))
+    seen = posted.groupBy("s").agg(F.count("*").alias("c"))
+    ranked = posted.join(seen, "s").groupBy("rep", "root", "n").agg(
+        F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all"))
+    kept = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    rare = materialized(ranked.select("rep", "root", "n", F.explode(F.slice("all", F.lit(1), kept)).alias("e"))
+                        .select("rep", "root", "n", "e.s").filter("e.c > 1"))
+    by_root = rare.groupBy("s", "root").agg(F.count("*").alias("c"))
+    main = (by_root.groupBy("s").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots"))
+            .filter("roots > 1").select("s", F.col("m.root").alias("main")))
+    shared = rare.join(main, "s")
+    few = shared.filter("root != main").select("s", F.col("rep").alias("x"), F.col("root").alias("x_root"),
+                                               F.col("n").alias("x_n"))
+    met = few.join(shared, "s").filter(
+        (F.col("x_root") != F.col("root"))
+        & (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")))
+    return met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     percent: int = 80) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id (smallest id reachable over links
@@ -191,9 +221,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
         F.first("sig").alias("sig")))
     reps = groups.select("rep", "n", "sig")
-    found, crowded = _candidates(reps)
+    found, crowd = _candidates(reps)
     pairs = materialized(_agreeing(found, reps, percent))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("id"))
+              .unionByName(crowd.select(F.col("rep").alias("id"))).distinct())
     sets = materialized(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
                         .mapInPandas(_set_arrays(width), "rep bigint, shingles array<bigint>"))
     # one partner each first: most of a group is connected by these few confirmations
@@ -206,6 +237,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = _apart(pairs.select("a", "b"), roots).join(first, ["a", "b"], "left_anti")
     links = materialized(links.unionByName(_confirmed(rest, sets, percent)))
     roots = components(links)
+    hidden = _confirmed(_rare_pairs(crowd, roots, sets, percent), sets, percent)
+    roots = components(links.unionByName(hidden))
     total = sketches.count()
     facts = groups.join(roots, groups["rep"] == roots["node"], "left").select(
         "set_key", "copies", F.coalesce("root", "rep").alias("component_id"))
