@@ -63,3 +63,68 @@ SELECT s.doc_id, len(s.shingles) AS n_shingles,
   s.doc_id = coalesce(roots.root, sets.rep, s.doc_id) AS kept
 FROM s LEFT JOIN sets ON list_sort(s.shingles) = sets.shingles LEFT JOIN roots ON roots.node = sets.rep
 """
+
+# Shards take turns; the state of the recursion is the owner of every slot.
+SQL["op6_permutation_shards"] = """
+WITH RECURSIVE pref AS (
+  SELECT i, name, list_transform(range(2039), lambda j:
+      (('0x' || substr(md5(name || ':offset'), 1, 8))::BIGINT % 2039
+       + j * (('0x' || substr(md5(name || ':skip'), 1, 8))::BIGINT % 2038 + 1)) % 2039) AS slots
+  FROM (SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS name FROM range(16) t(i))),
+fill AS (
+  SELECT 0::BIGINT AS turn, list_transform(range(2039), lambda j: -1::BIGINT) AS owner
+  UNION ALL
+  SELECT turn + 1, list_concat(owner[1:slot], [i], owner[slot + 2:])
+  FROM (SELECT turn, owner, i, list_filter(slots, lambda s: owner[s + 1] = -1)[1] AS slot
+        FROM fill JOIN pref ON i = turn % 16 WHERE turn < 2039)),
+slots AS (SELECT unnest(range(2039)) AS slot, unnest(owner) AS i FROM fill WHERE turn = 2039),
+keys AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 2039 AS slot
+         FROM documents)
+SELECT doc_id, keys.slot, name AS shard FROM keys JOIN slots USING (slot) JOIN pref USING (i)
+"""
+
+
+def _level(source: str, path: str, parent: str, name: str, weight: str, out: str) -> str:
+    """One level of sharing a parent's amount out to children with caps."""
+    part = f"PARTITION BY {parent}"
+    order = f"{part} ORDER BY full_at, {name}"
+    return f"""
+{out}_a AS (SELECT *, {weight} AS weight FROM {source}),
+{out}_b AS (SELECT *, (cap * 1000) // weight AS full_at FROM {out}_a WHERE weight > 0),
+{out}_c AS (SELECT *, coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+  sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w FROM {out}_b),
+{out}_d AS (SELECT *, cap * w <= weight * (amount - spent) AS is_full FROM {out}_c),
+{out}_e AS (SELECT *, amount - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({part}) AS rest,
+  CASE WHEN is_full THEN 0 ELSE weight END AS ow FROM {out}_d),
+{out}_f AS (SELECT *, sum(ow) OVER ({part}) AS all_ow,
+  sum(ow) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM {out}_e),
+{out} AS (SELECT *, CASE WHEN is_full THEN cap
+    ELSE (rest * cum) // all_ow - (rest * (cum - ow)) // all_ow END AS given FROM {out}_f)"""
+
+
+SQL["op8_mix_budget"] = rf"""
+WITH t AS (
+  SELECT doc_id, lang AS lang0, source AS source0, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    (['web', 'books', 'forum'])[coalesce(try_cast(regexp_extract(coalesce(source, ''), '([0-9]{{1,6}})$', 1) AS BIGINT),
+                                         0) % 3 + 1] AS domain,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens
+  FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::HUGEINT AS tokens FROM t GROUP BY ALL),
+top AS (SELECT least(sum(tokens), sum(tokens * 2)) AS amount FROM leaves),
+l1 AS (SELECT 0 AS root, domain, sum(tokens * 2) AS cap, any_value(amount) AS amount FROM leaves, top GROUP BY domain),
+{_level("l1", "", "root", "domain", "CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 ELSE 2 END", "g1")},
+l2 AS (SELECT domain, lang, sum(tokens * 2) AS cap, any_value(given) AS amount
+       FROM leaves JOIN g1 USING (domain) GROUP BY domain, lang),
+{_level("l2", "", "domain", "lang", "CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 3 WHEN 'fr' THEN 2 ELSE 1 END", "g2")},
+l3 AS (SELECT domain, lang, source, tokens, tokens * 2 AS cap, given AS amount
+       FROM leaves JOIN (SELECT domain, lang, given FROM g2) USING (domain, lang)),
+{_level("l3", "", "domain, lang", "source", "CASE source WHEN 'src0' THEN 2 ELSE 1 END", "g3")},
+b AS (SELECT domain, lang, source, given // tokens AS epochs, given % tokens AS rest FROM g3 WHERE tokens > 0),
+d AS (SELECT t.*, epochs, rest, md5('7:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')) AS h
+      FROM t JOIN b USING (domain, lang, source)),
+o AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT doc_id, domain, lang0 AS lang, source0 AS source, unnest(range(epochs::BIGINT))::INT AS epoch, tokens FROM o
+UNION ALL
+SELECT doc_id, domain, lang0, source0, epochs::INT, tokens FROM o WHERE before < rest
+"""

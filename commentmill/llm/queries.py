@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentmill.llm import bloom_dedup, chat_prefix, tensor_minhash
+from commentmill.llm import (
+    ann_tree, bloom_dedup, chat_prefix, mix_budget, permutation_shards, tensor_minhash,
+)
 from commentmill.llm import oracles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +44,35 @@ def op5_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensor_minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+@query
+def op6_permutation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_shards.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 @query
 def op7_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.find_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The given tables name no domain, so sources are dealt to three of them by their number.
+DOMAINS = ("web", "books", "forum")
+MIX = mix_budget.Mix(weights={"domain": {"web": 5, "books": 3, "forum": 2}, "lang": {"en": 4, "de": 3, "fr": 2},
+                              "source": {"src0": 2}})
+
+
+def domain_of(source: str = "source") -> Column:
+    number = F.regexp_extract(F.coalesce(F.col(source), F.lit("")), "([0-9]{1,6})$", 1)
+    place = F.when(number == "", F.lit(0)).otherwise(number.try_cast("int") % len(DOMAINS))
+    return F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), place + 1)
+
+
+@query
+def op8_mix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_budget.mix_sources(table(spark, sf_dir, "documents"), domain_of(), MIX)
+    return mixed.select("doc_id", domain_of().alias("domain"), "lang", "source",
+                        F.col("__epoch").alias("epoch"), F.col("__tokens").alias("tokens"))
+
+
+@query
+def op9_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
