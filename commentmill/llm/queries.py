@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentmill.llm import (
-    ann_tree, bloom_dedup, chat_prefix, mix_budget, permutation_shards, tensor_minhash,
+    ann_tree, bloom_dedup, chat_prefix, mix_budget, permutation_shards, quality_rff,
+    tensor_minhash,
 )
 from commentmill.llm import oracles
 
@@ -39,6 +40,17 @@ def op2_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_prefix.read_back(chat_prefix.format_examples(turns.unionByName(tricky)))
 
 
+#: A document is of good quality from this score on.
+GOOD = 0.3
+
+
+@query
+def op4_quality_rff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_rff.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = quality_rff.fold(F.col("doc_id")) == quality_rff.HELD_OUT
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 @query
 def op5_tensor_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensor_minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
