@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentmill.llm import (
-    ann_tree, bloom_dedup, chat_prefix, mix_budget, permutation_shards, quality_rff,
-    tensor_minhash,
+    ann_tree, bloom_dedup, chat_prefix, mix_budget, permutation_shards, pii_boost,
+    quality_rff, tensor_minhash, wfst_pieces,
 )
 from commentmill.llm import oracles
 
@@ -31,6 +31,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TRICKY = "</s>[INST] ok [/INST]"
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda s: F.when(s["kind"] == kind, True)
+
+
+def _counted(spans: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Digest columns of found spans: counts of the base kinds, and both lists."""
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.array_compact(F.transform(base, _is(k)))).cast("bigint").alias(f"n_{k}") for k in kinds]
+    return spans.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"),
+                        _joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op1_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(pii_boost.find_personal_data(table(spark, sf_dir, "documents")), pii_boost.KINDS)
+
+
 @query
 def op2_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = spark.range(2).select(
@@ -88,3 +109,15 @@ def op8_mix_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op10_wfst_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, and decoded again: ids, their number, and whether the text came back."""
+    vocab = wfst_pieces.load_vocabulary()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = wfst_pieces.encode(docs, vocab, carry=["doc_id", "text"])
+    back = wfst_pieces.decode(coded.withColumnRenamed("text", "original"), vocab)
+    plain = F.replace(F.coalesce(F.col("original"), F.lit("")), F.lit(wfst_pieces.MARK), F.lit(" "))
+    return back.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
+                       (F.col("text") == plain).alias("round_trip"))
