@@ -6,12 +6,12 @@ fewer words than a shingle has, the whole sequence is the one element. Two small
 of the first and one of the second is a table key. So BUNDLES**2 = 100 tables of 4 minima each cost
 40 minima per set instead of 400. At similarity 0.8 a pair shares a key with probability 0.9999.
 
-Rows meet at keys, never as all pairs: small buckets give their pairs, crowded ones connect every
-member with two leaders that differ from table to table. Every link is confirmed on full sets.
+Rows meet at keys, never as all pairs: small buckets give their pairs, crowded ones connect their
+members with leaders that differ from table to table. Every link is confirmed on full sets.
 Links inside a component that is already connected need no confirmation, so verification runs in
-rounds: one partner per set, then what is still apart. A crowded bucket whose members are still in
+rounds: one partner per set, then what is still apart, then further leaders. A crowded bucket whose members are still in
 several components may hide a link that no leader shows; its members are compared exactly, by
-shared rare shingles, with what is outside their own component (see ``_rare_pairs``).
+shared rare shingles, with what is outside their own component (see ``_hidden_links``).
 
 Defined cases: null text is empty; an empty set links with nothing; a null id links with nothing
 and stays; rows of one id and one text are the same row repeated; an empty table gives an empty
@@ -38,6 +38,8 @@ SMALL_BUCKET = 16
 #: 0.8 that happens three times in a million.
 LEAST_AGREEING = 4
 WORDS_KEPT = 1 << 19
+#: Sets compared with one another in one call, on either side.
+BLOCK_SETS = 256
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,7 +133,7 @@ def _keys(reps: DataFrame) -> DataFrame:
 
 
 def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) that meet in a bucket, and the rows (key, rep) of crowded buckets."""
+    """Distinct pairs (a, b) that meet in a bucket, and the rows (key, rep, leads) of crowded ones."""
     keys = _keys(reps)
     flipped = F.col("rep").bitwiseXOR(F.col("flip"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(flipped).alias("lo"),
@@ -141,11 +143,27 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
              .agg(F.sort_array(F.collect_set("rep")).alias("reps")))
     near = (small.select("reps", F.explode("reps").alias("a"))
             .select("a", F.explode(F.filter("reps", lambda r: r > F.col("a"))).alias("b")))
-    crowd = met.filter(F.col("c") > SMALL_BUCKET)
-    lead = F.explode(F.array(F.col("lo").bitwiseXOR(F.col("flip")), F.col("hi").bitwiseXOR(F.col("flip"))))
-    stars = (crowd.select("rep", lead.alias("lead")).filter("rep != lead")
+    crowd = met.filter(F.col("c") > SMALL_BUCKET).select(
+        "key", "rep", F.array(F.col("lo").bitwiseXOR(F.col("flip")), F.col("hi").bitwiseXOR(F.col("flip"))).alias("leads"))
+    # of all its buckets' leaders a set meets four at first
+    led = crowd.select("rep", F.explode("leads").alias("lead")).filter("rep != lead")
+    drawn = F.xxhash64("rep", "lead")
+    few = led.groupBy("rep").agg(F.array(F.min("lead"), F.max("lead"), F.min_by("lead", drawn),
+                                         F.max_by("lead", drawn)).alias("leads"))
+    stars = (few.select("rep", F.explode(F.array_distinct("leads")).alias("lead"))
              .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")))
-    return near.unionByName(stars).distinct(), crowd.select("key", "rep")
+    return near.unionByName(stars).distinct(), crowd
+
+
+def _other_leaders(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of a member of a crowded bucket with a leader of it in another component."""
+    tagged = crowd.join(roots, crowd["rep"] == roots["node"], "left").select(
+        "key", "rep", F.coalesce("root", "rep").alias("root"))
+    leads = crowd.select("key", F.explode("leads").alias("lead")).distinct()
+    leads = leads.join(roots, leads["lead"] == roots["node"], "left").select(
+        "key", "lead", F.coalesce("root", "lead").alias("lead_root"))
+    return (tagged.join(leads, "key").filter("root != lead_root")
+            .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -180,11 +198,15 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
             .drop("root_a", "root_b"))
 
 
-def _rare_pairs(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact candidates between different components of crowded buckets. Sets that similar share
-    one of their rarest shingles, counted among these sets, if each keeps
-    n - ceil(percent/100 * n) + 1 of them. Where sets share one, those outside the commonest
-    component meet the sets of other components; the many inside it do not meet each other."""
+def _hidden_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of crowded buckets, found exactly.
+
+    Sets that similar share one of their rarest shingles, counted among these sets, if each keeps
+    n - ceil(percent/100 * n) + 1 of them; shingles that no other of these sets has bound what two
+    sets can share at most. Where sets share a rare shingle, those outside its commonest component
+    ask the other components that have it; the many inside it do not ask each other. A set is
+    compared with the members of a small component as pairs, and with a large one block by block,
+    where only links leave the task."""
     root = F.coalesce("root", "rep")
     tagged = crowd.join(roots, crowd["rep"] == roots["node"], "left").select("key", "rep", root.alias("root"))
     mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
@@ -195,18 +217,60 @@ def _rare_pairs(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: in
     ranked = posted.join(seen, "s").groupBy("rep", "root", "n").agg(
         F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all"))
     kept = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    rare = materialized(ranked.select("rep", "root", "n", F.explode(F.slice("all", F.lit(1), kept)).alias("e"))
-                        .select("rep", "root", "n", "e.s").filter("e.c > 1"))
-    by_root = rare.groupBy("s", "root").agg(F.count("*").alias("c"))
+    common = F.col("n") - F.size(F.filter("all", lambda e: e["c"] == 1))
+    rare = materialized(ranked.withColumn("most", common).filter(100 * F.col("most") >= percent * F.col("n"))
+                        .select("rep", "root", "n", "most", F.explode(F.slice("all", F.lit(1), kept)).alias("e"))
+                        .select("rep", "root", "n", "most", "e.s").filter("e.c > 1"))
+    by_root = rare.groupBy("s", "root").agg(
+        F.count("*").alias("c"), F.min("n").alias("lo_n"), F.max("n").alias("hi_n"), F.max("most").alias("hi_most"))
     main = (by_root.groupBy("s").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots"))
             .filter("roots > 1").select("s", F.col("m.root").alias("main")))
-    shared = rare.join(main, "s")
-    few = shared.filter("root != main").select("s", F.col("rep").alias("x"), F.col("root").alias("x_root"),
-                                               F.col("n").alias("x_n"))
-    met = few.join(shared, "s").filter(
-        (F.col("x_root") != F.col("root"))
-        & (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n")))
-    return met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+    few = rare.join(main, "s").filter("root != main").select(
+        "s", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"),
+        F.col("most").alias("x_most"))
+    asks = materialized(few.join(by_root, "s").filter(
+        (F.col("x_root") != F.col("root")) & (percent * F.col("x_n") <= 100 * F.col("hi_n"))
+        & (percent * F.col("lo_n") <= 100 * F.col("x_n"))
+        & ((100 + percent) * F.least("hi_most", "x_most") >= percent * (F.col("lo_n") + F.col("x_n"))))
+        .select("x", "root").distinct())
+    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("xb"),
+                                         F.count("*").alias("held"))
+    asked = asks.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("ub"))
+    blocks = materialized(blocks.join(asked, "root"))
+    small = blocks.filter(F.col("held") <= SMALL_BUCKET).select("root")
+    pairs = (asks.join(small, "root").join(members, "root")
+             .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct())
+    large = blocks.filter(F.col("held") > SMALL_BUCKET)
+
+    def block(of: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    own_sets = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("own"))
+    asking = (asks.join(large, "root").join(own_sets, "x")
+              .select("root", block("x", "ub").alias("u"), every("xb").alias("v"), "x", "own"))
+    holding = (members.join(large, "root").join(sets, "rep")
+               .select("root", block("rep", "xb").alias("v"), every("ub").alias("u"), "rep", "shingles"))
+
+    def compare(xs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(xs) and len(held):
+            sizes = held["shingles"].map(len).to_numpy()
+            starts = np.concatenate([[0], sizes.cumsum()[:-1]])
+            everything = np.concatenate(held["shingles"].tolist())
+            reps = held["rep"].to_numpy()
+            for x, own in zip(xs["x"], xs["own"], strict=True):
+                shared = np.add.reduceat(np.isin(everything, own), starts, dtype=np.int64)
+                linked = reps[100 * shared >= percent * (sizes + len(own) - shared)]
+                if len(linked):  # one link connects it with the whole component
+                    found.append((min(x, linked.min()), max(x, linked.min())))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    key = ["root", "u", "v"]
+    linked = asking.groupBy(*key).cogroup(holding.groupBy(*key)).applyInPandas(compare, "a bigint, b bigint")
+    return _confirmed(pairs, sets, percent).unionByName(linked)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -237,7 +301,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = _apart(pairs.select("a", "b"), roots).join(first, ["a", "b"], "left_anti")
     links = materialized(links.unionByName(_confirmed(rest, sets, percent)))
     roots = components(links)
-    hidden = _confirmed(_rare_pairs(crowd, roots, sets, percent), sets, percent)
+    more = _agreeing(_other_leaders(crowd, roots), reps, percent).select("a", "b")
+    links = materialized(links.unionByName(_confirmed(more, sets, percent)))
+    roots = components(links)
+    hidden = _hidden_links(crowd, roots, sets, percent)
     roots = components(links.unionByName(hidden))
     total = sketches.count()
     facts = groups.join(roots, groups["rep"] == roots["node"], "left").select(
