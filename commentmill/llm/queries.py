@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from commentmill.llm import (
     ann_tree, bloom_dedup, chat_prefix, mix_budget, permutation_shards, pii_boost,
-    quality_rff, tensor_minhash, wfst_pieces,
+    quality_rff, secret_crf, tensor_minhash, wfst_pieces,
 )
 from commentmill.llm import oracles
 
@@ -61,6 +61,11 @@ def op2_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_prefix.read_back(chat_prefix.format_examples(turns.unionByName(tricky)))
 
 
+@query
+def op3_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(secret_crf.find_secrets(table(spark, sf_dir, "documents")), secret_crf.KINDS)
+
+
 #: A document is of good quality from this score on.
 GOOD = 0.3
 
