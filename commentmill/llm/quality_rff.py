@@ -167,14 +167,33 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def _fitted(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str,
+            label_col: str) -> tuple[DataFrame, Model]:
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    stats = materialized(texts.mapInPandas(_stats, f"id {dict(texts.dtypes)['id']}, x array<double>"))
+    known = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("double").alias("label"))
+    return stats, fit(stats, known)
+
+
+def keep_good(df: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text",
+              label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """The rows of ``df`` with a score of ``least`` or more. Texts are scored where they are, so
+    that they need not be joined with their scores."""
+    _, model = _fitted(df, labels, id_col, text_col, label_id, label_col)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in texts], float).reshape(-1, SIZE)
+        return pd.Series(model.score(x))
+
+    return df.filter(score(F.col(text_col).cast("string")) >= least)
+
+
 def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   label_id: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """One row per row of ``df``: id, score from 0 to 1."""
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = dict(texts.dtypes)["id"]
-    stats = materialized(texts.mapInPandas(_stats, f"id {kind}, x array<double>"))
-    known = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("double").alias("label"))
-    model = fit(stats, known)
+    stats, model = _fitted(df, labels, id_col, text_col, label_id, label_col)
+    kind = dict(stats.dtypes)["id"]
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from commentmill.llm.bloom_dedup import drop_listed
 from commentmill.llm.common import attach, components, materialized
 
 BUNDLES, BUNDLE = 10, 2
@@ -319,6 +320,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                          percent: int = 80) -> DataFrame:
     """The rows of ``df`` that stay, one id of each group, with all their columns."""
-    gone = (near_duplicates(df, id_col, text_col, width, percent).filter(~F.col("kept"))
-            .select(F.col(id_col).alias("__gone")).distinct())
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    found = near_duplicates(df, id_col, text_col, width, percent)
+    return drop_listed(df, found.filter(~F.col("kept")).select(id_col), id_col)
