@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commentmill.llm.bloom_dedup import drop_listed
+from commentmill.llm.bloom_dedup import drop_listed, filter_words
 from commentmill.llm.common import attach, components, materialized
 
 BUNDLES, BUNDLE = 10, 2
@@ -39,6 +39,8 @@ SMALL_BUCKET = 16
 #: 0.8 that happens three times in a million.
 LEAST_AGREEING = 4
 WORDS_KEPT = 1 << 19
+#: Further leaders a member meets before the exact comparison; each spares some of it.
+OTHER_LEADERS = 8
 #: Sets compared with one another in one call, on either side.
 BLOCK_SETS = 256
 
@@ -133,13 +135,26 @@ def _keys(reps: DataFrame) -> DataFrame:
                     _table_flip(F.col("table")).alias("flip")))
 
 
+def _key_mask(key: Column) -> Column:
+    """Two bits of a word, from the upper bits of a key."""
+    one = F.lit(1).cast("bigint")
+    return F.call_function("shiftleft", one, F.shiftrightunsigned(key, 58).cast("int")).bitwiseOR(
+        F.call_function("shiftleft", one, F.shiftrightunsigned(key, 52).bitwiseAND(F.lit(63)).cast("int")))
+
+
 def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a, b) that meet in a bucket, and the rows (key, rep, leads) of crowded ones."""
     keys = _keys(reps)
     flipped = F.col("rep").bitwiseXOR(F.col("flip"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(flipped).alias("lo"),
-                                      F.max(flipped).alias("hi")).filter("c > 1")
-    met = materialized(keys.join(buckets, "key"))
+    buckets = materialized(keys.groupBy("key").agg(
+        F.count("*").alias("c"), F.min(flipped).alias("lo"), F.max(flipped).alias("hi")).filter("c > 1"))
+    # most keys stand alone: a Bloom filter of the others, bounded in size, keeps them from moving
+    words = filter_words(buckets.count())
+    word, mask = F.pmod("key", F.lit(words)), _key_mask(F.col("key"))
+    bloom = buckets.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+    likely = (keys.withColumn("word", word).join(F.broadcast(bloom), "word")
+              .filter(F.col("bits").bitwiseAND(mask) == mask).drop("word", "bits"))
+    met = materialized(likely.join(buckets, "key"))
     small = (met.filter(F.col("c").between(2, SMALL_BUCKET)).groupBy("key")
              .agg(F.sort_array(F.collect_set("rep")).alias("reps")))
     near = (small.select("reps", F.explode("reps").alias("a"))
@@ -163,8 +178,11 @@ def _other_leaders(crowd: DataFrame, roots: DataFrame) -> DataFrame:
     leads = crowd.select("key", F.explode("leads").alias("lead")).distinct()
     leads = leads.join(roots, leads["lead"] == roots["node"], "left").select(
         "key", "lead", F.coalesce("root", "lead").alias("lead_root"))
-    return (tagged.join(leads, "key").filter("root != lead_root")
-            .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
+    apart = tagged.join(leads, "key").filter("root != lead_root")
+    some = apart.groupBy("rep").agg(*[F.min_by("lead", F.xxhash64("lead", "rep", F.lit(i))).alias(f"m{i}")
+                                      for i in range(OTHER_LEADERS)])
+    met = some.select("rep", F.explode(F.array_distinct(F.array(*[f"m{i}" for i in range(OTHER_LEADERS)]))).alias("lead"))
+    return met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
