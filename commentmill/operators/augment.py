@@ -7,6 +7,7 @@ result depends on nothing but the row: any partitioning and any task retry give
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -19,8 +20,6 @@ from commentmill.functions.numbers import draw_hex, draw_int, hex_threshold
 from commentmill.functions.text import WS, as_text, bind, is_blank, strip, tokens
 
 AUGMENTED = "augmented_text"
-# The literal synonym map is for lists up to this many words; longer ones are joined.
-SYNONYM_MAP_LIMIT = 200
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ASCII_EDGES = r"\A[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+\z"
 
@@ -96,13 +95,16 @@ def _replace_positions(text: Column, key: Column, seed: int, op: str, share: flo
     return on_tokens(text, 2, with_hashes)
 
 
-def synonym_lookup(synonyms: Mapping[str, list[str]] | None):
-    """Token -> sorted array of other spellings, from a short literal list."""
+Synonyms = Mapping[str, list[str]] | Column | None
+
+
+def synonym_lookup(synonyms: Synonyms):
+    """Token -> sorted array of other spellings, from a list, or from a map column of the row."""
+    if isinstance(synonyms, Column):
+        return lambda tok: F.try_element_at(synonyms, F.lower(tok))
     table = tidy_synonyms(synonyms or {})
     if not table:
         return lambda tok: F.lit(None).cast("array<string>")
-    if len(table) > SYNONYM_MAP_LIMIT:
-        raise ValueError(f"more than {SYNONYM_MAP_LIMIT} words: pass a (word, synonym) table")
     pairs = [x for w, s in table.items() for x in (F.lit(w), F.array(*map(F.lit, s)))]
     return lambda tok: F.when(F.lower(tok).isin(*table),
                               F.try_element_at(F.create_map(*pairs), F.lower(tok)))
@@ -121,7 +123,7 @@ def tidy_synonyms(synonyms: Mapping[str, list[str]]) -> dict[str, list[str]]:
 
 
 def synonym_replacement(text: Column, key: Column, seed: int, share: float,
-                        synonyms: Mapping[str, list[str]] | None = None,
+                        synonyms: Synonyms = None,
                         op: str = "synonym") -> Column:
     return _replace_positions(text, key, seed, op, share, synonym_lookup(synonyms))
 
@@ -136,10 +138,7 @@ def synonyms_from_table(df: DataFrame, text_col: str, synonyms: DataFrame, *, ke
     token side only, which Spark splits when it broadcasts the words or handles the skew.
     ``key`` must be unique.
     """
-    words = synonyms.select(F.lower("word").alias("word"),
-                            F.translate("synonym", "_", " ").alias("s")).filter(
-        (F.lower("s") != F.col("word")) & ~F.col("s").rlike(r"[^\x00-\x7f]"))
-    words = words.groupBy("word").agg(F.sort_array(F.collect_set("s")).alias("options"))
+    words = synonym_words(synonyms)
 
     def drawn(toks: Column) -> Column:
         hashes = F.transform(toks, lambda _, i: draw_hex(seed, F.col(key), "synonym", i))
@@ -164,6 +163,24 @@ def synonyms_from_table(df: DataFrame, text_col: str, synonyms: DataFrame, *, ke
     return joined.withColumn(output, out).drop("_toks", "_k", "_picks")
 
 
+def synonym_words(synonyms: DataFrame) -> DataFrame:
+    """(word, options) from a (word, synonym) table, by the rules of ``tidy_synonyms``."""
+    words = synonyms.select(F.lower("word").alias("word"),
+                            F.translate("synonym", "_", " ").alias("s")).filter(
+        (F.lower("s") != F.col("word")) & ~F.col("s").rlike(r"[^\x00-\x7f]"))
+    return words.groupBy("word").agg(F.sort_array(F.collect_set("s")).alias("options"))
+
+
+def with_row_synonyms(df: DataFrame, text_col: str, words: DataFrame, key: str) -> DataFrame:
+    """Adds ``_syn``: the options of every word of the row that has some. Only distinct words
+    travel, not the texts' other tokens; ``key`` must be unique."""
+    bare = F.transform(tokens(as_text(F.col(text_col))), lambda t: F.lower(F.regexp_replace(t, ASCII_EDGES, "")))
+    used = df.select(F.col(key).alias("_k"), F.explode(F.array_distinct(bare)).alias("word"))
+    found = used.join(words, "word").groupBy("_k").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "options"))).alias("_syn"))
+    return df.join(found, F.col(key) == F.col("_k"), "left").drop("_k")
+
+
 def _draw(seed: int, key: str, op: str, pos: str, bound: int) -> int:
     """Python twin of ``draw_int(draw_hex(...))``."""
     digest = hashlib.md5(f"{seed}:{key}:{op}:{pos}".encode()).hexdigest()
@@ -223,7 +240,19 @@ def random_swap(text: Column, key: Column, seed: int, share: float, op: str = "s
 
 
 def random_insertion(text: Column, key: Column, seed: int, share: float,
-                     synonyms: Mapping[str, list[str]] | None = None) -> Column:
+                     synonyms: Synonyms = None) -> Column:
+    if isinstance(synonyms, Column):
+        def one(t: str, k: str, found: str | None) -> str:
+            toks = t.split()
+            options = json.loads(found) if found else {}
+            return " ".join(insert_tokens(toks, k, seed, share, options)) if toks else t
+
+        @F.pandas_udf(T.StringType())
+        def run_map(t: pd.Series, k: pd.Series, found: pd.Series) -> pd.Series:
+            return pd.Series(list(map(one, t, k, found)), dtype=object)
+
+        return F.when(text == "", text).otherwise(run_map.asNondeterministic()(
+            text, key.cast("string"), F.to_json(synonyms)))
     table = tidy_synonyms(synonyms or {})
     run = _token_udf(lambda t, k: insert_tokens(t, k, seed, share, table), 1)
     return run(text, key)
@@ -254,10 +283,16 @@ def back_translation(text: Column) -> Column:
     return on_tokens(text, 4, turn)
 
 
-def paraphrase(key: Column, seed: int, synonyms: Mapping[str, list[str]] | None = None) -> list:
+def looks_up(step):
+    """Marks a step that reads synonyms, so that a table's are brought to its input first."""
+    step.looks_up = True
+    return step
+
+
+def paraphrase(key: Column, seed: int, synonyms: Synonyms = None) -> list:
     """Two steps: synonyms at 15 %, then swaps at 5 %."""
     return [
-        lambda text: synonym_replacement(text, key, seed, 0.15, synonyms, "paraphrase.synonym"),
+        looks_up(lambda text: synonym_replacement(text, key, seed, 0.15, synonyms, "paraphrase.synonym")),
         lambda text: random_swap(text, key, seed, 0.05, "paraphrase.swap"),
     ]
 
@@ -326,14 +361,14 @@ def noise_injection(text: Column, key: Column, seed: int, share: float) -> Colum
 
 
 def augment_steps(key: Column, cfg: AugmentConfig, seed: int = 42,
-                  synonyms: Mapping[str, list[str]] | None = None) -> list:
+                  synonyms: Synonyms = None) -> list:
     """The switched-on steps in their fixed order, each a Column -> Column function."""
     s = cfg.strength
     steps = []
     if cfg.synonym_replacement:
-        steps.append(lambda t: synonym_replacement(t, key, seed, s, synonyms))
+        steps.append(looks_up(lambda t: synonym_replacement(t, key, seed, s, synonyms)))
     if cfg.random_insertion:
-        steps.append(lambda t: random_insertion(t, key, seed, s, synonyms))
+        steps.append(looks_up(lambda t: random_insertion(t, key, seed, s, synonyms)))
     if cfg.random_swap:
         steps.append(lambda t: random_swap(t, key, seed, s))
     if cfg.random_deletion:
@@ -351,21 +386,29 @@ def augment_steps(key: Column, cfg: AugmentConfig, seed: int = 42,
     return steps
 
 
-def apply_steps(df: DataFrame, text_col: str, steps: list, output: str) -> DataFrame:
-    """One projection per step, so that every step reads its input as a plain column."""
+def apply_steps(df: DataFrame, text_col: str, steps: list, output: str, *,
+                words: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """One projection per step, so that every step reads its input as a plain column. With
+    ``words`` each look-up step finds its row's synonyms in the column ``_syn``."""
     out = df.withColumn("_raw", as_text(F.col(text_col))).withColumn("_text", F.col("_raw"))
     for step in steps:
-        out = out.withColumn("_text", step(F.col("_text")))
+        if words is not None and getattr(step, "looks_up", False):
+            out = with_row_synonyms(out, "_text", words, key).withColumn("_text", step(F.col("_text"))).drop("_syn")
+        else:
+            out = out.withColumn("_text", step(F.col("_text")))
     raw = F.col("_raw")
     return out.withColumn(output, F.when(is_blank(raw), raw).otherwise(F.col("_text"))).drop(
         "_raw", "_text")
 
 
 def augment(df: DataFrame, text_col: str, cfg: AugmentConfig, *, key: str, seed: int = 42,
-            synonyms: Mapping[str, list[str]] | None = None,
+            synonyms: Mapping[str, list[str]] | DataFrame | None = None,
             output: str = AUGMENTED) -> DataFrame:
-    """Add the augmented text. The source is ``processed_text`` where present; masked text
+    """Add the augmented text. Synonyms come from a list, or from a (word, synonym) table of any
+    size, with the same result. The source is ``processed_text`` where present; masked text
     derived from an older version is dropped. Blank text is unchanged."""
     source = "processed_text" if "processed_text" in df.columns else text_col
-    steps = augment_steps(F.col(key), cfg, seed, synonyms)
-    return apply_steps(df, source, steps, output).drop("clean_text", "clean_replacements")
+    table = isinstance(synonyms, DataFrame)
+    steps = augment_steps(F.col(key), cfg, seed, F.col("_syn") if table else synonyms)
+    words = synonym_words(synonyms) if table else None
+    return apply_steps(df, source, steps, output, words=words, key=key).drop("clean_text", "clean_replacements")

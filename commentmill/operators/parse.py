@@ -8,31 +8,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentmill.functions import lexicons as lex
 from commentmill.functions.text import as_text, bind, strip, text_map
 
-_S = r"[ \t\r\n]*"
-_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+# How a row object and a result object begin.
+ROW_START = r'\{\s*"row_id"\s*:'
+RESULT_START = r'\{\s*"(?:overall_score|scores|category)"\s*:'
 
 
-def _object_pattern(depth: int = 8) -> str:
-    """A brace-balanced object, strings skipped, nested up to ``depth`` levels."""
-    pattern = rf'\{{(?:[^{{}}"]++|{_STRING})*+\}}'
-    for _ in range(depth):
-        pattern = rf'\{{(?:[^{{}}"]++|{_STRING}|{pattern})*+\}}'
-    return pattern
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """Of a key repeated in one object the last value counts, in JSON parsed from now on. Without
+    this setting Spark takes such an object for no JSON at all."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def _objects_starting_with(keys: str) -> str:
-    # A look-ahead with a group finds every start, also inside an object that never closes.
-    return rf'(?s)(?=\{{\s*"(?:{keys})"\s*:)(?=({_object_pattern()}))\{{'
+def _balanced(tail: Column) -> Column:
+    """The object a text begins with, nested to any depth, braces in strings skipped; null if it
+    does not end. One walk over the characters."""
+    start = F.struct(F.lit(0).alias("open"), F.lit(False).alias("quoted"),
+                     F.lit(False).alias("escaped"), F.lit(0).alias("read"), F.lit(False).alias("done"))
 
+    def step(s: Column, ch: Column) -> Column:
+        quote = (ch == '"') & ~s["escaped"]
+        depth = s["open"] + F.when(s["quoted"], 0).when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
+        return F.when(s["done"], s).otherwise(F.struct(
+            depth.alias("open"), F.when(quote, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
+            (s["quoted"] & (ch == "\\") & ~s["escaped"]).alias("escaped"),
+            (s["read"] + 1).alias("read"), (depth == 0).alias("done")))
+
+    return F.aggregate(F.split(tail, ""), start, step, lambda s: F.when(
+        s["done"], F.substring(tail, F.lit(1), s["read"])))
+
+
+def objects_starting(text: Column, start: str) -> Column:
+    """Every complete object that begins as given, also inside one that never closes. Each start
+    is walked on its own; an answer has few of them, as a batch has few rows."""
 
-ROW_OBJECT = _objects_starting_with("row_id")
-RESULT_OBJECT = _objects_starting_with("overall_score|scores|category")
+    def found(parts: Column) -> Column:
+        tails = F.transform(parts, lambda p, i: F.when(p.rlike(rf"\A{start}"), F.array_join(
+            F.slice(parts, i + 1, F.size(parts) - i), "")))
+        return F.array_compact(F.transform(F.array_compact(tails), _balanced))
+
+    return bind(F.split(text, f"(?={start})"), found)
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -94,7 +114,7 @@ def row_id_of(obj: Column) -> Column:
 
 def salvage_rows(text: Column) -> Column:
     """Every complete row object of a cut-off answer, the first one of each row id."""
-    objs = F.filter(F.transform(_all(text, ROW_OBJECT), F.try_parse_json),
+    objs = F.filter(F.transform(objects_starting(text, ROW_START), F.try_parse_json),
                     lambda v: row_id_of(v).isNotNull())
 
     def firsts(found: Column) -> Column:
@@ -121,7 +141,7 @@ def parse_rows(raw: Column) -> Column:
 
 def completed_row_ids(raw: Column) -> Column:
     """Sorted distinct row ids whose objects are complete."""
-    ids = F.transform(F.transform(_all(as_text(raw), ROW_OBJECT), F.try_parse_json), row_id_of)
+    ids = F.transform(F.transform(objects_starting(as_text(raw), ROW_START), F.try_parse_json), row_id_of)
     return F.sort_array(F.array_distinct(F.filter(ids, lambda x: x.isNotNull())))
 
 
@@ -169,15 +189,14 @@ def repair_unions(blob: Column) -> Column:
     return F.regexp_replace(blob, _UNION_IN_ARRAY, '$1", "')
 
 
+# What an answer that repeats its instructions contains, and the patterns of the
+# fields that are picked out of text that is not JSON.
 def looks_like_schema_echo(raw: Column) -> Column:
     """Did the scorer repeat its instructions instead of answering?"""
     return F.lower(raw).contains("allowed_categories") | (
         raw.rlike(r'"tasks"\s*:\s*\[') & (F.length(raw) > 500))
 
 
-LOOSE = "struct<toxicity_level:string,category:array<string>,toxicity_type:array<string>,explanation:string>"
-
-
 def loose_fields(raw: Column) -> Column:
     """Level, name arrays and explanation picked out of text that is not JSON."""
 
@@ -212,7 +231,7 @@ def parse_single(raw: Column) -> Column:
 
     def read(t: Column) -> Column:
         widest = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-        return bind(_all(t, RESULT_OBJECT), lambda found: choose(t, widest, found))
+        return bind(objects_starting(t, RESULT_START), lambda found: choose(t, widest, found))
 
     def choose(t: Column, widest: Column, found: Column) -> Column:
         blobs = F.concat(F.reverse(found), F.array(t, widest))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commentmill.functions import lexicons as lex
+from commentmill.functions.cut import materialized
 from commentmill.functions.numbers import draw_hex
 from commentmill.functions.text import as_text, is_blank, strip
 
@@ -16,29 +17,30 @@ SCAN_COLUMNS = ("has_profanity", "profanity_count", "profanity_matches")
 PAGE_ROWS = 500
 SINGLE_TEXT_LIMIT = 12_000
 TOXIC_FROM = 20
-# A sorted limit keeps its rows on the driver; above this a hash threshold is used instead.
-SORT_LIMIT = 10_000
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Add the 1-based position of each row, without a global window or an RDD.
 
-    Position = rows in earlier partitions + place in its own partition. The counts, one per
-    partition, come from a first pass; the scan must yield the same partitions both times,
-    so checkpoint a source that does not.
+    Position = rows in earlier partitions + place in its own partition. A shuffle may deal rows
+    to other partitions when it is planned again, so the tagged rows are written to reliable
+    storage once, and both the counts and the positions are read from there. A row whose
+    partition has no count is an error, never dropped.
     """
     spark = df.sparkSession
-    tagged = df.withColumn("_mid", F.monotonically_increasing_id())
+    tagged = materialized(df.withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright("_mid", 33)
-    counts = sorted(tagged.groupBy(part.alias("p")).count().collect())
+    counts = sorted(tagged.groupBy(part.alias("p")).count().collect())  # one line per partition
     offsets, before = [], 0
     for p, n in counts:
         offsets.append((p, before))
         before += n
     starts = spark.createDataFrame(offsets, "_part bigint, _before bigint")
-    placed = tagged.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    placed = tagged.withColumn("_part", part).join(F.broadcast(starts), "_part", "left")
+    start = F.when(F.col("_before").isNull(), F.raise_error(F.lit("a partition without an offset"))
+                   .cast("bigint")).otherwise(F.col("_before"))
     inside = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn(name, F.col("_before") + inside + 1).drop("_mid", "_part", "_before")
+    return placed.withColumn(name, start + inside + 1).drop("_mid", "_part", "_before")
 
 
 def active_text_column(df: DataFrame, chosen: str) -> str:
@@ -189,16 +191,18 @@ def with_draw(df: DataFrame, key: str, seed: int, op: str) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, *, key: str = "row_id", seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows (all if there are fewer), the same ones every time, in key order."""
+    """Exactly ``n`` rows (all if there are fewer), the same ones every time, in key order.
+
+    Rows that share a key are drawn by their other columns too; only rows equal in every column
+    tie, and any of those is the same row."""
     if n < 1:
-        raise ValueError("the number of rows must be a positive whole number")
-    if n <= SORT_LIMIT:
-        drawn = with_draw(df, key, seed, "sample")
-        return drawn.orderBy("_draw").limit(n).orderBy(key).drop("_draw")
-    total = df.count()
-    if n >= total:
+        raise ValueError("ask for one row at least")
+    if n >= df.count():
         return df.orderBy(key)
-    drawn = with_draw(df, key, seed, "sample").withColumn("_all", F.lit(1))
+    whole = F.concat("_draw", F.lit(":"), F.hex(F.xxhash64(*df.columns)))
+    drawn = with_draw(df, key, seed, "sample").withColumns({"_draw": whole, "_all": F.lit(1)})
     quota = df.sparkSession.createDataFrame([(1, n)], "_all int, quota bigint")
     cut = hash_cuts(drawn, quota, group="_all").first()["cut"]
-    return drawn.filter(F.col("_draw") <= cut).orderBy(key).drop("_draw", "_all")
+    below = drawn.filter(F.col("_draw") < cut)
+    ties = drawn.filter(F.col("_draw") == cut).limit(n - below.count())
+    return below.unionByName(ties).orderBy(key).drop("_draw", "_all")

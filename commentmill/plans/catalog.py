@@ -25,7 +25,6 @@ SYNONYMS = {"the": ["that", "this"], "and": ["plus"], "de": ["du", "des"], "la":
             "der": ["die"], "is": ["was"]}
 PHRASES = {"trash": "poor work", "idiot": "person", "stupid": "unwise"}
 SEED = 42
-PARTS_PER_TASK = 2
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,15 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """Documents spread over the cluster. One small file is one scan task; text work costs
-    far more than moving the rows, so they are dealt out when the scan has few partitions."""
-    df = table(spark, sf_dir, "documents").select("doc_id", "text", *cols)
-    return spread(df)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want * PARTS_PER_TASK) if df.rdd.getNumPartitions() < want else df
+    return table(spark, sf_dir, "documents").select("doc_id", "text", *cols)
 
 
 def _one(name: str, step: Callable[[Column], Column], cols: str = "text") -> None:
@@ -117,14 +108,14 @@ def clean_noise(spark, sf_dir):
 
 @query
 def clean_page_markup(spark, sf_dir):
-    p = spread(table(spark, sf_dir, "pages"))
+    p = table(spark, sf_dir, "pages")
     return p.select("page_id", clean.strip_urls(clean.strip_tags(
         F.concat_ws(" ", "url", "html"))).alias("out"))
 
 
 @query
 def clean_configured(spark, sf_dir):
-    cfg = clean.CleanConfig(**{n: n != "normalize_unicode" for n in clean.CleanConfig.names()})
+    cfg = clean.CleanConfig(**dict.fromkeys(clean.CleanConfig.names(), True))
     posts = documents(spark, sf_dir).withColumn("text", social(F.col("text"), F.col("doc_id")))
     return clean.clean(posts, "text", cfg).select("doc_id", "processed_text")
 
@@ -179,7 +170,7 @@ def undisguised_text(spark, sf_dir):
 
 @query
 def scan_conversations_by_role(spark, sf_dir):
-    c = spread(table(spark, sf_dir, "conversations").select("role", "text"))
+    c = table(spark, sf_dir, "conversations").select("role", "text")
     return profanity.flagged_share(profanity.scan(c, "text", ["the", "de", "der"]), "role")
 
 
@@ -246,6 +237,24 @@ def augment_paraphrase(spark, sf_dir):
                            synonyms=SYNONYMS).select(_KEY, "augmented_text")
 
 
+def _synonym_table(spark) -> DataFrame:
+    return spark.createDataFrame([(w, o) for w, s in SYNONYMS.items() for o in s], "word string, synonym string")
+
+
+@query
+def augment_insertion_table(spark, sf_dir):
+    cfg = augment.AugmentConfig(random_insertion=True)
+    return augment.augment(documents(spark, sf_dir), "text", cfg, key=_KEY, seed=SEED,
+                           synonyms=_synonym_table(spark)).select(_KEY, "augmented_text")
+
+
+@query
+def augment_paraphrase_table(spark, sf_dir):
+    cfg = augment.AugmentConfig(paraphrasing=True)
+    return augment.augment(documents(spark, sf_dir), "text", cfg, key=_KEY, seed=SEED,
+                           synonyms=_synonym_table(spark)).select(_KEY, "augmented_text")
+
+
 @query
 def augment_synonym_table(spark, sf_dir):
     """Synonyms from a table: nations as (name, region) pairs put into the documents."""
@@ -346,11 +355,29 @@ def sampled_rows_large(spark, sf_dir):
 
 def _judged(spark, sf_dir) -> DataFrame:
     d = documents(spark, sf_dir, "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    s = profanity.scan(d, "text", TERMS[:4])
+    s = profanity.scan(d, "text", TERMS)
     return s.select("doc_id", "source", F.col("toxic").alias("truth"),
                     F.col("has_profanity").cast("int").alias("guess"))
 
 
+@query
+def row_ids_after_join(spark, sf_dir):
+    """Rows of a shuffled join are numbered without loss."""
+    d = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    ids = rows.with_row_id(d)
+    return ids.agg(F.count("*").alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"),
+                   F.count_distinct("row_id").alias("ids"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query
+def split_with_missing_labels(spark, sf_dir):
+    """Missing labels are a class of their own: every fourth label is taken away."""
+    y = table(spark, sf_dir, "labels").withColumn("y", F.when(F.col("doc_id") % 4 != 0, F.col("toxic")))
+    split = model.split_exact(y.select("doc_id", "y"), key="doc_id", label_col="y")
+    return split.groupBy(F.coalesce(F.col("y").cast("string"), F.lit("")).alias("label"), "is_test").agg(
+        F.count("*").alias("n"))
+
+
 @query
 def label_counts(spark, sf_dir):
     return metrics.class_counts(table(spark, sf_dir, "labels"), "toxic")
@@ -434,7 +461,7 @@ def model_comparison(spark, sf_dir):
 @query
 def naive_bayes_predictions(spark, sf_dir):
     fitted, _, _ = model.train_selected(_labelled(spark, sf_dir), "Naive Bayes", text_col="text",
-                                        label_col="toxic", key="doc_id", size=5_000)
+                                        label_col="toxic", key="doc_id")
     return fitted.predict(documents(spark, sf_dir)).select("doc_id", "prediction_label")
 
 

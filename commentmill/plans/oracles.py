@@ -305,7 +305,7 @@ def swap_sql(share: str = "0.1", op: str = "swap", source: str = "documents",
     )
 
 
-def insertion_sql() -> str:
+def insertion_sql(out: str = "out") -> str:
     """Insertions one after the other: a recursive walk over the insert number."""
     pairs = ", ".join(f"({q(w)}, [{', '.join(map(q, sorted(s)))}])" for w, s in SYNONYMS.items())
     base = draw_int("insert", "len(a)", "j || ':base'")
@@ -318,7 +318,7 @@ def insertion_sql() -> str:
         "walk(doc_id, a, j, k) AS (SELECT doc_id, a, 0, greatest(1, floor(len(a) * 0.1))::INT FROM toks WHERE len(a) > 0 "
         f"UNION ALL SELECT doc_id, a[1:{gap}] || [{new}] || a[{gap} + 1:], j + 1, k "
         f"FROM walk LEFT JOIN syn ON word = {word} WHERE j < k) "
-        "SELECT doc_id, array_to_string(a, ' ') AS out FROM walk WHERE j = k "
+        f"SELECT doc_id, array_to_string(a, ' ') AS {out} FROM walk WHERE j = k "
         "UNION ALL SELECT doc_id, text FROM toks WHERE len(a) = 0"
     )
 
@@ -394,10 +394,37 @@ PAIRS = (
     f"SELECT 'text', 'lang', {VERDICT.format(y='lang')} FROM d"
 )
 
+
+
+def configured_chain() -> str:
+    """All nine steps, each over the one before."""
+    steps = [synonym_sql(), insertion_sql(), swap_sql(), DELETION, BACK,
+             synonym_sql("paraphrase.synonym", "0.15"), swap_sql("0.05", "paraphrase.swap"), SHUFFLE, CROP,
+             NOISE_INJECTION]
+    names = [f"step{i}" for i in range(len(steps))]
+    parts, source = [], "documents"
+    for name, sql in zip(names, steps, strict=True):
+        parts.append(f"{name} AS MATERIALIZED (SELECT doc_id, out AS text FROM ({sql.replace('FROM documents', f'FROM {source}')}))")
+        source = name
+    return f"WITH {', '.join(parts)} SELECT doc_id, text AS augmented_text FROM {source}"
+
+
+# Test rows per class by largest remainder; a missing label is a class.
+MISSING_LABELS = (
+    "WITH c AS (SELECT coalesce(CASE WHEN doc_id % 4 <> 0 THEN toxic END::VARCHAR, '') AS label, count(*) AS rows "
+    "FROM labels GROUP BY 1), t AS (SELECT sum(rows) AS n, ceil(sum(rows) * 0.2) AS n_test FROM c), "
+    "e AS (SELECT label, rows, rows * n_test / n AS exact FROM c, t), "
+    "r AS (SELECT *, row_number() OVER (ORDER BY exact - floor(exact) DESC, label) AS place, "
+    "(SELECT n_test FROM t) - sum(floor(exact)) OVER () AS short FROM e), "
+    "q AS (SELECT label, rows, (floor(exact) + CASE WHEN place <= short THEN 1 ELSE 0 END)::BIGINT AS quota FROM r) "
+    "SELECT label, true AS is_test, quota AS n FROM q WHERE quota > 0 "
+    "UNION ALL SELECT label, false, rows - quota FROM q WHERE rows > quota"
+)
+
 # --- metrics ---
 
 JUDGED = (
-    "WITH " + scan_cte("documents", "doc_id", TERMS[:4])
+    "WITH " + scan_cte("documents", "doc_id", TERMS)
     + ", j AS (SELECT l.toxic::VARCHAR AS y, (CASE WHEN n > 0 THEN 1 ELSE 0 END)::VARCHAR AS p "
       "FROM labels l JOIN documents d USING (doc_id) LEFT JOIN hits ON k = l.doc_id), "
       "c AS (SELECT c, sum((y = c)::INT) AS support, sum((p = c)::INT) AS predicted, sum((y = c AND p = c)::INT) AS hits "
@@ -534,7 +561,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_noise": each(noise(SOCIAL)),
         "clean_page_markup": each(NOISE["strip_urls"](NOISE["strip_tags"](
             "concat_ws(' ', url, html)")), table="pages", key="page_id"),
-        "clean_configured": each(configured(SOCIAL), "processed_text"),
+        "clean_configured": each(configured(f"nfc_normalize({SOCIAL})"), "processed_text"),
         "text_statistics": rounded_statistics(),
         "suggested_steps": f"SELECT {', '.join(f'({r}) AS {n}' for n, r in DECISIONS.items())} FROM ({statistics()})",
         "post_statistics_by_source": "SELECT source, " + ", ".join(
@@ -566,6 +593,13 @@ def oracle_sql() -> dict[str, str]:
         "augment_swap": swap_sql(),
         "augment_paraphrase": swap_sql("0.05", "paraphrase.swap", "(" + synonym_sql(
             "paraphrase.synonym", "0.15", out="text") + ")", "augmented_text"),
+        "augment_insertion_table": insertion_sql("augmented_text"),
+        "augment_paraphrase_table": swap_sql("0.05", "paraphrase.swap", "(" + synonym_sql(
+            "paraphrase.synonym", "0.15", out="text") + ")", "augmented_text"),
+        "augment_configured": configured_chain(),
+        "row_ids_after_join": "SELECT count(*) AS n, 1 AS lo, count(*) AS hi, count(*) AS ids, "
+                              "count(DISTINCT doc_id) AS docs FROM documents JOIN labels USING (doc_id)",
+        "split_with_missing_labels": MISSING_LABELS,
         "augment_deletion": DELETION,
         "augment_back_translation": BACK,
         "augment_sentence_shuffle": SHUFFLE,

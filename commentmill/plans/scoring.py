@@ -49,12 +49,6 @@ def prepared(df: DataFrame, text_col: str, cfg: CleanConfig, *, row_id: str = "r
     return kept.withColumn("text", strip(clean_expr(F.col("raw"), cfg, **lists)))
 
 
-def _task_count(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-               spark.sparkContext.defaultParallelism)
-
-
 def pack(items: DataFrame, *, max_rows: int = 1, budget: int | None = None,
          tokens: Column | None = None) -> DataFrame:
     """Add ``batch_id``: greedy filling in row order up to a token budget and a row cap.
@@ -73,12 +67,11 @@ def pack(items: DataFrame, *, max_rows: int = 1, budget: int | None = None,
     limit = F.lit(input_budget() if budget is None else budget)
     cost = F.when(some, F.greatest(F.lit(1), (tokens if tokens is not None else estimated_tokens(
         F.col("text"))) + ROW_OVERHEAD_TOKENS))
-    # One shuffle, into a fixed number of tasks (scoring costs far more than its bytes suggest,
-    # so the partitions must not be merged by size): the texts are dealt by range, and gathering the counts, joining the result
-    # back and building the prompts all use that partitioning.
+    # The texts are dealt by range once; gathering the counts, joining the result back and
+    # building the prompts all use that partitioning, whose size the session's settings decide.
     dealt = items.withColumn("pack_range", F.floor(
         (F.col("row_id") - 1) / (BATCHES_PER_RANGE * max_rows))).withColumn(
-        "_cost", cost).repartition(_task_count(items), "pack_range")
+        "_cost", cost).repartition("pack_range")
     ranges = dealt.groupBy("pack_range").agg(F.sort_array(F.collect_list(F.when(
         F.col("_cost").isNotNull(), F.struct("row_id", F.col("_cost").alias("cost"))))).alias("_rows"))
 
@@ -115,31 +108,39 @@ def batch_prompts(packed: DataFrame, instruction: str = "") -> DataFrame:
 
 
 def score_batches(prompts: DataFrame, scorer: ScorerFactory | Column) -> DataFrame:
-    """(batch_id, row_ids, raw). A scorer that fails on a batch leaves its raw answer null."""
+    """(batch_id, row_ids, raw, fault). A scorer that fails on a batch leaves its raw answer null
+    and its message in ``fault``."""
     if isinstance(scorer, Column):
-        return prompts.select("batch_id", "row_ids", scorer.alias("raw"))
+        return prompts.select("batch_id", "row_ids", scorer.alias("raw"),
+                              F.lit(None).cast("string").alias("fault"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = scorer()
 
-        def one(prompt: str) -> str | None:
+        def one(prompt: str) -> tuple[str | None, str | None]:
             try:
-                return score(prompt)
-            except Exception:  # the batch is retried row by row
-                return None
+                return score(prompt), None
+            except Exception as error:  # the batch is retried row by row, then reported
+                return None, f"{type(error).__name__}: {error}"
 
         for b in batches:
+            said = [one(p) for p in b["prompt"]]
             yield pd.DataFrame({"batch_id": b["batch_id"], "row_ids": b["row_ids"],
-                                "raw": b["prompt"].map(one)})
+                                "raw": [s[0] for s in said], "fault": [s[1] for s in said]})
 
-    return prompts.mapInPandas(run, "batch_id string, row_ids array<bigint>, raw string")
+    return prompts.mapInPandas(run, "batch_id string, row_ids array<bigint>, raw string, fault string")
 
 
 def batch_results(raw: DataFrame, *, keep_raw: bool = False) -> DataFrame:
-    """One line per row a batch asked for: its validated analysis, or ``error``."""
+    """One line per row a batch asked for: its validated analysis, or ``error``, the scorer's own
+    message where it raised one."""
     lines = parse.expected_rows(raw)
     cols = ["row_id", "obj"] + (["raw"] if keep_raw else [])
-    return parse.analyses(lines.select(*cols)).drop("obj")
+    fault = ["fault"] if "fault" in lines.columns else []
+    out = parse.analyses(lines.select(*cols, *fault)).drop("obj")
+    if not fault:
+        return out
+    return out.withColumn("error", F.when(F.col("error").isNotNull(), F.coalesce("fault", "error"))).drop("fault")
 
 
 @dataclass
@@ -165,6 +166,9 @@ def score_dataset(items: DataFrame, scorer: ScorerFactory | Column, *, max_rows:
         raw = score_batches(batch_prompts(packed, instruction), scorer)
         return keep(batch_results(raw, keep_raw=keep_raw))
 
+    parse.allow_repeated_keys(items.sparkSession)
+    if max_rows > 1:  # read by packing and by the retry: cleaned once
+        items = keep(items)
     packed = pack(items, max_rows=max_rows, budget=budget)
     last = answers(packed)
     good = last.filter(F.col("error").isNull())
@@ -231,7 +235,7 @@ def summarize(source: DataFrame, text_col: str, scored: Scored, *, total_rows: i
 def require_analyzed(summary: DataFrame) -> DataFrame:
     """An error when nothing could be analysed."""
     if summary.first()["analyzed"] <= 0:
-        raise ValueError("no non-empty text rows could be analyzed")
+        raise ValueError("every row was blank, emptied or failed: nothing to summarise")
     return summary
 
 
@@ -240,27 +244,47 @@ def summary_text(summary: DataFrame, *, source_name: str = "dataset",
     """The one-row summary plus its scores line and readable text."""
     avg = {c: F.col(f"avg_{c}") for c in lex.SCORE_FIELDS}
     line = rows.scores_line(F.col("avg_overall_score"), avg)
-    facts = [("Source file", F.lit(source_name)), ("Text column", F.lit(text_col)),
-             ("Status", F.col("status")), ("Rows in dataset", F.col("rows")),
-             ("Comments analyzed", F.col("analyzed")), ("Empty/skipped rows", F.col("skipped")),
-             ("Rows with errors", F.col("errors")), ("Toxic comments", F.col("toxic")),
-             ("Non-toxic comments", F.col("non_toxic")),
-             ("Average score", F.concat(F.col("avg_overall_score").cast("string"), F.lit("%")))]
-    body = F.concat_ws("\n", F.lit("Dataset toxicity analysis"),
-                       *[F.concat(F.lit(f"- {k}: "), v.cast("string")) for k, v in facts])
+    facts = [("source", F.lit(source_name)), ("text in", F.lit(text_col)),
+             ("state", F.col("status")), ("rows chosen", F.col("rows")), ("scored", F.col("analyzed")),
+             ("blank", F.col("skipped")), ("emptied by cleaning", F.col("emptied")),
+             ("failed", F.col("errors")), ("toxic", F.col("toxic")), ("not toxic", F.col("non_toxic")),
+             *[(f"mean of {c.replace('_', ' ')}", F.concat(F.col(f"avg_{c}").cast("string"), F.lit("%")))
+               for c in ("overall_score", *lex.SCORE_FIELDS)]]
+    body = F.concat_ws("\n", F.lit("Scores of the dataset"),
+                       *[F.concat(F.lit(f"* {k} = "), v.cast("string")) for k, v in facts])
     return summary.withColumns({"scores_line": line, "summary": F.concat_ws("\n", line, body)})
 
 
+def full_report(source: DataFrame, text_col: str, scored: Scored, *, source_name: str = "dataset",
+                shown: int = 20) -> DataFrame:
+    """One row: ``report`` joins the summary, the five highest rows and the first failed rows with
+    the number of the rest."""
+    facts = summary_text(summarize(source, text_col, scored), source_name=source_name, text_col=text_col)
+    top = [f"* row {r['row_number']} at {r['overall']}%: {r['text_preview']}"
+           for r in top_examples(row_results(highest(scored))).collect()]
+    lost = error_report(scored.failed, shown).collect()
+    failed = [f"* row {r['row_id']}: {r['error']}" for r in lost]
+    more = [f"* and {lost[0]['n_more']} more"] if lost and lost[0]["n_more"] else []
+    parts = [*(["Highest rows", *top] if top else []), *(["Failed rows", *failed, *more] if failed else [])]
+    return facts.withColumn("report", F.concat_ws("\n", "summary", *map(F.lit, parts)))
+
+
+def highest(scored: Scored, n: int = 5) -> Scored:
+    """Only the best ``n`` results, so that no other row needs its preview."""
+    best = scored.results.filter(F.col("overall_score") > 0).orderBy(F.desc("overall_score"), "row_id").limit(n)
+    return Scored(scored.prepared, best, scored.failed)
+
+
 def single_text(spark, text: str, scorer: ScorerFactory | Column,
                 cfg: CleanConfig | None = None) -> DataFrame:
     """Clean and score one text; its names joined with commas. Empty text is an error."""
     one = spark.createDataFrame([(1, text)], "row_id bigint, text string")
     items = prepared(one, "text", cfg or CleanConfig())
     if items.filter(F.col("text") != "").isEmpty():
-        raise ValueError("empty input; nothing to classify")
+        raise ValueError("there is no text to score")
     scored = score_dataset(items, scorer)
     if scored.results.isEmpty():
-        raise ValueError("the scorer did not return a valid result")
+        raise ValueError("no valid answer came from the scorer")
     return scored.results.select(
         "overall_score", *lex.SCORE_FIELDS, F.col("toxicity_level").alias("level"),
         F.array_join("category", ", ").alias("categories"),

@@ -15,19 +15,22 @@ OTHER_LINE_ENDS = r"[\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, *,
-             multiline: bool = True) -> DataFrame:
+             multiline: bool = False, strict: bool = False) -> DataFrame:
     """Header row, quoted cells with doubled quotes. Quoted line breaks need ``multiline``,
-    which reads a file in one task; turn it off for large files without them. Give a schema:
-    inferring one reads the data twice."""
-    reader = spark.read.options(header=True, multiLine=multiline, quote='"', escape='"')
+    which reads a file in one task. With ``strict`` a malformed row is an error, else its cells
+    are null. Give a schema: inferring one reads the data twice."""
+    reader = spark.read.options(header=True, multiLine=multiline, quote='"', escape='"',
+                                mode="FAILFAST" if strict else "PERMISSIVE")
     return (reader.schema(schema) if schema is not None else reader.option(
         "inferSchema", True)).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, *,
-              lines: bool = False) -> DataFrame:
-    """An array of records per file, or one record per line (``lines``), which can be split."""
-    reader = spark.read.options(multiLine=not lines, allowSingleQuotes=False)
+              lines: bool = True, strict: bool = False) -> DataFrame:
+    """One record per line, which can be split, or an array of records per file (``lines=False``,
+    one task per file). With ``strict`` a malformed record is an error."""
+    reader = spark.read.options(multiLine=not lines, allowSingleQuotes=False,
+                                mode="FAILFAST" if strict else "PERMISSIVE")
     return (reader if schema is None else reader.schema(schema)).json(path)
 
 
@@ -44,7 +47,7 @@ def load_dataset(spark: SparkSession, path: str, format: str | None = None,
     if kind == "csv":
         return read_csv(spark, path, schema, **options)
     if kind in ("json", "jsonl"):
-        return read_json(spark, path, schema, lines=kind == "jsonl", **options)
+        return read_json(spark, path, schema, **{"lines": kind == "jsonl", **options})
     if kind == "text":
         return read_text(spark, path)
     if kind == "parquet":
@@ -66,4 +69,4 @@ def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def export_row_results(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Row results as tab-separated parts with a header."""
-    flat_columns(results).write.mode(mode).options(header=True, sep="\t").csv(path)
+    flat_columns(results).write.mode(mode).options(header=True, sep="\t", quote='"', escape='"').csv(path)

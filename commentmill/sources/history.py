@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from commentmill.functions.numbers import ratio
+from commentmill.functions.text import strip
 from commentmill.operators.rows import is_toxic, preview, scores_line, with_row_id
 
 RUN_SCHEMA = (
@@ -131,17 +132,15 @@ def _lines(text: Column) -> Column:
 
 def summary_column(summary: Column) -> Column:
     """First line, trimmed; cut to 400 characters unless it is a scores line."""
-    first = F.regexp_replace(F.get(_lines(F.coalesce(summary, F.lit(""))), F.lit(0)),
-                             r"\A\s+|\s+\z", "")
+    first = strip(F.get(_lines(F.coalesce(summary, F.lit(""))), F.lit(0)))
     return F.when(first.startswith("Overall:"), first).otherwise(F.substring(first, 1, 400))
 
 
 def preview_body(summary: Column) -> Column:
     """The text below a leading scores line."""
-    text = F.regexp_replace(F.coalesce(summary, F.lit("")), r"\A\s+|\s+\z", "")
+    text = strip(F.coalesce(summary, F.lit("")))
     lines = _lines(text)
-    below = F.regexp_replace(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n"),
-                             r"\A\s+|\s+\z", "")
+    below = strip(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n"))
     headed = text.startswith("Overall:") | text.startswith("Single:")
     return (F.when(text == "", NO_RESULT)
             .when(headed & (below != ""), below).otherwise(text))

@@ -90,3 +90,16 @@ def test_source_and_stale_columns(spark):
     assert out.columns == ["k", "text", "processed_text", "augmented_text"]
     assert out.first()["augmented_text"] == "b f e d c g"
     assert augment.clamp_strength(3) == 0.5 and augment.clamp_strength(0) == 0.01
+
+
+def test_table_of_many_synonyms_equals_the_list(spark):
+    from commentmill.operators import augment
+    few = {"red": ["crimson", "scarlet"], "big": ["large_one", "huge"], "crimson": ["red"]}
+    table = spark.createDataFrame([(w, s) for w, o in few.items() for s in o], "word string, synonym string")
+    many = table.unionByName(spark.range(50_000).selectExpr("concat('w', id) AS word", "concat('v', id) AS synonym"))
+    df = spark.createDataFrame([(i, "the red car is Big, and the red bus is bigger. " * 3) for i in range(20)] + [(50, " "), (51, None)],
+                               "id int, text string")
+    cfg = augment.AugmentConfig(synonym_replacement=True, random_insertion=True, paraphrasing=True)
+    a = augment.augment(df, "text", cfg, key="id", synonyms=few).select("id", "augmented_text").collect()
+    b = augment.augment(df, "text", cfg, key="id", synonyms=many).select("id", "augmented_text").collect()
+    assert sorted(a) == sorted(b) and any("crimson" in r[1] for r in a)

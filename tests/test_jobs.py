@@ -51,6 +51,27 @@ def test_scores_do_not_depend_on_batching(items, max_rows):
     assert scoring.error_report(s.failed).first()["n_more"] == 0
 
 
+def test_the_scorers_message_is_reported(items):
+    source, ready = items
+
+    def failing():
+        def score(prompt):
+            raise OSError("disk gone")
+        return score
+
+    s = scoring.score_dataset(ready.filter("row_id <= 3"), failing, max_rows=2)
+    assert {r["error"] for r in s.failed.collect()} == {"OSError: disk gone"}
+    text = scoring.full_report(source, "text", s, shown=2).first()["report"]
+    assert "row 1: OSError: disk gone" in text and "and 1 more" in text
+
+
+def test_full_report_shows_the_highest_rows(items):
+    source, ready = items
+    s = scoring.score_dataset(ready, python_scorer, max_rows=4, budget=200)
+    text = scoring.full_report(source, "text", s).first()["report"]
+    assert "row 60 at 60%" in text and "row 56 at 56%" in text and "row 55 " not in text and "row 9:" in text
+
+
 def test_packing_is_greedy(items):
     _, ready = items
     got = {r["row_id"]: r["batch_id"] for r in scoring.pack(ready, max_rows=3, budget=60).collect()}
@@ -87,7 +108,7 @@ def test_nothing_to_analyze(spark, items):
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,text\n1,"a ""b""\nc"\n2,\n')
-    assert [tuple(r) for r in datasets.load_dataset(spark, str(tmp_path / "a.csv")).collect()] == [(1, 'a "b"\nc'), (2, None)]
+    assert [tuple(r) for r in datasets.load_dataset(spark, str(tmp_path / "a.csv"), multiline=True).collect()] == [(1, 'a "b"\nc'), (2, None)]
     (tmp_path / "a.json").write_text(json.dumps([{"text": "x"}, {"text": "y"}]))
     assert datasets.load_dataset(spark, str(tmp_path / "a.json")).count() == 2
     (tmp_path / "a.txt").write_bytes("one\r\n\ntwo three\x0bfour\xe9".encode() + b"\xff\n")

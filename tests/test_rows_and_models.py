@@ -26,7 +26,6 @@ def test_sampling(hundred, monkeypatch):
     assert some == ids(rows.sample_rows(hundred.repartition(7), 10))
     with pytest.raises(ValueError):
         rows.sample_rows(hundred, 0)
-    monkeypatch.setattr(rows, "SORT_LIMIT", 5)  # the threshold form picks the same rows
     assert some == ids(rows.sample_rows(hundred, 10))
 
 
@@ -171,3 +170,48 @@ def test_models(spark, labelled, tmp_path):
         model.train_selected(labelled, "Oracle", text_col="text", label_col="y", key="k")
     with pytest.raises(ValueError):
         model.investigate(labelled.limit(5), text_col="text", label_col="y", key="k")
+
+
+@pytest.mark.parametrize("shape", ["join", "repartition", "dedupe"])
+def test_row_ids_survive_adaptive_shuffles(spark, shape):
+    from commentmill.operators.rows import with_row_id
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(5000).withColumn("text", F.concat(F.lit("some longer text "), (F.col("id") % 4000).cast("string")))
+        if shape == "join":
+            df = df.join(spark.range(0, 5000, 2), "id")
+        elif shape == "repartition":
+            df = df.repartition("text")
+        else:
+            df = df.dropDuplicates(["text"])
+        n = df.count()
+        got = sorted(r["row_id"] for r in with_row_id(df).select("row_id").collect())
+        assert got == list(range(1, n + 1))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_samples_of_repeated_keys_have_the_asked_size(spark):
+    from commentmill.operators.rows import sample_rows
+    df = spark.createDataFrame([(i % 7, f"t{i % 20}") for i in range(140)], "k int, t string")
+    for n in (1, 50, 139, 140, 500):
+        got = sample_rows(df, n, key="k")
+        assert got.count() == min(n, 140)
+    assert sorted(sample_rows(df, 50, key="k").collect()) == sorted(sample_rows(df.repartition(5), 50, key="k").collect())
+
+
+def test_missing_labels_are_a_class(spark):
+    from commentmill.operators import metrics, model
+    df = spark.createDataFrame([(i, f"word{i % 5} text", None if i % 4 == 0 else f"y{i % 2}") for i in range(100)],
+                               "id int, text string, y string")
+    split = model.split_exact(df, key="id", label_col="y")
+    assert split.filter("is_test").count() == 20 and split.filter("is_test AND y IS NULL").count() == 5
+    assert {r["label"] for r in metrics.class_counts(df, "y").collect()} == {"", "y0", "y1"}
+    fitted, scores, _ = model.train_selected(df, "Naive Bayes", text_col="text", label_col="y", key="id")
+    assert scores.first()["samples_test"] == 20
+    named = df.withColumn("y", F.when(F.col("y") == "y0", "").otherwise(F.col("y"))).filter("y IS NOT NULL")
+    parts = model.split_exact(named, key="id", label_col="y").filter("is_test").groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in parts} == {"": 5, "y1": 10}
