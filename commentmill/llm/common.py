@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from commentmill.functions.cut import materialized
 
@@ -11,7 +16,7 @@ from commentmill.functions.cut import materialized
 #: groups as its inverse. That bounds what ``attach`` broadcasts, whatever the input's size.
 HOT_SHARE = 1 / 1000
 
-__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "empty_if_null", "materialized"]
+__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "empty_if_null", "map_texts", "materialized"]
 
 
 def empty_if_null(text: Column) -> Column:
@@ -75,3 +80,19 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     nodes = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return materialized(nodes.unionByName(roots.join(nodes, "node", "left_anti")))
+
+
+def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[str | None], object]],
+              name: str, kind: str) -> DataFrame:
+    """(id, name): a Python function of every text, of the given type. ``make`` is called once
+    per task. Ids pass through as they are, nulls among them."""
+    plain = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    arrow = to_arrow_type(DataType.fromDDL(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = make()
+        for batch in batches:
+            values = [one(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values, arrow)], ["id", name])
+
+    return plain.mapInArrow(run, f"id {plain.schema['id'].dataType.simpleString()}, {name} {kind}")

@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commentmill.llm.common import materialized
+from commentmill.llm.common import map_texts, materialized
 
 #: Number of cosine features, kernel width in units of the square root of the statistics' number,
 #: and the ridge term per training row.
@@ -35,6 +36,7 @@ _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 
 
 def statistics(text: str | None) -> list[float]:
+    """What the score sees of a text."""
     data = (text or "").encode("utf-8", "surrogatepass")
     n = max(1, len(data))
     seen = np.bincount(np.frombuffer(data, np.uint8), minlength=256) if data else np.zeros(256, np.int64)
@@ -59,11 +61,6 @@ def statistics(text: str | None) -> list[float]:
 SIZE = len(statistics(""))
 
 
-def _stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "x": [np.array(statistics(t), float) for t in pdf["text"]]})
-
-
 @dataclass
 class Model:
     mean: np.ndarray
@@ -169,8 +166,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
 
 def _fitted(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str,
             label_col: str) -> tuple[DataFrame, Model]:
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    stats = materialized(texts.mapInPandas(_stats, f"id {dict(texts.dtypes)['id']}, x array<double>"))
+    stats = materialized(map_texts(df, id_col, text_col, lambda: statistics, "x", "array<double>"))
     known = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("double").alias("label"))
     return stats, fit(stats, known)
 
@@ -195,9 +191,9 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     stats, model = _fitted(df, labels, id_col, text_col, label_id, label_col)
     kind = dict(stats.dtypes)["id"]
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist()).reshape(-1, SIZE)
-            yield pd.DataFrame({"id": pdf["id"], "score": model.score(x)})
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist(), float).reshape(-1, SIZE)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.score(x))], ["id", "score"])
 
-    return stats.mapInPandas(scored, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return stats.mapInArrow(scored, f"id {kind}, score double").withColumnRenamed("id", id_col)

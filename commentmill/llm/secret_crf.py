@@ -27,12 +27,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from commentmill.llm.common import map_texts
+
 KINDS = ("assign", "access", "hex")
 ADDED = "crf"
+SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 #: Most documents looked at and windows learned from, tokens per window, and rounds of training.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW, ROUNDS = 20_000, 1_500, 33, 60
 CAUTION = 2.0
@@ -274,17 +276,14 @@ def train(docs: DataFrame, text_col: str) -> Chain | None:
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     drawn = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                code = int(hashlib.md5((text or "").encode("utf-8", "replace")).hexdigest()[:12], 16)
-                for i, (f, y) in enumerate(windows(text or "", code)):
-                    rows.append((code, i, f.ravel().astype(np.int32), y.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["code", "i", "f", "y"])
-
-    found = (drawn.select(F.col(text_col).cast("string").alias("text"))
-             .mapInPandas(run, "code bigint, i int, f array<int>, y array<int>")
+    def learn_from(text: str | None) -> dict:
+        code = int(hashlib.md5((text or "").encode("utf-8", "replace")).hexdigest()[:12], 16)
+        return {"code": code, "rows": [{"f": f.ravel().astype(np.int32), "y": y.astype(np.int32)}
+                                       for f, y in windows(text or "", code)]}
+
+    kind = "struct<code:bigint,rows:array<struct<f:array<int>,y:array<int>>>>"
+    found = (map_texts(drawn, text_col, text_col, lambda: learn_from, "e", kind)
+             .select("e.code", F.posexplode("e.rows").alias("i", "r")).select("code", "i", "r.f", "r.y")
              .dropDuplicates(["code", "i"]).orderBy("code", "i").limit(SAMPLE_WINDOWS).toPandas())
     if sum(B in y for y in found["y"]) < 10:
         return None
@@ -320,19 +319,12 @@ def added_spans(text: str, base: list[Span], chain: Chain) -> list[Span]:
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: id, spans (array of kind, start, end, base)."""
     chain = train(df, text_col)
-    kind = dict(df.select(id_col).dtypes)[id_col]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            spans = []
-            for text in pdf["text"]:
-                base = base_spans(text or "")
-                more = added_spans(text, base, chain) if chain and text else []
-                both = [(k, s, e, True) for k, s, e in base] + [(k, s, e, False) for k, s, e in more]
-                spans.append([{"kind": k, "start": s, "end": e, "base": b}
-                              for k, s, e, b in sorted(both, key=lambda x: (x[1], (*KINDS, ADDED).index(x[0])))])
-            yield pd.DataFrame({"id": pdf["id"], "spans": spans})
-
-    schema = f"id {kind}, spans array<struct<kind:string,start:int,end:int,base:boolean>>"
-    return (df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInPandas(run, schema).withColumnRenamed("id", id_col))
+
+    def spans(text: str | None) -> list[dict]:
+        base = base_spans(text or "")
+        more = added_spans(text, base, chain) if chain and text else []
+        both = [(k, s, e, True) for k, s, e in base] + [(k, s, e, False) for k, s, e in more]
+        return [{"kind": k, "start": s, "end": e, "base": b}
+                for k, s, e, b in sorted(both, key=lambda x: (x[1], (*KINDS, ADDED).index(x[0])))]
+
+    return map_texts(df, id_col, text_col, lambda: spans, "spans", SPANS).withColumnRenamed("id", id_col)

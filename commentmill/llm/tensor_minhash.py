@@ -21,7 +21,6 @@ result. Columns of the input are only read by name and may be called anything el
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commentmill.llm.bloom_dedup import drop_listed, filter_words
-from commentmill.llm.common import attach, components, materialized
+from commentmill.llm.common import attach, components, map_texts, materialized
 
 BUNDLES, BUNDLE = 10, 2
 #: Buckets up to this many sets give all their pairs: at most 15 per member.
@@ -98,26 +97,24 @@ def bundles(shingles: np.ndarray, odd: np.ndarray, flip: np.ndarray) -> np.ndarr
 
 
 def _sketch(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         cache, (odd, flip) = _WordHashes(), _rule()
-        for pdf in batches:
-            n, key, sig = [], [], []
-            for text in pdf["text"]:
-                s = shingle_set(text, width, cache)
-                n.append(len(s))
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig.append(bundles(s, odd, flip) if len(s) else None)
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "set_key": key, "sig": sig})
-    return run
+
+        def one(text: str | None) -> dict:
+            s = shingle_set(text, width, cache)
+            if not len(s):
+                return {"n": 0, "set_key": None, "sig": None}
+            key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+            return {"n": len(s), "set_key": key, "sig": bundles(s, odd, flip)}
+        return one
+    return make
 
 
 def _set_arrays(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         cache = _WordHashes()
-        for pdf in batches:
-            sets = [shingle_set(t, width, cache).view(np.int64) for t in pdf["text"]]
-            yield pd.DataFrame({"rep": pdf["id"], "shingles": sets})
-    return run
+        return lambda text: shingle_set(text, width, cache).view(np.int64)
+    return make
 
 
 def _table_flip(table: Column) -> Column:
@@ -297,8 +294,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``df``: id, n_shingles, component_id (smallest id reachable over links
     of at least ``percent`` of similarity), kept."""
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = materialized(texts.mapInPandas(
-        _sketch(width), "id bigint, n bigint, set_key binary, sig array<int>"))
+    sketches = materialized(map_texts(
+        texts, "id", "text", _sketch(width), "s", "struct<n:bigint,set_key:binary,sig:array<int>>").select("id", "s.*"))
     sized = sketches.filter("n > 0 AND id IS NOT NULL")
     groups = materialized(sized.groupBy("set_key").agg(
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
@@ -308,8 +305,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = materialized(_agreeing(found, reps, percent))
     wanted = (pairs.select(F.explode(F.array("a", "b")).alias("id"))
               .unionByName(crowd.select(F.col("rep").alias("id"))).distinct())
-    sets = materialized(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])
-                        .mapInPandas(_set_arrays(width), "rep bigint, shingles array<bigint>"))
+    chosen = texts.join(wanted, "id", "left_semi")
+    sets = materialized(map_texts(chosen, "id", "text", _set_arrays(width), "shingles", "array<bigint>")
+                        .select(F.col("id").alias("rep"), "shingles").dropDuplicates(["rep"]))
     # one partner each first: most of a group is connected by these few confirmations
     ends = pairs.select(F.col("b").alias("x"), "a", "b", "same").unionByName(
         pairs.select(F.col("a").alias("x"), "a", "b", "same"))
