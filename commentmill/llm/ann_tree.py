@@ -4,8 +4,11 @@ The tree is fitted on at most ``SAMPLE`` distinct vectors (drawn by a hash of th
 every distinct vector is put into a leaf. A query goes through the tree best bin first: a priority
 queue of nodes by the inner product with their centroids. How many leaves each query visits is
 widened until, on calibration queries answered by brute force over all vectors, the recall reaches
-``target``; queries whose leaves hold too few vectors go on further. Visited leaves are joined with
-their vectors in blocks of bounded size and scored in double precision.
+``target``; queries whose leaves hold too few vectors go on further. Neighbouring leaves form
+blocks of bounded size; a query meets a block once, for all the leaves it visits there, and only its
+best entries leave the task. Scores are sums in double precision, in the order of the components.
+Where vectors have no clusters, a tree must visit most of its leaves, and the work grows with
+queries times vectors.
 
 Equal vectors are one entry with its smallest ids, so a group of copies costs one comparison.
 
@@ -32,7 +35,8 @@ SAMPLE = 50_000
 BRANCH = 8
 LEAF_ROWS = 200
 CALIBRATION = 128
-BLOCK = 4096
+#: Most vectors of a block and queries that meet it in one call, and queries scored at a time.
+BLOCK, QUERY_BLOCK, AT_ONCE = 16_384, 8_192, 128
 
 
 class Tree:
@@ -97,31 +101,32 @@ def _split(points: np.ndarray, rows: np.ndarray, draw) -> list[np.ndarray]:
     return [rows[near == c] for c in range(len(centers)) if (near == c).any()]
 
 
-def products(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the order of the components."""
-    out = np.zeros((len(queries), len(points)))
-    for d in range(queries.shape[1]):
-        out += queries[:, d, None] * points[None, :, d]
-    return out
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to smaller ids."""
-    if len(scores) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        rows = np.nonzero(scores >= cut)[0]
-    else:
-        rows = np.arange(len(scores))
-    return rows[np.lexsort((ids[rows], -scores[rows]))][:k]
-
-
-def _top(queries: np.ndarray, q_ids, points: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    found = []
-    for at in range(0, len(queries), 256):
-        for q, row in zip(q_ids[at:at + 256], products(queries[at:at + 256], points), strict=True):
-            best = _best(row, ids, k)
-            found.append(pd.DataFrame({"q": q, "rep": ids[best], "score": row[best]}))
-    return pd.concat(found) if found else pd.DataFrame({"q": [], "rep": [], "score": []})
+def _top(queries: np.ndarray, q_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int,
+         allowed=None) -> pd.DataFrame:
+    """The k best points of each query, ties to smaller ids. ``allowed(a, b)`` tells, for queries
+    a to b, which points they may have. Fast products choose, exact ones rank."""
+    order = np.argsort(ids, kind="stable")  # equal scores then stand by id
+    points, ids = points[order], ids[order]
+    out_q, out_r, out_s = [], [], []
+    spare = min(len(ids), k + 4)
+    for at in range(0, len(queries), AT_ONCE):
+        asks = queries[at:at + AT_ONCE]
+        scores = asks @ points.T
+        if allowed is not None:
+            scores[~allowed(at, at + len(asks))[:, order]] = -np.inf
+        near = np.argpartition(-scores, spare - 1, axis=1)[:, :spare]
+        near.sort(axis=1)
+        exact = np.zeros(near.shape)
+        for d in range(asks.shape[1]):
+            exact += asks[:, d, None] * points[near, d]
+        exact[np.isneginf(np.take_along_axis(scores, near, axis=1))] = -np.inf
+        rank = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(exact, rank, axis=1)
+        rows, cols = np.nonzero(best > -np.inf)
+        out_q.append(q_ids[at:at + AT_ONCE][rows])
+        out_r.append(ids[np.take_along_axis(near, rank, axis=1)][rows, cols])
+        out_s.append(best[rows, cols])
+    return pd.DataFrame({"q": np.concatenate(out_q), "rep": np.concatenate(out_r), "score": np.concatenate(out_s)})
 
 
 def _valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -133,7 +138,7 @@ def _valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             .withColumns({"h1": F.xxhash64("vec"), "h2": F.hash("vec"), "dim": F.size("vec")}))
 
 
-def search(df: DataFrame, is_query: Column, k: int = 20, target: float = 0.97, id_col: str = "vec_id",
+def search(df: DataFrame, is_query: Column, k: int = 20, target: float = 0.94, id_col: str = "vec_id",
            vec_col: str = "embedding") -> DataFrame:
     """For each row of ``df`` with ``is_query`` (over vec_id): query_id, rank, vec_id, score."""
     schema = "query_id bigint, rank int, vec_id bigint, score double"
@@ -172,37 +177,56 @@ def search(df: DataFrame, is_query: Column, k: int = 20, target: float = 0.97, i
     queries = materialized(index.join(sizes, ["h1", "h2"], "left_semi").select(F.col("rep").alias("q"), "vec"))
     most = _widened(queries, index, tree, held, k, target)
 
+    # leaves are numbered as they lie in the tree, so those of a block are neighbours; a leaf
+    # larger than a block has several of its own
+    parts = np.maximum(1, -(-held // BLOCK)).astype(int)
+    first, block, filled = [], 0, 0
+    for n, p in zip(held, parts, strict=True):
+        if filled and (p > 1 or filled + n > BLOCK):
+            block, filled = block + 1, 0
+        first.append(block)
+        filled += int(n)
+        if p > 1:
+            block, filled = block + int(p), 0
+    where = spark.createDataFrame([(i, f, int(p)) for i, (f, p) in enumerate(zip(first, parts, strict=True))],
+                                  "leaf int, first int, parts int")  # one line per leaf
+
     def visiting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(leaf=[tree.visits(np.asarray(v), most, held, k + 1) for v in pdf["vec"]])
-
-    trips = queries.mapInPandas(visiting, "q bigint, vec array<double>, leaf array<int>").select(
-        "q", "vec", F.explode("leaf").alias("leaf"))
-    trips = materialized(trips)
-    # both sides of a leaf are dealt into blocks of bounded size
-    asked = {r["leaf"]: r["count"] for r in trips.groupBy("leaf").count().collect()}  # one line per leaf
-    blocks = spark.createDataFrame(
-        [(i, int(-(-n // BLOCK)), int(-(-asked[i] // BLOCK))) for i, n in enumerate(held) if i in asked],
-        "leaf int, cb int, qb int")
-
-    def block(x: str, n: str) -> Column:
-        return F.pmod(F.xxhash64(x), F.col(n)).cast("int")
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    left = (trips.join(F.broadcast(blocks), "leaf").withColumn("y", block("q", "qb"))
-            .select("leaf", "y", every("cb").alias("x"), "q", "vec"))
-    right = (index.join(F.broadcast(blocks), "leaf").withColumn("x", block("rep", "cb"))
-             .select("leaf", "x", every("qb").alias("y"), "rep", "vec"))
+            trips = []
+            for v in pdf["vec"]:
+                met: dict[int, list[int]] = {}
+                for leaf in tree.visits(np.asarray(v), most, held, k + 1):
+                    for b in range(first[leaf], first[leaf] + int(parts[leaf])):
+                        met.setdefault(b, []).append(leaf)
+                trips.append([{"block": b, "leaves": ls} for b, ls in met.items()])
+            yield pdf.assign(trips=trips)
+
+    trips = queries.mapInPandas(
+        visiting, "q bigint, vec array<double>, trips array<struct<block:int,leaves:array<int>>>")
+    deals = max(1, -(-queries.count() // QUERY_BLOCK))
+    left = trips.select("q", "vec", F.inline("trips")).withColumn(
+        "y", F.pmod(F.xxhash64("q"), F.lit(deals)).cast("int"))
+    right = (index.join(F.broadcast(where), "leaf")
+             .withColumn("block", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int"))
+             .select("block", "leaf", "rep", "vec", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("y")))
 
     def scored(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(cs):
             return pd.DataFrame({"q": [], "rep": [], "score": []})
+        leaf = cs["leaf"].to_numpy()
+        sets = qs["leaves"].tolist()
+
+        def allowed(a: int, b: int) -> np.ndarray:
+            seen = np.zeros((len(sets[a:b]), tree.leaves), bool)
+            for i, ls in enumerate(sets[a:b]):
+                seen[i, ls] = True
+            return seen[:, leaf]
+
         return _top(np.array(qs["vec"].tolist()), qs["q"].to_numpy(), np.array(cs["vec"].tolist()),
-                    cs["rep"].to_numpy(), k + 1)
+                    cs["rep"].to_numpy(), k + 1, allowed)
 
-    key = ["leaf", "x", "y"]
+    key = ["block", "y"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(scored, "q bigint, rep bigint, score double")
     order = W.partitionBy("q").orderBy(F.desc("score"), "rep")
     best = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
