@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stretches up to this many characters are remembered, so many of them at most.
-SHORT, REMEMBERED = 32, 800_000
+SHORT, REMEMBERED = 32, 150_000
 #: Rows whose texts are encoded together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 @dataclass(frozen=True)
