@@ -31,15 +31,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches up to this many characters are remembered, so many of them at most.
-SHORT, REMEMBERED = 32, 150_000
-#: Rows whose texts are encoded together.
-BATCH_CHARS = 2_000_000
+#: Stretches up to this many characters are remembered: twice so many at most, and their parts.
+SHORT, REMEMBERED, REMEMBERED_PARTS = 32, 250_000, 80_000
+#: Bytes of the texts that are encoded together (or one text).
+BATCH_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -173,15 +174,20 @@ class Transducer:
 
 
 class _Remembered(dict):
-    """Ids by stretch or part, as bytes of 32-bit numbers; short ones are kept."""
+    """Ids by stretch or part, as bytes of 32-bit numbers; short ones are kept. When it is full,
+    what it holds becomes the older half, and what is used again comes back."""
 
-    def __init__(self, solve):
-        self.solve = solve
+    def __init__(self, solve, most: int):
+        self.solve, self.most = solve, most
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        out = self.solve(text)
+        out = self.older.get(text)
+        if out is None:
+            out = self.solve(text)
         if len(text) <= SHORT:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[text] = out
         return out
@@ -190,8 +196,9 @@ class _Remembered(dict):
 class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.transducer = t = Transducer(vocab)
-        self.parts = _Remembered(lambda part: np.array(t.shortest(part), np.int32).tobytes())
-        self.known = _Remembered(lambda stretch: b"".join(map(self.parts.__getitem__, t.uncrossed(stretch))))
+        self.parts = _Remembered(lambda part: np.array(t.shortest(part), np.int32).tobytes(), REMEMBERED_PARTS)
+        self.known = _Remembered(lambda stretch: b"".join(map(self.parts.__getitem__, t.uncrossed(stretch))),
+                                 REMEMBERED)
 
     def __call__(self, text: str | None) -> np.ndarray:
         t = self.transducer
@@ -210,11 +217,11 @@ def _encoder(vocab: Vocabulary) -> Encoder:
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with a bounded number of characters (or one row)."""
-    sizes = [len(t or "") for t in batch.column("text").to_pylist()]
+    """Parts of a batch with a bounded number of bytes of text (or one row)."""
+    sizes = [n or 0 for n in pc.binary_length(batch.column("text")).to_pylist()]
     at = held = 0
     for i, n in enumerate(sizes):
-        if held and held + n > BATCH_CHARS:
+        if held and held + n > BATCH_BYTES:
             yield batch.slice(at, i - at)
             at, held = i, 0
         held += n
@@ -222,24 +229,34 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at)
 
 
-def encode(df: DataFrame, vocab: Vocabulary, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The carried columns (all but the text's, by default) of each row, and ``ids``."""
+def encode(df: DataFrame, vocab: Vocabulary, text_col: str = "text", carry: list[str] | None = None,
+           verify: str | None = None) -> DataFrame:
+    """The carried columns (all but the text's, by default) of each row, and ``ids``. With
+    ``verify`` a column of that name tells whether the decoded ids give the text again (marks in it
+    read as spaces)."""
     carry = [c for c in df.columns if c != text_col] if carry is None else carry
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     plain = df.select(F.struct(*carry).alias("row"), F.col(text_col).cast("string").alias("text"))
+    names = ["row", "ids", *([verify] if verify else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocab)
+        back = encoder.transducer.decode
         for whole in batches:
             for batch in _slices(whole):
-                ids = [encoder(t) for t in batch.column("text").to_pylist()]
+                texts = batch.column("text").to_pylist()
+                ids = [encoder(t) for t in texts]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), pa.ListArray.from_arrays(pa.array(ends), values)], ["row", "ids"])
+                out = [batch.column("row"), pa.ListArray.from_arrays(pa.array(ends), values)]
+                if verify:
+                    out.append(pa.array([back(i.tolist()) == (t or "").replace(MARK, " ")
+                                         for i, t in zip(ids, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, names)
 
     row = "struct<" + ",".join(f"`{c}`:{kinds[c]}" for c in carry) + ">"
-    return plain.mapInArrow(run, f"row {row}, ids array<int>").select("row.*", "ids")
+    schema = f"row {row}, ids array<int>" + (f", `{verify}` boolean" if verify else "")
+    return plain.mapInArrow(run, schema).select("row.*", *names[1:])
 
 
 def decode(df: DataFrame, vocab: Vocabulary, ids_col: str = "ids", out: str = "text") -> DataFrame:
