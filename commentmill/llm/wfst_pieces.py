@@ -26,6 +26,7 @@ import hashlib
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches up to this many characters are remembered: twice so many at most, and their parts.
-SHORT, REMEMBERED, REMEMBERED_PARTS = 32, 250_000, 80_000
+#: Stretches up to this many characters are remembered, twice so many at most.
+SHORT, REMEMBERED = 32, 500_000
 #: Bytes of the texts that are encoded together (or one text).
 BATCH_BYTES = 2_000_000
 
@@ -70,25 +71,24 @@ class Transducer:
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         silent = vocab.special | set(vocab.byte_ids)
-        self.arcs: list[dict[str, int]] = [{}]
-        self.final = [-1]
+        # a state is its outgoing arcs by character and the piece it emits (-1: none)
+        self.start: dict[str, list] = {}
         self.by_text: dict[str, int] = {}
         for i, piece in enumerate(vocab.pieces):
             if i in silent:
                 continue
             self.by_text[piece] = i
-            state = 0
+            arcs, state = self.start, None
             for ch in piece:
-                there = self.arcs[state].get(ch)
-                if there is None:
-                    there = self.arcs[state][ch] = len(self.arcs)
-                    self.arcs.append({})
-                    self.final.append(-1)
-                state = there
-            self.final[state] = i
+                state = arcs.get(ch)
+                if state is None:
+                    state = arcs[ch] = [{}, -1]
+                arcs = state[0]
+            state[1] = i
         self.cost = [-s for s in vocab.scores]
         self.bytes_cost = max(self.cost) + 1.0
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.width = len(vocab.pieces)
+        self.pairs: dict[int, bool] = {}  # by a * width + b
         self.emitted = [p.replace(MARK, " ").encode() for p in vocab.pieces]
         for i in vocab.special:
             self.emitted[i] = b""
@@ -117,10 +117,9 @@ class Transducer:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the arc of piece b is open in the state after piece a."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            left, right = self.vocab.pieces[a], self.vocab.pieces[b]
-            known = self.pairs[a, b] = not self.vocab.paired or self.merged(left + right) == [left, right]
+        left, right = self.vocab.pieces[a], self.vocab.pieces[b]
+        known = not self.vocab.paired or self.merged(left + right) == [left, right]
+        self.pairs[a * self.width + b] = known
         return known
 
     def shortest(self, text: str) -> list[int]:
@@ -128,25 +127,30 @@ class Transducer:
         relaxed from left to right. A position keeps its cheapest path; where pairs are closed
         there is one open path to a position, so nothing is lost."""
         n = len(text)
-        arcs, final, cost, pairs = self.arcs, self.final, self.cost, self.pairs
-        total = [0.0] + [float("inf")] * n
+        start, cost, pairs, width = self.start, self.cost, self.pairs, self.width
+        infinite = float("inf")
+        total = [0.0] + [infinite] * n
         piece, before = [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
             so_far = total[i]
-            if so_far == float("inf"):
+            if so_far == infinite:
                 continue
-            last, state = piece[i], 0
-            for j in range(i, n):
-                state = arcs[state].get(text[j])
+            last, arcs, j = piece[i], start, i
+            for ch in text[i:]:
+                state = arcs.get(ch)
                 if state is None:
                     break
-                arc = final[state]
-                if arc >= 0 and so_far + cost[arc] < total[j + 1] and (
-                        last < 0 or (pairs[last, arc] if (last, arc) in pairs else self.may_follow(last, arc))):
-                    total[j + 1], piece[j + 1], before[j + 1] = so_far + cost[arc], arc, i
+                arcs, arc = state
+                j += 1
+                if arc >= 0 and so_far + cost[arc] < total[j]:
+                    if last >= 0:
+                        open_ = pairs.get(last * width + arc)
+                        if not (self.may_follow(last, arc) if open_ is None else open_):
+                            continue
+                    total[j], piece[j], before[j] = so_far + cost[arc], arc, i
             if text[i] not in self.by_text:  # byte fallback
                 total[i + 1], piece[i + 1], before[i + 1] = so_far + self.bytes_cost, -1, i
-        if total[n] == float("inf"):  # equal scores can close every path: merge as it stands
+        if total[n] == infinite:  # equal scores can close every path: merge as it stands
             return [i for p in self.merged(text) for i in
                     ([self.by_text[p]] if p in self.by_text else self.as_bytes(p))]
         out: list[int] = []
@@ -161,7 +165,10 @@ class Transducer:
         return [self.vocab.byte_ids[b] for b in text.encode("utf-8", "replace")]
 
     def uncrossed(self, text: str) -> list[str]:
-        """Parts of a stretch between neighbours that no piece holds side by side."""
+        """Parts of a stretch between neighbours that no piece holds side by side. Where letters
+        meet they are not looked for: cutting only saves work."""
+        if text[1:].isalpha():
+            return [text]
         cuts = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in self.inside]
         return [text[i:j] for i, j in zip([0, *cuts], [*cuts, len(text)], strict=True)]
 
@@ -169,12 +176,12 @@ class Transducer:
         return MARK + text.replace(" ", MARK) if text else ""
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join([self.emitted[i] for i in ids])
+        raw = b"".join(map(self.emitted.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 class _Remembered(dict):
-    """Ids by stretch or part, as bytes of 32-bit numbers; short ones are kept. When it is full,
+    """Ids by stretch, as bytes of 32-bit numbers; short ones are kept. When it is full,
     what it holds becomes the older half, and what is used again comes back."""
 
     def __init__(self, solve, most: int):
@@ -196,9 +203,13 @@ class _Remembered(dict):
 class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.transducer = t = Transducer(vocab)
-        self.parts = _Remembered(lambda part: np.array(t.shortest(part), np.int32).tobytes(), REMEMBERED_PARTS)
-        self.known = _Remembered(lambda stretch: b"".join(map(self.parts.__getitem__, t.uncrossed(stretch))),
-                                 REMEMBERED)
+        self.known = _Remembered(self._solve, REMEMBERED)
+
+    def _solve(self, stretch: str) -> bytes:
+        parts = self.transducer.uncrossed(stretch)
+        if len(parts) > 1:
+            return b"".join(map(self.known.__getitem__, parts))
+        return array("i", self.transducer.shortest(stretch)).tobytes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         t = self.transducer
