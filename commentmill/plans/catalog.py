@@ -3,20 +3,22 @@ disguised words, scorer answers) are derived from whole documents, row by row.""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentmill.functions import lexicons as lex
+from commentmill.functions.cut import ensure_checkpoint_dir
 from commentmill.functions.text import bind, tokens
 from commentmill.operators import (
     augment, clean, features, metrics, model, parse, profanity, profile, rows, stats,
 )
 from commentmill.operators.knn import KNNClassifier
 from commentmill.plans import scoring
-from commentmill.plans.lexicon_scorer import lexicon_scorer
-from commentmill.sources import history
+from commentmill.plans.lexicon_scorer import lexicon_scorer, python_scorer
+from commentmill.sources import datasets, history
 
 # The words that mark toxic documents in the given tables.
 TERMS = ["trash", "scum", "idiot", "clown", "worthless", "moron", "pathetic", "loser", "stupid",
@@ -350,6 +352,38 @@ def sampled_rows_large(spark, sf_dir):
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")).distinct(), 12_000, key="k")
 
 
+# --- files -----------------------------------------------------------------------------------
+
+
+def _written(spark, write: Callable[[str], None]) -> str:
+    """Writes into a new folder of the session's shared folder."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4()}"
+    write(path)
+    return path
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    """Documents exported and read again; texts hold quotes and line breaks."""
+    path = _written(spark, lambda p: datasets.export_csv(documents(spark, sf_dir, "lang"), p))
+    return datasets.load_dataset(spark, path, "csv", "doc_id bigint, text string, lang string",
+                                 multiline=True, strict=True)
+
+
+@query
+def json_round_trip(spark, sf_dir):
+    path = _written(spark, lambda p: documents(spark, sf_dir, "lang").write.json(p))
+    return datasets.load_dataset(spark, path, "jsonl", "doc_id bigint, text string, lang string", strict=True)
+
+
+@query
+def text_lines(spark, sf_dir):
+    """Every line of the documents as one comment, counted."""
+    path = _written(spark, lambda p: documents(spark, sf_dir).select("text").write.text(p))
+    return datasets.load_dataset(spark, path, "text").groupBy("comment_text").agg(F.count("*").alias("n"))
+
+
 # --- labels and metrics ----------------------------------------------------------------------
 
 
@@ -504,6 +538,13 @@ def score_rows(spark, sf_dir):
     return scoring.row_results(_scored(spark, sf_dir))
 
 
+@query
+def score_rows_python(spark, sf_dir):
+    """The rows scored by a Python function in Arrow batches."""
+    return scoring.row_results(scoring.score_dataset(
+        _items(spark, sf_dir), python_scorer(TERMS), max_rows=8, budget=2_000))
+
+
 @query
 def score_failures(spark, sf_dir):
     return scoring.error_report(_scored(spark, sf_dir).failed).select("row_id", "n_more")

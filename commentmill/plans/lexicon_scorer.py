@@ -6,7 +6,9 @@ expression, so scoring jobs can run and be checked without leaving the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,3 +46,30 @@ def lexicon_scorer(terms: Iterable[str] | None = None, prompt: str = "prompt") -
 
     return F.concat(F.lit("["), F.array_join(
         F.transform(F.split(F.col(prompt), "\n"), answer), ","), F.lit("]"))
+
+
+def python_scorer(terms: Iterable[str]) -> Callable[[], Callable[[str], str]]:
+    """The same answers from a Python function, as a model's client would give them. Rows whose id
+    ends in 7 get a score that is not whole, which no retry mends."""
+    words, endings = list(terms), list(lex.PROFANITY_SUFFIXES)
+
+    def factory() -> Callable[[str], str]:
+        spelled = re.compile(rf"(?i)(?<!\w)({'|'.join(map(re.escape, words))})(?:{'|'.join(endings)})?(?!\w)")
+        plain = str.maketrans(lex.LOOKALIKE_FROM, lex.LOOKALIKE_TO)
+
+        def hits(text: str) -> int:
+            bare = re.sub("[^a-z0-9]+", " ", text.lower().translate(plain))
+            return len({m.lower() for t in (text, bare) for m in spelled.findall(t)})
+
+        def one(line: str) -> dict:
+            number, _, text = line.partition(": ")
+            n = hits(text)
+            six = dict.fromkeys(lex.SCORE_FIELDS, 0) | {
+                "toxicity": min(100, 30 * n), "severe_toxicity": min(100, 10 * n), "insult": min(100, 35 * n)}
+            return {"row_id": int(number), "overall_score": 12.5 if number.endswith("7") else min(100, 35 * n),
+                    "scores": six, "category": ["Harassment" if n else "None"],
+                    "toxicity_level": lex.LEVELS[min(n, 3)], "toxicity_type": ["Insult"] if n else []}
+
+        return lambda prompt: json.dumps([one(line) for line in prompt.split("\n")])
+
+    return factory

@@ -641,6 +641,14 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT row_id AS row_number, overall, {', '.join(SIX)}, CASE h WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Severe' END AS level, "
             "CASE WHEN h > 0 THEN 'Harassment' ELSE 'None' END AS category, CASE WHEN h > 0 THEN 'Insult' ELSE 'None' END AS toxicity_type, "
             f"{PREVIEW} AS text_preview FROM ok"),
+        "score_rows_python": RESULTS + (
+            f"SELECT row_id AS row_number, overall, {', '.join(SIX)}, CASE h WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Severe' END AS level, "
+            "CASE WHEN h > 0 THEN 'Harassment' ELSE 'None' END AS category, CASE WHEN h > 0 THEN 'Insult' ELSE 'None' END AS toxicity_type, "
+            f"{PREVIEW} AS text_preview FROM ok"),
+        "csv_round_trip": "SELECT doc_id, text, lang FROM documents",
+        "json_round_trip": "SELECT doc_id, text, lang FROM documents",
+        "text_lines": "SELECT comment_text, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS comment_text "
+                      "FROM documents) GROUP BY comment_text",
         "score_failures": RESULTS + "SELECT row_id, greatest(0, (SELECT count(*) FROM scored WHERE failed) - 20) AS n_more "
                                     "FROM scored WHERE failed ORDER BY row_id LIMIT 20",
         "score_summary": RESULTS + (

@@ -16,6 +16,7 @@ def local_session(name: str = "commentmill", cpus: int | str = "*",
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # of a key that a scorer repeats in one object, the last value counts
         .config("spark.sql.variant.allowDuplicateKeys", "true")
         .getOrCreate()

@@ -64,9 +64,12 @@ def flat_columns(df: DataFrame) -> DataFrame:
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The dataset with its derived columns, written in parallel as CSV parts."""
-    flat_columns(df).write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
+    flat_columns(df).write.mode(mode).options(
+        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def export_row_results(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Row results as tab-separated parts with a header."""
-    flat_columns(results).write.mode(mode).options(header=True, sep="\t", quote='"', escape='"').csv(path)
+    flat_columns(results).write.mode(mode).options(
+        header=True, sep="\t", quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False).csv(path)
