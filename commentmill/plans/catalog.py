@@ -499,6 +499,13 @@ def naive_bayes_predictions(spark, sf_dir):
     return fitted.predict(documents(spark, sf_dir)).select("doc_id", "prediction_label")
 
 
+@query
+def naive_bayes_metrics(spark, sf_dir):
+    _, scores, _ = model.train_selected(_labelled(spark, sf_dir), "Naive Bayes", text_col="text",
+                                        label_col="toxic", key="doc_id")
+    return scores.select("samples_train", "samples_test", "accuracy")
+
+
 # --- scoring -------------------------------------------------------------------------------------
 
 

@@ -465,6 +465,24 @@ GRAMS = (
 )
 VOCAB = ("SELECT term, sum(tf)::BIGINT AS total, count(*) AS df FROM {tf} GROUP BY term "
          "ORDER BY total DESC, term LIMIT 50000")
+# Multinomial naive Bayes in closed form, smoothing 1; a tie goes to the commoner class.
+BAYES = (
+    exact_split("(SELECT doc_id, text, toxic FROM documents JOIN labels USING (doc_id))", "doc_id", "toxic") + ", "
+    + GRAMS.replace("{src}", "documents")
+    + ", tr AS (SELECT tf.* FROM tf JOIN s USING (doc_id) WHERE NOT is_test), "
+      "nn AS (SELECT count(*) AS n FROM s WHERE NOT is_test), "
+    + f"voc AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM ({VOCAB.replace('{tf}', 'tr')}), nn), "
+      "v AS (SELECT doc_id, term, tf * idf AS v FROM tf JOIN voc USING (term)), "
+      "w AS (SELECT doc_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS w FROM v), "
+      "sums AS (SELECT lab, term, sum(w) AS f FROM w JOIN s USING (doc_id) WHERE NOT is_test GROUP BY ALL), "
+      "k AS (SELECT lab, ln((count(*) + 1) / ((SELECT n FROM nn) + (SELECT count(DISTINCT lab) FROM s))) AS prior, "
+      "(SELECT sum(f) FROM sums WHERE sums.lab = s.lab) + (SELECT count(*) FROM voc) AS mass, "
+      "row_number() OVER (ORDER BY count(*) DESC, lab) AS place FROM s WHERE NOT is_test GROUP BY lab), "
+      "p AS (SELECT d.doc_id, k.lab, any_value(place) AS place, any_value(prior) "
+      "+ coalesce(sum(w.w * (ln(coalesce(x.f, 0) + 1) - ln(mass))), 0) AS score FROM documents d CROSS JOIN k "
+      "LEFT JOIN w ON w.doc_id = d.doc_id LEFT JOIN sums x ON x.lab = k.lab AND x.term = w.term GROUP BY d.doc_id, k.lab), "
+      "best AS (SELECT doc_id, arg_min(lab, (-round(score, 9), place)) AS prediction_label FROM p GROUP BY doc_id) "
+)
 KNN = (
     f"WITH lab AS (SELECT doc_id, text, toxic, {draw('split')} < '33333333' AS is_test FROM documents JOIN labels USING (doc_id)), "
     + GRAMS.replace("{src}", "lab")
@@ -635,6 +653,9 @@ def oracle_sql() -> dict[str, str]:
         "split_sizes": "SELECT count(*) - ceil(count(*) * 0.2)::BIGINT AS samples_train, ceil(count(*) * 0.2)::BIGINT AS samples_test FROM lineitem",
         "tfidf_vocabulary": "WITH " + GRAMS.replace("{src}", "documents") + VOCAB.replace("{tf}", "tf"),
         "knn_predictions": KNN,
+        "naive_bayes_predictions": BAYES + "SELECT * FROM best",
+        "naive_bayes_metrics": BAYES + "SELECT count(*) FILTER (NOT is_test) AS samples_train, count(*) FILTER (is_test) AS samples_test, "
+                               "round(avg((prediction_label = lab)::INT) FILTER (is_test), 4) AS accuracy FROM s JOIN best USING (doc_id)",
         "packed_batches": PACK,
         "batch_prompts": f"WITH {ITEMS} SELECT row_id::VARCHAR AS batch_id, md5('Rate:' || chr(10) || row_id || ': ' || txt) AS prompt FROM full_items",
         "score_rows": RESULTS + (
