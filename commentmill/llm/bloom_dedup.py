@@ -56,22 +56,37 @@ def repeat_filter(hashes: DataFrame, words: int, sha: str = "__sha") -> DataFram
     return twice.groupBy("__word").agg(F.bit_or(bit).alias("__bits"))
 
 
-def drop_listed(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``df`` whose id is not in ``ids`` (one column), null ids stay. A Bloom filter of
-    the listed ids is broadcast, its size bounded; rows that it does not know do not move."""
-    listed = materialized(ids.select(ids.columns[0]).toDF("__gone").filter("__gone IS NOT NULL").distinct())
+def _listed(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with __maybe (its id may be listed, and is no null), and the listed ids. A Bloom filter
+    of them is broadcast, its size bounded."""
+    listed = materialized(ids.select(ids.columns[0]).toDF("__listed").filter("__listed IS NOT NULL").distinct())
     words = filter_words(listed.count())
 
     def digest(col: str) -> Column:
         return F.sha2(F.coalesce(F.col(col).cast("string"), F.lit("")), 256)
 
-    coded = listed.select(digest("__gone").alias("__sha"))
+    coded = listed.select(digest("__listed").alias("__sha"))
     bloom = coded.groupBy(_word(F.col("__sha"), words).alias("__word")).agg(
         F.bit_or(_mask(_cells(F.col("__sha")))).alias("__bits"))
     probed = probe(df.withColumn("__sha", digest(id_col)), materialized(bloom), words)
-    unknown = probed.filter(~F.col("__maybe") | F.col(id_col).isNull()).select(*df.columns)
-    maybe = probed.filter(F.col("__maybe") & F.col(id_col).isNotNull()).select(*df.columns)
-    return unknown.unionByName(maybe.join(listed, F.col(id_col) == F.col("__gone"), "left_anti"))
+    return probed.withColumn("__maybe", F.col("__maybe") & F.col(id_col).isNotNull()), listed
+
+
+def drop_listed(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id is not in ``ids`` (one column), null ids stay. Rows that the
+    filter of listed ids does not know do not move."""
+    probed, listed = _listed(df, ids, id_col)
+    maybe = probed.filter("__maybe").select(*df.columns)
+    return probed.filter(~F.col("__maybe")).select(*df.columns).unionByName(
+        maybe.join(listed, F.col(id_col) == F.col("__listed"), "left_anti"))
+
+
+def keep_listed(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id is in ``ids`` (one column). Only rows that the filter of listed
+    ids knows move."""
+    probed, listed = _listed(df, ids, id_col)
+    maybe = probed.filter("__maybe").select(*df.columns)
+    return maybe.join(listed, F.col(id_col) == F.col("__listed"), "left_semi")
 
 
 def filter_words(rows: int) -> int:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commentmill.llm.bloom_dedup import drop_listed, filter_words
+from commentmill.llm.bloom_dedup import drop_listed, filter_words, keep_listed
 from commentmill.llm.common import attach, components, map_texts, materialized
 
 BUNDLES, BUNDLE = 10, 2
@@ -142,9 +142,7 @@ def _key_mask(key: Column) -> Column:
 def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a, b) that meet in a bucket, and the rows (key, rep, leads) of crowded ones."""
     keys = _keys(reps)
-    flipped = F.col("rep").bitwiseXOR(F.col("flip"))
-    buckets = materialized(keys.groupBy("key").agg(
-        F.count("*").alias("c"), F.min(flipped).alias("lo"), F.max(flipped).alias("hi")).filter("c > 1"))
+    buckets = materialized(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
     # most keys stand alone: a Bloom filter of the others, bounded in size, keeps them from moving
     words = filter_words(buckets.count())
     word, mask = F.pmod("key", F.lit(words)), _key_mask(F.col("key"))
@@ -156,8 +154,11 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
              .agg(F.sort_array(F.collect_set("rep")).alias("reps")))
     near = (small.select("reps", F.explode("reps").alias("a"))
             .select("a", F.explode(F.filter("reps", lambda r: r > F.col("a"))).alias("b")))
-    crowd = met.filter(F.col("c") > SMALL_BUCKET).select(
-        "key", "rep", F.array(F.col("lo").bitwiseXOR(F.col("flip")), F.col("hi").bitwiseXOR(F.col("flip"))).alias("leads"))
+    flipped, back = F.col("rep").bitwiseXOR(F.col("flip")), lambda c: F.col(c).bitwiseXOR(F.col("flip"))
+    full = met.filter(F.col("c") > SMALL_BUCKET)
+    leaders = (full.groupBy("key", "flip").agg(F.min(flipped).alias("lo"), F.max(flipped).alias("hi"))
+               .select("key", F.array(back("lo"), back("hi")).alias("leads")))
+    crowd = materialized(full.select("key", "rep").join(leaders, "key"))
     # of all its buckets' leaders a set meets four at first
     led = crowd.select("rep", F.explode("leads").alias("lead")).filter("rep != lead")
     drawn = F.xxhash64("rep", "lead")
@@ -305,7 +306,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = materialized(_agreeing(found, reps, percent))
     wanted = (pairs.select(F.explode(F.array("a", "b")).alias("id"))
               .unionByName(crowd.select(F.col("rep").alias("id"))).distinct())
-    chosen = texts.join(wanted, "id", "left_semi")
+    chosen = keep_listed(texts, wanted, "id")
     sets = materialized(map_texts(chosen, "id", "text", _set_arrays(width), "shingles", "array<bigint>")
                         .select(F.col("id").alias("rep"), "shingles").dropDuplicates(["rep"]))
     # one partner each first: most of a group is connected by these few confirmations
