@@ -15,6 +15,8 @@ from commentmill.functions.cut import materialized
 #: A group with at least this share of all rows counts as hot, so there are at most as many hot
 #: groups as its inverse. That bounds what ``attach`` broadcasts, whatever the input's size.
 HOT_SHARE = 1 / 1000
+#: Edges of a graph per task.
+EDGES_PER_TASK = 100_000
 
 __all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "empty_if_null", "map_texts", "materialized"]
 
@@ -50,8 +52,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     spark = links.sparkSession
     edges = materialized(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                          .filter("u != v").distinct())
-    if edges.isEmpty():
+    parts = -(-edges.count() // EDGES_PER_TASK)
+    if not parts:
         return spark.createDataFrame([], "node bigint, root bigint")
+    edges = edges.coalesce(parts)  # edges never become more: few files where there are few
 
     def star(both: DataFrame, keep: Column) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -67,10 +71,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = signature(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialized(star(both, F.col("v") > F.col("u")))
+        large = materialized(star(both, F.col("v") > F.col("u")).coalesce(parts))
         # each node's smaller neighbours, and the node itself, go to the smallest of them
         own = large.unionByName(large.select("u", F.col("u").alias("v")).distinct())
-        edges = materialized(star(own, F.lit(True)))
+        edges = materialized(star(own, F.lit(True)).coalesce(parts))
         now = signature(edges)
         if now == before:
             break
@@ -79,7 +83,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
-    return materialized(nodes.unionByName(roots.join(nodes, "node", "left_anti")))
+    return materialized(nodes.unionByName(roots.join(nodes, "node", "left_anti")).coalesce(parts))
 
 
 def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[str | None], object]],
