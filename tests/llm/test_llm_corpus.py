@@ -193,6 +193,18 @@ def test_neighbours_against_brute_force(spark):
     assert got[3000] == want[3000]  # ties go to smaller ids
 
 
+def test_neighbours_reach_the_target_recall(spark):
+    draw = np.random.Generator(np.random.PCG64(9))
+    rows = [(i, v.tolist()) for i, v in enumerate(draw.normal(size=(6000, 32)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann_tree.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    want = plain_near_vectors(rows)
+    # the target of 0.97, less three standard errors of 128 calibration queries
+    assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.955
+
+
 def test_neighbours_of_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id bigint, embedding array<float>")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann_tree.search(df, F.col("vec_id") % 20 == 0).collect()]
