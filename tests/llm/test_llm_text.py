@@ -82,6 +82,35 @@ def test_added_personal_data(spark):
     assert hidden[3].startswith("call [phone] or write [email] today") and "[" not in hidden[1003]
 
 
+def test_added_addresses_of_every_shape(spark):
+    rows = []
+    for i in range(400):
+        rows.append((i, f"the server 10.{i % 200}.{i % 7}.{i % 250} wrote to anna{i}@mail{i % 9}.example.com today"))
+        rows.append((1000 + i, f"at {i % 24:02d}:{i % 60:02d}:{i * 7 % 60:02d} the list was {i % 9}, {i % 8}, {i % 7}, {i % 6} in all"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = pii_boost.train(docs, "text")
+
+    def added(t):
+        return [t[s:e] for _, s, e in pii_boost.added_spans(t, pii_boost.base_spans(t), model)]
+
+    for new in ("2001:db8:85a3:8d3:1319:8a2e:370:7348", "2001:db8::8a2e:7334", "fe80::1ff2", "3c:22:fb:9a:10:e7",
+                "10 . 21 . 3 . 44", "10[.]21[.]3[.]44", "anna7@mailhost"):
+        assert added(f"the server {new} wrote today") == [new]
+    for text in ("the server at 12:34:56 wrote today", "the server 12:34:56:10 wrote", "the server 1, 2, 3, 4 wrote",
+                 "the server 10 . 21 . 3 . 300 wrote", "the server mail@7 wrote today"):
+        assert added(text) == []
+
+
+def test_rewrites_are_candidates_the_base_patterns_miss():
+    text = "see 10.21.3.44 or +1 (961) 555-6946, anna.b@mail.example.com and 4111 1111 1111 1111"
+    draw = np.random.Generator(np.random.PCG64(3))
+    for kind, s, e in pii_boost.base_spans(text):
+        for shape, new, good in pii_boost._rewrites(text, kind, s, e, draw):
+            if good and shape in ("mail", "groups", "colons"):
+                changed = f"see {new}. Then"
+                assert (shape, 4, 4 + len(new)) in pii_boost.candidates(changed) and not pii_boost.base_spans(changed)
+
+
 EDGES = [(1, None, "a"), (2, "", "b"), (3, "plain words", None), (3, "plain words", None), (None, "x@y.zz", "d")]
 
 
