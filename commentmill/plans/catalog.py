@@ -474,22 +474,10 @@ def knn_predictions(spark, sf_dir):
     return fitted.predict(split.filter("is_test")).select("doc_id", "prediction_label")
 
 
-SMALL = {
-    "Logistic Regression": lambda n, seed: model.LogisticRegression(
-        maxIter=20, regParam=1.0 / n, standardization=False, labelCol="label_index"),
-    "Naive Bayes": model.MODELS["Naive Bayes"],
-    "SVM (LinearSVC)": lambda n, seed: model.OneVsRest(classifier=model.LinearSVC(
-        maxIter=10, regParam=1.0 / n, standardization=False), labelCol="label_index"),
-    "Random Forest": lambda n, seed: model.RandomForestClassifier(
-        numTrees=20, maxDepth=5, seed=seed, labelCol="label_index"),
-    "KNN": model.MODELS["KNN"],
-}
-
-
 @query
 def model_comparison(spark, sf_dir):
     return model.investigate(_labelled(spark, sf_dir), text_col="text", label_col="toxic",
-                             key="doc_id", size=2_000, models=SMALL)
+                             key="doc_id")
 
 
 @query

@@ -172,6 +172,15 @@ def test_models(spark, labelled, tmp_path):
         model.investigate(labelled.limit(5), text_col="text", label_col="y", key="k")
 
 
+def test_comparison_runs_the_real_models(spark, labelled, monkeypatch):
+    from commentmill.plans import catalog
+    asked = {}
+    monkeypatch.setattr(catalog, "_labelled", lambda spark, sf_dir: labelled)
+    monkeypatch.setattr(catalog.model, "investigate", lambda df, **given: asked.update(given) or df)
+    assert catalog.model_comparison(spark, "") is labelled
+    assert asked.get("models") in (None, model.MODELS) and asked.get("size") in (None, model.VOCABULARY)
+
+
 @pytest.mark.parametrize("shape", ["join", "repartition", "dedupe"])
 def test_row_ids_survive_adaptive_shuffles(spark, shape):
     from commentmill.operators.rows import with_row_id
