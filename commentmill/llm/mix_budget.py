@@ -20,6 +20,8 @@ that does not begin with two underscores.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -83,7 +85,9 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """Leaves (level columns, __tokens, __rows) with their budget ``given``. The tree has as many
     lines as there are sources, whatever the number of rows."""
     big = "decimal(20,0)"
-    caps = leaves.withColumn("cap", (F.col("__tokens") * mix.epochs).cast(big))
+    # what no budget can reach must not raise the caps above it
+    closed = reduce(or_, [_weight(name, mix) <= 0 for name in LEVELS])
+    caps = leaves.withColumn("cap", F.when(closed, 0).otherwise(F.col("__tokens") * mix.epochs).cast(big))
     total = F.sum("__tokens").cast(big)
     wanted = F.lit(mix.budget).cast(big) if mix.budget is not None else F.floor(total * mix.share / 100)
     amount = caps.agg(F.least(wanted.cast(big), F.sum("cap").cast(big)).alias("amount"))

@@ -168,6 +168,15 @@ def test_mixing_odd_rows_and_epochs(spark):
     assert Counter((r.doc_id, r["__epoch"]) for r in again) == taken
 
 
+def test_sources_without_weight_leave_their_share_to_siblings(spark):
+    rows = [(i, "a", "en", "src0") for i in range(100)] + [(100 + i, "a", "en", "src1") for i in range(20)]
+    rows += [(200 + i, "a", "fr", "src1") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    mix = mix_budget.Mix(weights={"source": {"src0": 0}}, budget=100, epochs=1)
+    got = Counter((r.lang, r.source) for r in mix_budget.mix_sources(df, F.lit("d"), mix).collect())
+    assert got == {("en", "src1"): 20, ("fr", "src1"): 80}
+
+
 def plain_near_vectors(rows, k=20):
     ok = {i: np.array(v, float) for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and any(v)}
     out = {}
