@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -18,7 +19,11 @@ HOT_SHARE = 1 / 1000
 #: Edges of a graph per task.
 EDGES_PER_TASK = 100_000
 
-__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "empty_if_null", "map_texts", "materialized"]
+#: Most bytes of text that a Python function takes at once (or one text).
+BATCH_BYTES = 1 << 22
+
+__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "empty_if_null", "map_texts", "materialized",
+           "text_slices"]
 
 
 def empty_if_null(text: Column) -> Column:
@@ -86,6 +91,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return materialized(nodes.unionByName(roots.join(nodes, "node", "left_anti")).coalesce(parts))
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES,
+                column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in parts with a bounded number of bytes of text (or one row)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = held = 0
+        for i, n in enumerate(sizes.tolist()):
+            if held and held + n > most:
+                yield batch.slice(at, i - at)
+                at, held = i, 0
+            held += n
+        if at < len(sizes):
+            yield batch.slice(at)
+
+
 def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable[[str | None], object]],
               name: str, kind: str) -> DataFrame:
     """(id, name): a Python function of every text, of the given type. ``make`` is called once
@@ -95,7 +115,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Call
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for batch in batches:
+        for batch in text_slices(batches):
             values = [one(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(values, arrow)], ["id", name])
 

@@ -128,3 +128,28 @@ SELECT doc_id, domain, lang0 AS lang, source0 AS source, unnest(range(epochs::BI
 UNION ALL
 SELECT doc_id, domain, lang0, source0, epochs::INT, tokens FROM o WHERE before < rest
 """
+
+# Lines, the four draws, the three sections and both digests.
+SQL["op13_fim_assembly"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines FROM documents),
+d AS (
+  SELECT *, len(lines)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(lines) + 1) AS x,
+    ('0x' || substr(h, 9, 8))::BIGINT % (len(lines) + 1) AS y,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+           OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 100 THEN 'plain'
+         WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (
+  SELECT *, array_to_string(lines[1:least(x, y)], '') AS prefix,
+    array_to_string(lines[least(x, y) + 1:greatest(x, y)], '') AS middle,
+    array_to_string(lines[greatest(x, y) + 1:], '') AS suffix FROM d)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentmill.llm import (
-    ann_tree, bloom_dedup, chat_prefix, mix_budget, permutation_shards, pii_boost,
+    ann_tree, bloom_dedup, chat_prefix, fim_assembly, mix_budget, permutation_shards, pii_boost,
     quality_rff, secret_crf, tensor_minhash, wfst_pieces,
 )
 from commentmill.llm import oracles
@@ -122,3 +122,8 @@ def op10_wfst_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = wfst_pieces.encode(docs, wfst_pieces.load_vocabulary(), verify="round_trip")
     return coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "round_trip")
+
+
+@query
+def op13_fim_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_assembly.fill_in_middle(table(spark, sf_dir, "documents"))
