@@ -56,7 +56,7 @@ def repeat_filter(hashes: DataFrame, words: int, sha: str = "__sha") -> DataFram
     return twice.groupBy("__word").agg(F.bit_or(bit).alias("__bits"))
 
 
-def _listed(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+def probe_listed(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """``df`` with __maybe (its id may be listed, and is no null), and the listed ids. A Bloom filter
     of them is broadcast, its size bounded."""
     listed = materialized(ids.select(ids.columns[0]).toDF("__listed").filter("__listed IS NOT NULL").distinct())
@@ -75,7 +75,7 @@ def _listed(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, Data
 def drop_listed(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``df`` whose id is not in ``ids`` (one column), null ids stay. Rows that the
     filter of listed ids does not know do not move."""
-    probed, listed = _listed(df, ids, id_col)
+    probed, listed = probe_listed(df, ids, id_col)
     maybe = probed.filter("__maybe").select(*df.columns)
     return probed.filter(~F.col("__maybe")).select(*df.columns).unionByName(
         maybe.join(listed, F.col(id_col) == F.col("__listed"), "left_anti"))
@@ -84,7 +84,7 @@ def drop_listed(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 def keep_listed(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows of ``df`` whose id is in ``ids`` (one column). Only rows that the filter of listed
     ids knows move."""
-    probed, listed = _listed(df, ids, id_col)
+    probed, listed = probe_listed(df, ids, id_col)
     maybe = probed.filter("__maybe").select(*df.columns)
     return maybe.join(listed, F.col(id_col) == F.col("__listed"), "left_semi")
 

@@ -37,16 +37,16 @@ def ascii_lower(text: Column) -> Column:
             .otherwise(F.translate(text, upper, upper.lower())))
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with one line of ``facts`` per key, where ``facts[size]`` is the
-    number of rows of the key. Hot keys (fewer than ``1 / HOT_SHARE`` of them) are broadcast, so
+def attach(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of ``rows`` with one line of ``facts`` per key, where ``facts[size]`` is
+    the number of rows of the key. Hot keys (fewer than ``1 / HOT_SHARE`` of them) are broadcast, so
     their rows stay where they are; only rows of ordinary keys move."""
     limit = max(1, int(total * HOT_SHARE))
     hot = facts.filter(F.col(size) >= limit)
     usual = facts.filter(F.col(size) < limit)
     names = hot.select(F.col(key).alias("__hot"))
     here = rows.join(F.broadcast(names), F.col(key) == F.col("__hot"), "left")
-    cold = here.filter(F.col("__hot").isNull()).drop("__hot").join(usual, key)
+    cold = here.filter(F.col("__hot").isNull()).drop("__hot").join(usual, key, how)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 

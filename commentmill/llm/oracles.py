@@ -153,3 +153,83 @@ SELECT doc_id, n, form,
   sha256(text) AS restored_sha256
 FROM p
 """
+
+# The damage draws CRC-32, written out bit by bit; the repair takes one row of every conversation a
+# round and keeps the least (cost, audit, text) per state: 1 nothing yet, 2 after s, 3 after u, 4 after a.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(name) + 1),
+    lambda i: [ascii(substr(name, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END),
+    4294967295)"""
+
+
+def _way(state: str, cost: str, edit: str, turn: str, when: str = "true") -> str:
+    """The way over ``state`` made longer by an edit and, where it leaves one, a turn."""
+    text = f"{state}.t || CASE WHEN {state}.t = '' THEN '' ELSE chr(10) END || {turn}" if turn else f"{state}.t"
+    return f"CASE WHEN {when} THEN struct_pack(c := {state}.c + {cost}, a := {state}.a || '{edit}', t := {text}) END"
+
+
+def _inserted(before: str, after: str) -> str:
+    """Up to three empty turns put in, one at a time; texts end turns with a line break each."""
+    steps = []
+    for i in range(3):
+        src = before if i == 0 else f"{after}{i - 1}"
+        steps.append(f"""{after}{i} AS (SELECT * REPLACE (
+            list_min([s3, {_way('s1', '2', 'I', "'user:'", 's1 IS NOT NULL')}, {_way('s2', '2', 'I', "'user:'", 's2 IS NOT NULL')},
+                      {_way('s4', '2', 'I', "'user:'", 's4 IS NOT NULL')}]) AS s3,
+            list_min([s4, {_way('s3', '2', 'I', "'assistant:'", 's3 IS NOT NULL')}]) AS s4) FROM {src})""")
+    return ", ".join(steps)
+
+
+def _consumed(to: str, own: str) -> str:
+    """The least way to a state over one row: deleted there, or kept or reroled from before it."""
+    before = {"s1": [], "s2": ["s1"], "s3": ["s1", "s2", "s4"], "s4": ["s3"]}[to]
+    role = {"s2": "system", "s3": "user", "s4": "assistant"}.get(to)
+    ways = [_way(to, "3", "D", "", f"{to} IS NOT NULL")]
+    for b in before:
+        ways.append(_way(b, "late", "K", "role || ':' || text", f"{b} IS NOT NULL AND NOT must_go AND ini = '{role[0]}'"))
+        if to != "s2":
+            ways.append(_way(b, "(2 + late)", "R", f"'{role}:' || text", f"{b} IS NOT NULL AND NOT must_go"))
+    return f"list_min([{', '.join(ways)}]) AS {own}"
+
+
+_WAY = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+SQL["op12_survivor_repair"] = rf"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+k AS (SELECT *, {_CRC} % 20 AS kind FROM named),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE kind <> 0),
+f AS (
+  SELECT *, left(role, 1) AS ini, row_number() OVER w AS i,
+    lag(left(role, 1)) OVER w AS ini_before,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen,
+    regexp_extract(text, '([^ 	-])[ 	-]*\z', 1) AS last_char
+  FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+g AS (
+  SELECT *, CASE WHEN last_char = '' THEN 'blank' WHEN seen THEN 'duplicate'
+    WHEN last_char NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM f),
+r AS (SELECT *, fault IN ('blank', 'duplicate') AS must_go, (fault = 'truncated')::BIGINT AS late FROM g),
+step(conv_id, i, s1, s2, s3, s4) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, struct_pack(c := 0::BIGINT, a := '', t := ''), NULL::{_WAY}, NULL::{_WAY}, NULL::{_WAY}
+  FROM conversations
+  UNION ALL
+  (WITH x AS (SELECT * FROM step), {_inserted('x', 'y')}, z AS (
+     SELECT y2.conv_id, y2.i, s1, s2, s3, s4, role, text, ini, must_go, late
+     FROM y2 JOIN r ON y2.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = y2.i + 1)
+   SELECT conv_id, i + 1, {', '.join(_consumed(s, s) for s in ('s1', 's2', 's3', 's4'))} FROM z)),
+ended AS (SELECT * FROM step QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+{_inserted('ended', 'e')},
+won AS (SELECT conv_id, list_min([s1, s4]) AS best FROM e2),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT won.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+  sha256(best.t) AS repaired_sha256
+FROM won LEFT JOIN n ON won.conv_id IS NOT DISTINCT FROM n.conv_id
+"""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from commentmill.llm import (
     ann_tree, bloom_dedup, chat_prefix, fim_assembly, mix_budget, permutation_shards, pii_boost,
-    quality_rff, secret_crf, tensor_minhash, wfst_pieces,
+    quality_rff, secret_crf, survivor_repair, tensor_minhash,
+    vantage_simhash, wfst_pieces,
 )
 from commentmill.llm import oracles
 
@@ -124,6 +125,17 @@ def op10_wfst_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "round_trip")
 
 
+@query
+def op11_vantage_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_survivor_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return survivor_repair.audit(survivor_repair.repair(survivor_repair.damaged(turns)), turns.select("conv_id"))
+
+
 @query
 def op13_fim_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_assembly.fill_in_middle(table(spark, sf_dir, "documents"))
