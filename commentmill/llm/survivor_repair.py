@@ -4,8 +4,8 @@ The rows of a conversation are read by turn. Four states say which roles may fol
 system turn, a user turn, an assistant turn. Each row is kept, given another role or deleted, and
 empty turns may be inserted, so that the roles' initials give ``(s?(ua)+)?`` at the least cost.
 
-Each state has one survivor, the cheapest way to it, held as a node of a tree of backpointers whose
-nodes count their references. A node that no survivor needs goes; where all survivors descend from
+Each state has one survivor, the cheapest way to it, unless another state's survivor and a detour are
+cheaper in any case. Survivors are nodes of a tree of backpointers that count their references. A node that no survivor needs goes; where all survivors descend from
 one child of the root, that child's edit is final, is emitted and forgotten. So memory holds what is
 still undecided, not the conversation. Equally cheap ways are compared by their whole undecided
 edits, from their last common node on; the ASCII-least one survives. Two such ways to one state are
@@ -48,13 +48,17 @@ NEXT = {START: {"s": SYSTEM, "u": USER}, SYSTEM: {"u": USER}, USER: {"a": ASSIST
 #: The state an inserted or reroled turn leads to, and its role.
 MADE = {START: (USER, "user"), SYSTEM: (USER, "user"), USER: (ASSISTANT, "assistant"), ASSISTANT: (USER, "user")}
 LEGAL = ("su", "ua", "au")
+#: What it costs at most to go on from the first state as one would from the second: an insert on the
+#: way between user and assistant turns, or deleting a system turn that only a beginning may have.
+DETOUR = {(ASSISTANT, USER): INSERT, (ASSISTANT, SYSTEM): 0, (ASSISTANT, START): DELETE,
+          (USER, ASSISTANT): INSERT, (USER, SYSTEM): INSERT, (USER, START): INSERT + DELETE}
 #: Most inserts that a cheapest way can have in one place.
 INSERTS = 2
 #: Most bytes of the edits of one batch.
 BATCH = 1 << 22
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, repr=False)
 class Node:
     """An edit: its letter, what it leaves of the row, and the way before it."""
 
@@ -134,6 +138,9 @@ class Decoder:
                     to, role = MADE[at]
                     offer(to, paid + REROLE + more, node, state, inserts, "R", role)
                 at = MADE[at][0]
+        for (near, far), more in DETOUR.items():
+            if near in best and far in best and best[near][0] + more < best[far][0]:
+                del best[far]  # no way through it can be among the cheapest
         old, self.survivors = self.survivors, {}
         for to, (cost, node, state, inserts, letter, role, _) in best.items():
             grown, _ = self._grown(node, state, inserts)

@@ -149,12 +149,14 @@ class Shard:
         self.spans = [(int(e - len(x)), int(e)) for e, x in zip(ends, self.tree.leaves, strict=True)]
         self.label = np.arange(len(points))
 
-    def join(self, queries: np.ndarray) -> list[tuple[int, int]]:
-        """Links (query, own point) that connect what was apart; queries may be own points."""
+    def join(self, queries: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """Links (query, own point) that connect what was apart. Without queries, the own points'."""
         links: list[tuple[int, int]] = []
+        own, queries = queries is None, self.points if queries is None else queries
         for at in range(0, len(queries), AT_ONCE):
             part = queries[at:at + AT_ONCE]
-            mine = np.full(len(part), -1)  # the label that a query is connected with
+            # the label that a query is connected with
+            mine = self.label[at:at + AT_ONCE].copy() if own else np.full(len(part), -1)
             for leaf, who in descend(self.tree, part, self.radius):
                 lo, hi = self.spans[leaf]
                 self._meet(part, mine, who, lo, hi, links)
@@ -173,8 +175,7 @@ class Shard:
                 j = int(np.argmax(still := near[i] & (labels != mine[q])))
                 if not still[j]:
                     break
-                if self.points[lo + j] != queries[q]:
-                    links.append((int(queries[q]), int(self.points[lo + j])))
+                links.append((int(queries[q]), int(self.points[lo + j])))
                 label = labels[j]
                 if mine[q] >= 0:
                     self.label[self.label == mine[q]] = label
@@ -255,7 +256,7 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
 def _opened(own: list[np.ndarray], radius: int) -> tuple[Shard, list]:
     points = np.concatenate(own) if own else np.empty(0, np.uint64)
     shard = Shard(points, radius)
-    return shard, shard.join(shard.points)
+    return shard, shard.join()
 
 
 def _frame(found: list[tuple[int, int]]) -> pd.DataFrame:
