@@ -107,25 +107,27 @@ def _top(queries: np.ndarray, q_ids: np.ndarray, points: np.ndarray, ids: np.nda
     a to b, which points they may have. Fast products choose, exact ones rank."""
     order = np.argsort(ids, kind="stable")  # equal scores then stand by id
     points, ids = points[order], ids[order]
+    # what a fast product and an exact sum may differ by, with room
+    apart = 8 * points.shape[1] * np.finfo(float).eps * np.abs(points).max(initial=0.0)
     out_q, out_r, out_s = [], [], []
-    spare = min(len(ids), k + 4)
     for at in range(0, len(queries), AT_ONCE):
         asks = queries[at:at + AT_ONCE]
         scores = asks @ points.T
         if allowed is not None:
             scores[~allowed(at, at + len(asks))[:, order]] = -np.inf
-        near = np.argpartition(-scores, spare - 1, axis=1)[:, :spare]
-        near.sort(axis=1)
-        exact = np.zeros(near.shape)
+        edge = np.partition(scores, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+        # every entry that may be among the k best, however many are equal at the edge
+        floor = edge - apart * np.abs(asks).sum(axis=1)
+        rows, cols = np.nonzero((scores >= floor[:, None]) & ~np.isneginf(scores))
+        exact = np.zeros(len(rows))
         for d in range(asks.shape[1]):
-            exact += asks[:, d, None] * points[near, d]
-        exact[np.isneginf(np.take_along_axis(scores, near, axis=1))] = -np.inf
-        rank = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(exact, rank, axis=1)
-        rows, cols = np.nonzero(best > -np.inf)
-        out_q.append(q_ids[at:at + AT_ONCE][rows])
-        out_r.append(ids[np.take_along_axis(near, rank, axis=1)][rows, cols])
-        out_s.append(best[rows, cols])
+            exact += asks[rows, d] * points[cols, d]
+        rank = np.lexsort((cols, -exact, rows))
+        rows, cols, exact = rows[rank], cols[rank], exact[rank]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        out_q.append(q_ids[at:at + AT_ONCE][rows[best]])
+        out_r.append(ids[cols[best]])
+        out_s.append(exact[best])
     return pd.DataFrame({"q": np.concatenate(out_q), "rep": np.concatenate(out_r), "score": np.concatenate(out_s)})
 
 
