@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stretches up to this many characters are remembered, twice so many at most.
-SHORT, REMEMBERED = 32, 500_000
+SHORT, REMEMBERED = 32, 200_000
 #: Bytes of the texts that are encoded together (or one text).
 BATCH_BYTES = 2_000_000
 
