@@ -5,7 +5,7 @@ every text and counts the cells its hash touches; cells touched at least twice b
 Pass two probes the filter: a hash with an untouched cell occurs once, and its row passes straight
 through. Only the others shuffle, and are compared by their whole SHA-256.
 
-Defined cases: rows with one id and equal texts stay or go together; a null id is smaller than any
+Defined cases: of rows with one id and equal texts one stays where rows are dropped; a null id is smaller than any
 other; an empty table gives an empty result; other columns are carried by ``drop_duplicates`` and
 may have any name that does not begin with two underscores.
 """
@@ -133,11 +133,13 @@ def find_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns. Rows whose hash cannot repeat do not
-    move; the others meet their group's line by (hash, id), a key no group of copies makes hot."""
+    move; the others meet their group's line by (hash, id), a key no group of copies makes hot. Rows
+    equal in both are one before they move."""
     hashes, bloom, words, _ = _hashes(df, id_col, text_col)
     keep = _groups(probe(hashes, bloom, words).filter("__maybe")).select(
         F.col("__sha").alias("__k_sha"), F.col("__keep").alias("__k_id"))
     probed = probe(df.withColumn("__sha", text_hash(F.col(text_col))), bloom, words)
     alone = probed.filter(~F.col("__maybe")).select(*df.columns)
     same = (F.col("__sha") == F.col("__k_sha")) & F.col(id_col).eqNullSafe(F.col("__k_id"))
-    return alone.unionByName(probed.filter("__maybe").join(keep, same, "left_semi").select(*df.columns))
+    maybe = probed.filter("__maybe").dropDuplicates(["__sha", id_col])
+    return alone.unionByName(maybe.join(keep, same, "left_semi").select(*df.columns))

@@ -41,6 +41,7 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int, h
     """Inner (or left) join of ``rows`` with one line of ``facts`` per key, where ``facts[size]`` is
     the number of rows of the key. Hot keys (fewer than ``1 / HOT_SHARE`` of them) are broadcast, so
     their rows stay where they are; only rows of ordinary keys move."""
+    facts = facts.select(*[F.col(c).alias(c) for c in facts.columns])  # it may stem from the rows
     limit = max(1, int(total * HOT_SHARE))
     hot = facts.filter(F.col(size) >= limit)
     usual = facts.filter(F.col(size) < limit)

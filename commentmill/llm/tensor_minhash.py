@@ -9,13 +9,15 @@ of the first and one of the second is a table key. So BUNDLES**2 = 100 tables of
 Rows meet at keys, never as all pairs: small buckets give their pairs, crowded ones connect their
 members with leaders that differ from table to table. Every link is confirmed on full sets.
 Links inside a component that is already connected need no confirmation, so verification runs in
-rounds: one partner per set, then what is still apart, then further leaders. A crowded bucket whose members are still in
-several components may hide a link that no leader shows; its members are compared exactly, by
-shared rare shingles, with what is outside their own component (see ``_hidden_links``).
+rounds: one partner per set, then what is still apart, then further leaders. A crowded bucket whose
+members are still in several components may hide a link that no leader shows; its members are
+compared exactly, by shared rare shingles, with what is outside their own component, in blocks that
+give only links (see ``_hidden_links``).
 
 Defined cases: null text is empty; an empty set links with nothing; a null id links with nothing
-and stays; rows of one id and one text are the same row repeated; an empty table gives an empty
-result. Columns of the input are only read by name and may be called anything else.
+and stays; an id may have several texts, each is a row of its own; where rows are dropped, of rows
+that are equal in id and set one stays. Ids of any ordered type pass through; an empty table gives an
+empty result. Columns of the input are only read by name and may be called anything else.
 """
 
 from __future__ import annotations
@@ -34,14 +36,13 @@ from commentmill.llm.common import attach, components, map_texts, materialized
 BUNDLES, BUNDLE = 10, 2
 #: Buckets up to this many sets give all their pairs: at most 15 per member.
 SMALL_BUCKET = 16
-#: A pair whose bundles agree in fewer than this many of 20 places is not confirmed; at similarity
-#: 0.8 that happens three times in a million.
-LEAST_AGREEING = 4
 WORDS_KEPT = 1 << 19
 #: Further leaders a member meets before the exact comparison; each spares some of it.
 OTHER_LEADERS = 8
-#: Sets compared with one another in one call, on either side.
-BLOCK_SETS = 256
+#: Sets compared with one another in one call, on either side, and shingles they are compared by at once.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 8_192
+#: Rounds of passing labels on before stragglers are dealt into blocks.
+LABEL_ROUNDS = 2
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -96,6 +97,10 @@ def bundles(shingles: np.ndarray, odd: np.ndarray, flip: np.ndarray) -> np.ndarr
     return (total >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _sketch(width: int):
     def make():
         cache, (odd, flip) = _WordHashes(), _rule()
@@ -104,8 +109,7 @@ def _sketch(width: int):
             s = shingle_set(text, width, cache)
             if not len(s):
                 return {"n": 0, "set_key": None, "sig": None}
-            key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            return {"n": len(s), "set_key": key, "sig": bundles(s, odd, flip)}
+            return {"n": len(s), "set_key": _set_key(s), "sig": bundles(s, odd, flip)}
         return one
     return make
 
@@ -113,7 +117,11 @@ def _sketch(width: int):
 def _set_arrays(width: int):
     def make():
         cache = _WordHashes()
-        return lambda text: shingle_set(text, width, cache).view(np.int64)
+
+        def one(text: str | None) -> dict:
+            found = shingle_set(text, width, cache)
+            return {"set_key": _set_key(found), "shingles": found.view(np.int64)}
+        return one
     return make
 
 
@@ -184,7 +192,7 @@ def _other_leaders(crowd: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose bundles agree often enough."""
+    """Pairs whose sizes allow the similarity, and in how many places their bundles agree."""
     sides = pairs
     for side in ("a", "b"):
         sides = sides.join(reps.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}"),
@@ -192,7 +200,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")),
                        F.lit(0), lambda x, y: x + y)
     return (sides.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            .select("a", "b", "n_a", "n_b", same.alias("same")).filter(F.col("same") >= LEAST_AGREEING))
+            .select("a", "b", "n_a", "n_b", same.alias("same")))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,100 +223,188 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
             .drop("root_a", "root_b"))
 
 
+def _linked_blocks(percent: int):
+    """Compares the sets of two blocks, all at once by their common shingles, and gives links that
+    connect different roots: at most one less than the roots of both blocks."""
+    def compare(xs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        if len(xs) and len(held):
+            shared = _shared(xs["own"].tolist(), held["shingles"].tolist())
+            sizes = xs["own"].map(len).to_numpy()[:, None] + held["shingles"].map(len).to_numpy()[None, :]
+            linked = 100 * shared >= percent * (sizes - shared)
+            linked &= xs["x_root"].to_numpy()[:, None] != held["root"].to_numpy()[None, :]
+            up: dict[int, int] = {}
+
+            def root(r: int) -> int:
+                while up.get(r, r) != r:
+                    r = up[r]
+                return r
+
+            x, x_root, rep, rep_root = (c.tolist() for c in (xs["x"], xs["x_root"], held["rep"], held["root"]))
+            for i, j in np.argwhere(linked).tolist():
+                p, q = root(x_root[i]), root(rep_root[j])
+                if p != q:
+                    up[p] = q
+                    found.append((min(x[i], rep[j]), max(x[i], rep[j])))
+        return pd.DataFrame(found, columns=["a", "b"])
+    return compare
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each pair of sets has in common."""
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    places = []
+    for values, rows in sides:
+        at = np.minimum(np.searchsorted(common, values), max(0, len(common) - 1))
+        here = common[at] == values if len(common) else np.zeros(len(values), bool)
+        places.append((at[here], rows[here]))
+    total = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(common), BLOCK_SHINGLES):
+        width = min(BLOCK_SHINGLES, len(common) - lo)
+        marks = []
+        for (at, rows), sets in zip(places, (left, right), strict=True):
+            here = (at >= lo) & (at < lo + width)
+            m = np.zeros((len(sets), width), np.float32)
+            m[rows[here], at[here] - lo] = 1
+            marks.append(m)
+        total += marks[0] @ marks[1].T
+    return np.rint(total).astype(np.int64)
+
+
 def _hidden_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of crowded buckets, found exactly.
 
     Sets that similar share one of their rarest shingles, counted among these sets, if each keeps
     n - ceil(percent/100 * n) + 1 of them; shingles that no other of these sets has bound what two
-    sets can share at most. Where sets share a rare shingle, those outside its commonest component
-    ask the other components that have it; the many inside it do not ask each other. A set is
-    compared with the members of a small component as pairs, and with a large one block by block,
-    where only links leave the task."""
+    sets can share at most. A set asks each large component with which it shares a rare shingle, once.
+    Sets of small components meet at the shingle: as pairs where few hold it. All others are dealt
+    into blocks, and only links leave the task."""
     root = F.coalesce("root", "rep")
     tagged = crowd.join(roots, crowd["rep"] == roots["node"], "left").select("key", "rep", root.alias("root"))
     mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    members = materialized(tagged.join(mixed, "key", "left_semi").select("rep", "root").distinct())
-    posted = members.join(sets, "rep").select("rep", "root", F.size("shingles").alias("n"),
-                                              F.explode("shingles").alias("s"))
-    seen = posted.groupBy("s").agg(F.count("*").alias("c"))
-    ranked = posted.join(seen, "s").groupBy("rep", "root", "n").agg(
-        F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all"))
-    kept = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    common = F.col("n") - F.size(F.filter("all", lambda e: e["c"] == 1))
-    rare = materialized(ranked.withColumn("most", common).filter(100 * F.col("most") >= percent * F.col("n"))
-                        .select("rep", "root", "n", "most", F.explode(F.slice("all", F.lit(1), kept)).alias("e"))
-                        .select("rep", "root", "n", "most", "e.s").filter("e.c > 1"))
-    by_root = rare.groupBy("s", "root").agg(
+    members = tagged.join(mixed, "key", "left_semi").select("rep", "root").distinct()
+    held = materialized(members.join(sets, "rep").select("rep", "root", F.size("shingles").alias("n"), "shingles"))
+    total = held.agg(F.sum("n")).first()[0] or 0
+    posted = held.select("rep", "root", "n", F.explode("shingles").alias("s"))
+    seen = materialized(posted.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"))
+    counted = attach(posted, seen, "s", "c", total)  # shingles that several have, with their number
+    ranked = counted.groupBy("rep", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all"))
+    # of the rarest, those that one set only has come first
+    most = F.size("all")
+    kept = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - most)
+    rare = materialized(ranked.filter(100 * most >= percent * F.col("n"))
+                        .select("rep", "root", "n", most.alias("most"),
+                                F.explode(F.slice("all", F.lit(1), F.greatest(kept, F.lit(0)))).alias("e"))
+                        .select("rep", "root", "n", "most", "e.s"))
+    sizes = materialized(held.groupBy("root").agg(F.count("*").alias("members")))
+    rare = materialized(attach(rare, sizes, "root", "members", held.count()).withColumn(
+        "large", F.col("members") > SMALL_BUCKET).drop("members"))
+    to_large = _asks_of_large(rare, percent)
+    small = rare.filter("NOT large").drop("large")
+    who = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"who{i}") for i in range(2)]
+    shared = small.groupBy("s").agg(F.count("*").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"), *who)
+    # shingles that the same sets hold ask the same: one of them is enough
+    of_small = materialized(shared.filter("lo < hi").groupBy("held", "who0", "who1").agg(F.min("s").alias("s")).select("s", "held"))
+    near = attach(small, of_small, "s", "held", small.count())
+    few = F.col("held") <= SMALL_BUCKET
+    asking = near.filter(few).select("s", F.col("rep").alias("x"), F.col("root").alias("x_root"),
+                                     F.col("n").alias("x_n"), F.col("most").alias("x_most"))
+    pairs = (asking.join(near.filter(few).select(F.col("s").alias("s"), "rep", "root", "n", "most"), "s")
+             .filter((F.col("x") < F.col("rep")) & (F.col("x_root") != F.col("root"))
+                     & (100 * F.least("n", "x_n") >= percent * F.greatest("n", "x_n"))
+                     & ((100 + percent) * F.least("most", "x_most") >= percent * (F.col("n") + F.col("x_n"))))
+             .select(F.col("x").alias("a"), F.col("rep").alias("b")).distinct())
+    # (group, x) asks all of (group, rep): a large root by its askers, a block of sets by another block
+    near_asks, near_holds = _block_pairs(materialized(near.filter(~few).select("s", "rep", "root")))
+    asks = materialized(to_large.select(F.concat(F.lit("r"), "to").alias("group"), F.col("rep").alias("x"), F.col("root").alias("x_root"))
+                        .distinct().unionByName(near_asks))
+    mine = held.select(F.concat(F.lit("r"), "root").alias("group"), "rep", "root")
+    holds = mine.join(asks.select("group").distinct(), "group", "left_semi").unionByName(near_holds)
+    return _confirmed(pairs, sets, percent).unionByName(_between_blocks(asks, holds, held, percent)).distinct()
+
+
+def _block_pairs(many: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(group, x, x_root) and (group, rep, root): blocks of sets that have a shingle in common. Sets
+    share most shingles with the same others, so blocks are cut from what a few rounds of passing the
+    smallest number on have brought together; a set then goes to few blocks, not to one per shingle."""
+    sets = materialized(many.select("rep", "root").distinct())
+    labels = sets.select("rep", F.col("rep").alias("label"))
+    for _ in range(LABEL_ROUNDS):
+        least = many.join(labels, "rep").groupBy("s").agg(F.min("label").alias("label"))
+        labels = materialized(many.select("s", "rep").join(least, "s").groupBy("rep").agg(F.min("label").alias("label")))
+    sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("parts"))
+    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    blocks = materialized(labels.join(sizes, "label").select("rep", F.xxhash64("label", part).alias("b")).join(sets, "rep"))
+    at = materialized(many.select("s", "rep").join(blocks.select("rep", "b"), "rep").select("s", "b").distinct())
+    pairs = materialized(at.join(at.select(F.col("s").alias("s"), F.col("b").alias("c")), "s").filter("b <= c")
+                         .select("b", "c", F.concat_ws(":", "b", "c").alias("group")).distinct())
+    asks = pairs.select("group", "b").join(blocks, "b").select("group", F.col("rep").alias("x"), F.col("root").alias("x_root"))
+    holds = pairs.select("group", F.col("c").alias("b")).join(blocks, "b").select("group", "rep", "root")
+    return asks, holds
+
+
+def _asks_of_large(rare: DataFrame, percent: int) -> DataFrame:
+    """(rep, root, to): sets that share a rare shingle with members of a large root, and whose sizes
+    allow a link. The commonest large root of a shingle does not ask the others that have it."""
+    large = rare.filter("large").groupBy("s", "root").agg(
         F.count("*").alias("c"), F.min("n").alias("lo_n"), F.max("n").alias("hi_n"), F.max("most").alias("hi_most"))
-    main = (by_root.groupBy("s").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots"))
-            .filter("roots > 1").select("s", F.col("m.root").alias("main")))
-    few = rare.join(main, "s").filter("root != main").select(
-        "s", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"),
-        F.col("most").alias("x_most"))
-    asks = materialized(few.join(by_root, "s").filter(
-        (F.col("x_root") != F.col("root")) & (percent * F.col("x_n") <= 100 * F.col("hi_n"))
-        & (percent * F.col("lo_n") <= 100 * F.col("x_n"))
-        & ((100 + percent) * F.least("hi_most", "x_most") >= percent * (F.col("lo_n") + F.col("x_n"))))
-        .select("x", "root").distinct())
-    blocks = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("xb"),
-                                         F.count("*").alias("held"))
-    asked = asks.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("ub"))
-    blocks = materialized(blocks.join(asked, "root"))
-    small = blocks.filter(F.col("held") <= SMALL_BUCKET).select("root")
-    pairs = (asks.join(small, "root").join(members, "root")
-             .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct())
-    large = blocks.filter(F.col("held") > SMALL_BUCKET)
-
-    def block(of: str, n: str) -> Column:
-        return F.pmod(F.xxhash64(of), F.col(n)).cast("int")
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-
-    own_sets = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("own"))
-    asking = (asks.join(large, "root").join(own_sets, "x")
-              .select("root", block("x", "ub").alias("u"), every("xb").alias("v"), "x", "own"))
-    holding = (members.join(large, "root").join(sets, "rep")
-               .select("root", block("rep", "xb").alias("v"), every("ub").alias("u"), "rep", "shingles"))
+    main = large.groupBy("s").agg(F.max(F.struct("c", "root")).alias("m")).select("s", F.col("m.root").alias("main"))
+    targets = large.withColumnRenamed("root", "to").join(main, "s")
+    return (rare.join(targets, "s")
+            .filter((F.col("root") != F.col("to")) & (~F.col("large") | (F.col("root") != F.col("main")))
+                    & (percent * F.col("n") <= 100 * F.col("hi_n")) & (percent * F.col("lo_n") <= 100 * F.col("n"))
+                    & ((100 + percent) * F.least("hi_most", "most") >= percent * (F.col("lo_n") + F.col("n"))))
+            .select("rep", "root", "to"))
 
-    def compare(xs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(xs) and len(held):
-            sizes = held["shingles"].map(len).to_numpy()
-            starts = np.concatenate([[0], sizes.cumsum()[:-1]])
-            everything = np.concatenate(held["shingles"].tolist())
-            reps = held["rep"].to_numpy()
-            for x, own in zip(xs["x"], xs["own"], strict=True):
-                shared = np.add.reduceat(np.isin(everything, own), starts, dtype=np.int64)
-                linked = reps[100 * shared >= percent * (sizes + len(own) - shared)]
-                if len(linked):  # one link connects it with the whole component
-                    found.append((min(x, linked.min()), max(x, linked.min())))
-        return pd.DataFrame(found, columns=["a", "b"])
 
-    key = ["root", "u", "v"]
-    linked = asking.groupBy(*key).cogroup(holding.groupBy(*key)).applyInPandas(compare, "a bigint, b bigint")
-    return _confirmed(pairs, sets, percent).unionByName(linked)
+def _between_blocks(asks: DataFrame, holds: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links between the sets that ask (group, x, x_root) and those that a group holds (group, rep,
+    root). Both are dealt into blocks, so a set goes once to each block of the other side."""
+    def blocks(n: str) -> Column:
+        return F.ceil(F.col(n) / BLOCK_SETS).cast("int")
 
+    def block(of: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(of), blocks(n)).cast("int")
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                    percent: int = 80) -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id (smallest id reachable over links
-    of at least ``percent`` of similarity), kept."""
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+
+    counts = materialized(asks.groupBy("group").agg(F.count("*").alias("ask"))
+                          .join(holds.groupBy("group").agg(F.count("*").alias("held")), "group"))
+    own = held.select("rep", "shingles")
+    left = (asks.join(counts, "group").select("group", "x", "x_root", block("x", "ask").alias("u"), every("held").alias("v"))
+            .join(own.toDF("x", "own"), "x"))
+    right = (holds.join(counts, "group").select("group", "rep", "root", block("rep", "held").alias("v"), every("ask").alias("u"))
+             .join(own.toDF("rep", "shingles"), "rep"))
+    key = ["group", "u", "v"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_linked_blocks(percent), "a bigint, b bigint")
+
+
+def _found(df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """One row per row of ``df``: id, mark (a hash of its text), n, component (smallest id and mark
+    reachable; of an empty set or a null id, its own)."""
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn(
+        "id", F.struct("id", F.xxhash64("text").alias("mark")))
     sketches = materialized(map_texts(
         texts, "id", "text", _sketch(width), "s", "struct<n:bigint,set_key:binary,sig:array<int>>").select("id", "s.*"))
-    sized = sketches.filter("n > 0 AND id IS NOT NULL")
+    sized = sketches.filter("n > 0 AND id.id IS NOT NULL")
+    # the number of a set is given once, in what is written
     groups = materialized(sized.groupBy("set_key").agg(
-        F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
-        F.first("sig").alias("sig")))
+        F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"),
+        F.first("sig").alias("sig")).withColumn("rep", F.monotonically_increasing_id()))
     reps = groups.select("rep", "n", "sig")
     found, crowd = _candidates(reps)
     pairs = materialized(_agreeing(found, reps, percent))
-    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("id"))
-              .unionByName(crowd.select(F.col("rep").alias("id"))).distinct())
-    chosen = keep_listed(texts, wanted, "id")
-    sets = materialized(map_texts(chosen, "id", "text", _set_arrays(width), "shingles", "array<bigint>")
-                        .select(F.col("id").alias("rep"), "shingles").dropDuplicates(["rep"]))
+    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+              .unionByName(crowd.select("rep")).distinct())
+    named = groups.join(wanted, "rep", "left_semi").select("least.id")
+    chosen = keep_listed(texts.select("id.id", "text"), named, "id")
+    sets = map_texts(chosen, "id", "text", _set_arrays(width), "s", "struct<set_key:binary,shingles:array<bigint>>")
+    sets = materialized(sets.select("s.*").dropDuplicates(["set_key"]).join(groups.select("set_key", "rep"), "set_key")
+                        .select("rep", "shingles"))
     # one partner each first: most of a group is connected by these few confirmations
     ends = pairs.select(F.col("b").alias("x"), "a", "b", "same").unionByName(
         pairs.select(F.col("a").alias("x"), "a", "b", "same"))
@@ -324,18 +420,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links)
     hidden = _hidden_links(crowd, roots, sets, percent)
     roots = components(links.unionByName(hidden))
-    total = sketches.count()
-    facts = groups.join(roots, groups["rep"] == roots["node"], "left").select(
-        "set_key", "copies", F.coalesce("root", "rep").alias("component_id"))
-    inside = attach(sized.select("id", "n", "set_key"), materialized(facts), "set_key", "copies", total)
-    outside = sketches.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    return (inside.select("id", "n", "component_id").unionByName(outside)
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-                    F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
+    linked = materialized(groups.select("rep", "least").join(roots, F.col("rep") == F.col("node")))
+    sized_roots = materialized(linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("members")))
+    known = attach(linked.select("rep", "root"), sized_roots, "root", "members", linked.count()).select("rep", "component")
+    facts = groups.join(known, "rep", "left").select(
+        "set_key", "copies", F.coalesce("component", "least").alias("component"))
+    inside = attach(sized.select("id", "n", "set_key"), materialized(facts), "set_key", "copies", sketches.count())
+    outside = sketches.filter("n = 0 OR id.id IS NULL").select("id", "n", F.col("id").alias("component"))
+    return inside.select("id", "n", "component").unionByName(outside).select("id.id", "id.mark", "n", "component")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                    percent: int = 80) -> DataFrame:
+    """One row per row of ``df``: id, n_shingles, component_id (smallest id reachable over links
+    of at least ``percent`` of similarity), kept."""
+    return _found(df, id_col, text_col, width, percent).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component.id").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component.id")).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                          percent: int = 80) -> DataFrame:
-    """The rows of ``df`` that stay, one id of each group, with all their columns."""
-    found = near_duplicates(df, id_col, text_col, width, percent)
-    return drop_listed(df, found.filter(~F.col("kept")).select(id_col), id_col)
+    """The rows of ``df`` that stay, with all their columns: of each group the row with the smallest id
+    (of its texts the one with the smallest hash), once. Rows of a null id, or without a word, stay."""
+    found = materialized(_found(df, id_col, text_col, width, percent).filter("n > 0 AND id IS NOT NULL")
+                         .withColumn("wins", F.struct("id", "mark") == F.col("component")))
+
+    def key(id_: Column, mark: Column) -> Column:
+        return F.concat_ws(":", id_.cast("string"), mark.cast("string"))
+
+    own = found.withColumn("key", key(F.col("id"), F.col("mark")))
+    again = own.filter("wins").groupBy("key").count().filter("count > 1").select("key")
+    keyed = df.withColumn("__row", F.when(F.col(id_col).isNotNull(), key(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")))))
+    rest = drop_listed(keyed, own.filter("NOT wins").select("key"), "__row")
+    once = keep_listed(rest, again, "__row").dropDuplicates(["__row"])
+    return drop_listed(rest, again, "__row").unionByName(once).select(*df.columns)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from commentmill.llm import fim_assembly, survivor_repair, vantage_simhash
+from commentmill.llm import ann_tree, bloom_dedup, fim_assembly, survivor_repair, tensor_minhash, vantage_simhash
 
 
 # --- vantage-point trees -----------------------------------------------------------------
@@ -279,3 +279,99 @@ def test_plain_share_is_a_parameter(spark):
     df = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a\nb\nc").alias("text"))
     forms = {r["form"] for r in fim_assembly.fill_in_middle(df, rate=0).collect()}
     assert forms == {"plain"}
+
+
+# --- near and exact duplicates: repeated ids, crowded buckets ------------------------------
+
+
+def test_an_id_with_two_texts_loses_neither(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    schema = "doc_id bigint, text string, __sha int, s string"
+    rows = [(7, a), (7, b), (9, b), (3, a), (None, a), (None, a), (5, None), (5, None)]
+    df = spark.createDataFrame([(*r, 1, "") for r in rows], schema)
+    left = sorted(((r["doc_id"], r["text"]) for r in tensor_minhash.drop_near_duplicates(df).collect()), key=str)
+    assert left == sorted([(3, a), (7, b), (None, a), (None, a), (5, None), (5, None)], key=str)
+
+
+def test_rows_repeated_whole_stay_once(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(3, text), (3, text), (3, text.upper()), (7, text), (8, "one line"), (8, "one line")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    near = [r["doc_id"] for r in tensor_minhash.drop_near_duplicates(df).collect()]
+    assert sorted(near) == [3, 8]
+    exact = [r["doc_id"] for r in bloom_dedup.drop_duplicates(df).collect()]
+    assert sorted(exact) == [7, 8]
+
+
+def test_near_duplicates_of_text_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([("b", text), ("a", text + " x"), ("c", "else")], "doc_id string, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in tensor_minhash.near_duplicates(df).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True)}
+
+
+@pytest.mark.parametrize("bucket,block", [(16, 256), (2, 5)])
+def test_links_hidden_in_crowds_are_found(spark, monkeypatch, bucket, block):
+    from test_llm_corpus import family_rows, plain_near
+
+    monkeypatch.setattr(tensor_minhash, "SMALL_BUCKET", bucket)
+    monkeypatch.setattr(tensor_minhash, "BLOCK_SETS", block)
+    draw = random.Random(bucket)
+    rows = family_rows(9)
+    base = [f"v{i}" for i in range(100)]
+    for i in range(60):  # members that are near some others only
+        t = list(base)
+        for j in range(i % 12, 100, 12 if i % 3 else 30):
+            t[j] = f"z{i % 20}-{j}"
+        rows.append((1_000 + i, " ".join(t + [f"u{draw.randint(0, 9)}"])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in tensor_minhash.near_duplicates(df, width=4).collect()}
+    assert got == plain_near(rows, 4)
+
+
+def test_shared_shingles_are_counted_in_parts(monkeypatch):
+    monkeypatch.setattr(tensor_minhash, "BLOCK_SHINGLES", 7)
+    draw = np.random.Generator(np.random.PCG64(1))
+    left, right = ([np.unique(draw.integers(0, 60, draw.integers(1, 40))) for _ in range(n)] for n in (9, 5))
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert tensor_minhash._shared(left, right).tolist() == want
+    assert tensor_minhash._shared([np.array([1])], [np.array([2])]).tolist() == [[0]]
+
+
+# --- neighbours: ties ----------------------------------------------------------------------
+
+
+def product(a, b):
+    total = 0.0
+    for x, y in zip(a, b, strict=True):  # in order, as sum() compensates
+        total += x * y
+    return total
+
+
+def plain_neighbours(rows, queries, k):
+    out = []
+    for q in queries:
+        scores = sorted((-product(rows[q], v), i) for i, v in rows.items() if i != q)
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return out
+
+
+def test_small_integer_vectors_tie_by_id():
+    draw = np.random.Generator(np.random.PCG64(2))
+    points, ids = draw.integers(-1, 2, (400, 4)).astype(float), draw.permutation(400)
+    asks = draw.integers(-1, 2, (30, 4)).astype(float)
+    got = ann_tree._top(asks, np.arange(30), points, ids, 21)
+    for q in range(30):
+        want = sorted((-float(p @ asks[q]), int(i)) for p, i in zip(points, ids, strict=True))[:21]
+        mine = got[got["q"] == q]
+        assert [(-s, i) for s, i in zip(mine["score"], mine["rep"], strict=True)] == want
+
+
+def test_search_over_tied_vectors_equals_brute_force(spark):
+    draw = np.random.Generator(np.random.PCG64(3))
+    rows = {i: draw.integers(-1, 2, 3).astype(float).tolist() for i in range(700)}
+    rows |= {1000 + i: draw.normal(size=3).tolist() for i in range(300)}
+    rows = {i: v for i, v in rows.items() if any(v)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id bigint, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, ann_tree.search(df, F.col("vec_id") % 20 == 0, k=20, target=1.0).collect()))
+    assert got == plain_neighbours(rows, sorted(i for i in rows if i % 20 == 0), 20)
