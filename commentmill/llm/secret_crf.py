@@ -7,7 +7,7 @@ tokens before and after, hashed neighbouring words, and features of the whole fi
 sequence is found by Viterbi; spans that touch no base span are added.
 
 The chain learns from windows of a bounded sample of the given documents, labelled by the base
-patterns; half of the windows hide the neighbouring words or the shape, so that either can tell.
+patterns; a quarter of the windows hide the neighbouring words, so that shapes alone can tell.
 Windows around odd-looking tokens outside base spans are the negative examples. Scores are
 weighed so that a token must be clearly likelier inside a secret than outside (``CAUTION``).
 

@@ -1,10 +1,12 @@
 """SentencePiece encoding and decoding with weighted finite-state transducers.
 
-Three transducers are compiled from a vocabulary: the normaliser (a mark before the text, spaces
-written as marks, everything else as it is), the pieces (a trie whose final arcs emit a piece at the
-cost of its negated score, and whose states remember the piece emitted last), and byte fallback (a
-character no piece covers becomes its UTF-8 bytes). A text is composed with them arc by arc, and
-the tropical-semiring shortest path through the composition is its encoding.
+The pieces are compiled into a transducer: a trie whose final arcs emit a piece at the cost of its
+negated score, and whose states remember the piece emitted last. A text is composed with it arc by
+arc, and the tropical-semiring shortest path through the composition is its encoding. The normaliser
+is the identity rule (a mark before the text, spaces written as marks), done as plain replacement, and
+a model with another rule is refused. Byte fallback is one more arc of the search: a character that no
+piece covers becomes its UTF-8 bytes. Where equal scores close every path, the stretch is merged as it
+stands.
 
 For vocabularies learned by merging pairs, two pieces may only follow one another if merging their
 joined text leaves the cut between them; all other arcs have infinite weight. That leaves the
@@ -59,6 +61,7 @@ def load_vocabulary(path: str = MODEL, paired: bool = True) -> Vocabulary:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    _refuse_other_rules(sp.serialized_model_proto(), path)
     ids = range(sp.vocab_size())
     pieces = [sp.id_to_piece(i) for i in ids]
     by_text = {p: i for i, p in enumerate(pieces) if sp.is_byte(i)}
@@ -67,6 +70,14 @@ def load_vocabulary(path: str = MODEL, paired: bool = True) -> Vocabulary:
                       [by_text.get(f"<0x{b:02X}>", sp.unk_id()) for b in range(256)], special, sp.unk_id(), paired)
 
 
+def _refuse_other_rules(model: bytes, path: str) -> None:
+    from sentencepiece import sentencepiece_model_pb2
+
+    rule = sentencepiece_model_pb2.ModelProto.FromString(model).normalizer_spec
+    if rule.precompiled_charsmap or not rule.add_dummy_prefix or rule.remove_extra_whitespaces or not rule.escape_whitespaces:
+        raise ValueError(f"{path}: only the identity rule with a mark before the text is built, not {rule.name!r}")
+
+
 class Transducer:
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
