@@ -494,6 +494,22 @@ def naive_bayes_metrics(spark, sf_dir):
     return scores.select("samples_train", "samples_test", "accuracy")
 
 
+def _model_metrics(spark, sf_dir, name: str) -> DataFrame:
+    _, scores, _ = model.train_selected(_labelled(spark, sf_dir), name, text_col="text",
+                                        label_col="toxic", key="doc_id")
+    return scores.select("samples_train", "samples_test", "accuracy", "f1_macro", "f1_weighted")
+
+
+@query
+def logistic_metrics(spark, sf_dir):
+    return _model_metrics(spark, sf_dir, "Logistic Regression")
+
+
+@query
+def svm_metrics(spark, sf_dir):
+    return _model_metrics(spark, sf_dir, "SVM (LinearSVC)")
+
+
 # --- scoring -------------------------------------------------------------------------------------
 
 
