@@ -302,13 +302,13 @@ def _hidden_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     sizes = materialized(held.groupBy("root").agg(F.count("*").alias("members")))
     rare = materialized(attach(rare, sizes, "root", "members", held.count()).withColumn(
         "large", F.col("members") > SMALL_BUCKET).drop("members"))
-    to_large = _asks_of_large(rare, percent)
+    to_large = materialized(_asks_of_large(rare, percent).distinct())
     small = rare.filter("NOT large").drop("large")
     who = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"who{i}") for i in range(2)]
     shared = small.groupBy("s").agg(F.count("*").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"), *who)
     # shingles that the same sets hold ask the same: one of them is enough
     of_small = materialized(shared.filter("lo < hi").groupBy("held", "who0", "who1").agg(F.min("s").alias("s")).select("s", "held"))
-    near = attach(small, of_small, "s", "held", small.count())
+    near = materialized(attach(small, of_small, "s", "held", small.count()))
     few = F.col("held") <= SMALL_BUCKET
     asking = near.filter(few).select("s", F.col("rep").alias("x"), F.col("root").alias("x_root"),
                                      F.col("n").alias("x_n"), F.col("most").alias("x_most"))
@@ -320,10 +320,11 @@ def _hidden_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     # (group, x) asks all of (group, rep): a large root by its askers, a block of sets by another block
     near_asks, near_holds = _block_pairs(materialized(near.filter(~few).select("s", "rep", "root")))
     asks = materialized(to_large.select(F.concat(F.lit("r"), "to").alias("group"), F.col("rep").alias("x"), F.col("root").alias("x_root"))
-                        .distinct().unionByName(near_asks))
+                        .unionByName(near_asks))
     mine = held.select(F.concat(F.lit("r"), "root").alias("group"), "rep", "root")
     holds = mine.join(asks.select("group").distinct(), "group", "left_semi").unionByName(near_holds)
-    return _confirmed(pairs, sets, percent).unionByName(_between_blocks(asks, holds, held, percent)).distinct()
+    linked = materialized(_between_blocks(asks, holds, held, percent))
+    return _confirmed(materialized(pairs), sets, percent).unionByName(linked).distinct()
 
 
 def _block_pairs(many: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -418,7 +419,7 @@ def _found(df: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     more = _agreeing(_other_leaders(crowd, roots), reps, percent).select("a", "b")
     links = materialized(links.unionByName(_confirmed(more, sets, percent)))
     roots = components(links)
-    hidden = _hidden_links(crowd, roots, sets, percent)
+    hidden = materialized(_hidden_links(crowd, roots, sets, percent))
     roots = components(links.unionByName(hidden))
     linked = materialized(groups.select("rep", "least").join(roots, F.col("rep") == F.col("node")))
     sized_roots = materialized(linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("members")))
