@@ -287,7 +287,9 @@ def _hidden_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     members = tagged.join(mixed, "key", "left_semi").select("rep", "root").distinct()
     held = materialized(members.join(sets, "rep").select("rep", "root", F.size("shingles").alias("n"), "shingles"))
-    total = held.agg(F.sum("n")).first()[0] or 0
+    total = held.agg(F.sum("n")).first()[0]
+    if not total:  # no crowded bucket spans several components
+        return held.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     posted = held.select("rep", "root", "n", F.explode("shingles").alias("s"))
     seen = materialized(posted.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"))
     counted = attach(posted, seen, "s", "c", total)  # shingles that several have, with their number
@@ -300,15 +302,14 @@ def _hidden_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent:
                                 F.explode(F.slice("all", F.lit(1), F.greatest(kept, F.lit(0)))).alias("e"))
                         .select("rep", "root", "n", "most", "e.s"))
     sizes = materialized(held.groupBy("root").agg(F.count("*").alias("members")))
-    rare = materialized(attach(rare, sizes, "root", "members", held.count()).withColumn(
-        "large", F.col("members") > SMALL_BUCKET).drop("members"))
+    rare = materialized(rare.join(sizes, "root").withColumn("large", F.col("members") > SMALL_BUCKET).drop("members"))
     to_large = materialized(_asks_of_large(rare, percent).distinct())
     small = rare.filter("NOT large").drop("large")
     who = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"who{i}") for i in range(2)]
     shared = small.groupBy("s").agg(F.count("*").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"), *who)
     # shingles that the same sets hold ask the same: one of them is enough
     of_small = materialized(shared.filter("lo < hi").groupBy("held", "who0", "who1").agg(F.min("s").alias("s")).select("s", "held"))
-    near = materialized(attach(small, of_small, "s", "held", small.count()))
+    near = materialized(small.join(of_small, "s"))
     few = F.col("held") <= SMALL_BUCKET
     asking = near.filter(few).select("s", F.col("rep").alias("x"), F.col("root").alias("x_root"),
                                      F.col("n").alias("x_n"), F.col("most").alias("x_most"))
@@ -422,8 +423,8 @@ def _found(df: DataFrame, id_col: str, text_col: str, width: int, percent: int)
     hidden = materialized(_hidden_links(crowd, roots, sets, percent))
     roots = components(links.unionByName(hidden))
     linked = materialized(groups.select("rep", "least").join(roots, F.col("rep") == F.col("node")))
-    sized_roots = materialized(linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("members")))
-    known = attach(linked.select("rep", "root"), sized_roots, "root", "members", linked.count()).select("rep", "component")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    known = linked.select("rep", "root").join(least, "root").select("rep", "component")
     facts = groups.join(known, "rep", "left").select(
         "set_key", "copies", F.coalesce("component", "least").alias("component"))
     inside = attach(sized.select("id", "n", "set_key"), materialized(facts), "set_key", "copies", sketches.count())
@@ -451,8 +452,10 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
         return F.concat_ws(":", id_.cast("string"), mark.cast("string"))
 
     own = found.withColumn("key", key(F.col("id"), F.col("mark")))
-    again = own.filter("wins").groupBy("key").count().filter("count > 1").select("key")
+    again = materialized(own.filter("wins").groupBy("key").count().filter("count > 1").select("key"))
     keyed = df.withColumn("__row", F.when(F.col(id_col).isNotNull(), key(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")))))
     rest = drop_listed(keyed, own.filter("NOT wins").select("key"), "__row")
+    if again.isEmpty():
+        return rest.select(*df.columns)
     once = keep_listed(rest, again, "__row").dropDuplicates(["__row"])
     return drop_listed(rest, again, "__row").unionByName(once).select(*df.columns)
