@@ -34,7 +34,7 @@ def sparse(vectors: DataFrame, vector_col: str = "features"):
     return parts["indices"].alias("indices"), parts["values"].alias("values")
 
 
-def _flat(indices: list, values: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def flat_cells(indices: list, values: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = np.repeat(np.arange(len(indices)), list(map(len, indices)))
     return (rows, np.concatenate([np.empty(0, np.int64), *indices]).astype(np.int64),
             np.concatenate([np.empty(0), *values]))
@@ -43,7 +43,7 @@ def _flat(indices: list, values: list) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def margins(weights: np.ndarray, indices: list, values: list) -> np.ndarray:
     """rows x vectors: the score of each row under each weight vector, whose last number is the
     intercept."""
-    rows, at, v = _flat(indices, values)
+    rows, at, v = flat_cells(indices, values)
     return np.stack([np.bincount(rows, v * w[at], minlength=len(indices)) + w[-1] for w in weights], axis=1)
 
 
@@ -72,7 +72,7 @@ def _partition_sums(kind: str, weights: np.ndarray):
                 continue
             indices, values = pdf["indices"].tolist(), pdf["values"].tolist()
             loss, slope = losses(kind, margins(weights, indices, values), pdf["y"].to_numpy())
-            rows, at, v = _flat(indices, values)
+            rows, at, v = flat_cells(indices, values)
             total[0] += loss
             for k, part in enumerate(total[1:].reshape(weights.shape)):
                 part[:-1] += np.bincount(at, v * slope[rows, k], minlength=weights.shape[1] - 1)

@@ -510,6 +510,11 @@ def svm_metrics(spark, sf_dir):
     return _model_metrics(spark, sf_dir, "SVM (LinearSVC)")
 
 
+@query
+def forest_metrics(spark, sf_dir):
+    return _model_metrics(spark, sf_dir, "Random Forest")
+
+
 # --- scoring -------------------------------------------------------------------------------------
 
 

@@ -43,7 +43,8 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_every_other_query_is_known():
-    assert set(catalog.QUERIES) - set(SQL) == {"model_comparison", "logistic_metrics", "svm_metrics"}
+    assert set(catalog.QUERIES) - set(SQL) == {"model_comparison", "logistic_metrics", "svm_metrics",
+                                                "forest_metrics"}
 
 
 def test_plans(spark):
