@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from commentmill.functions.hot import join_keys
 from commentmill.functions.numbers import draw_hex, draw_int, hex_threshold
 from commentmill.functions.text import WS, as_text, bind, is_blank, strip, tokens
 
@@ -134,8 +135,8 @@ def synonyms_from_table(df: DataFrame, text_col: str, synonyms: DataFrame, *, ke
     """Synonym replacement from a (word, synonym) table of any size.
 
     Only the k drawn tokens of a row travel: they are joined with the words (one row each, its
-    options gathered) and the picks come back per row. A frequent word makes a hot key on the
-    token side only, which Spark splits when it broadcasts the words or handles the skew.
+    options gathered) and the picks come back per row. Frequent words are joined apart (see
+    ``join_keys``).
     ``key`` must be unique.
     """
     words = synonym_words(synonyms)
@@ -153,7 +154,7 @@ def synonyms_from_table(df: DataFrame, text_col: str, synonyms: DataFrame, *, ke
         F.col(key).alias("_k"), F.inline(bind(F.col("_toks"), drawn)))
     pick = F.get("options", draw_int(draw_hex(seed, F.col("_k"), "synonym.pick", F.col("i")),
                                      F.size("options")).cast("int"))
-    picks = long.join(words, "word").groupBy("_k").agg(
+    picks = join_keys(long, words, "word").groupBy("_k").agg(
         F.map_from_entries(F.collect_list(F.struct("i", pick.alias("pick")))).alias("_picks"))
     joined = base.join(picks, F.col(key) == F.col("_k"), "left")
     new = F.transform("_toks", lambda t, i: F.coalesce(F.try_element_at("_picks", i), t))
@@ -176,7 +177,7 @@ def with_row_synonyms(df: DataFrame, text_col: str, words: DataFrame, key: str)
     travel, not the texts' other tokens; ``key`` must be unique."""
     bare = F.transform(tokens(as_text(F.col(text_col))), lambda t: F.lower(F.regexp_replace(t, ASCII_EDGES, "")))
     used = df.select(F.col(key).alias("_k"), F.explode(F.array_distinct(bare)).alias("word"))
-    found = used.join(words, "word").groupBy("_k").agg(
+    found = join_keys(used, words, "word").groupBy("_k").agg(
         F.map_from_entries(F.collect_list(F.struct("word", "options"))).alias("_syn"))
     return df.join(found, F.col(key) == F.col("_k"), "left").drop("_k")
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commentmill.functions import lexicons as lex
+from commentmill.functions.cut import materialized
+from commentmill.functions.hot import join_keys
 from commentmill.functions.text import (
     BOUNDARY, NOT_WS, PUNCT, SPACE, W, WORD, WS, as_text, in_words, text_map, tokens, within,
 )
@@ -155,6 +157,29 @@ def map_tokens(col: Column, phrases: Mapping[str, str]) -> Column:
     return F.array_join(F.transform(pieces, replace), "")
 
 
+def map_tokens_table(df: DataFrame, text_col: str, phrases: DataFrame, output: str = PROCESSED) -> DataFrame:
+    """``map_tokens`` with a (token, phrase) table of any size; adds ``output``.
+
+    The distinct tokens of each row are joined with the table, and what is found comes back as one map
+    per row, no larger than the row; its pieces are then replaced in their places. Hot words are
+    joined apart (see ``join_keys``). Rows are written once, which fixes the number they are known by.
+
+    Missing texts are empty. Tokens of the table are compared in lower case; of a token that is listed
+    twice the smallest phrase counts; lines without token or phrase are left out. Equal rows stay.
+    """
+    known = (phrases.select(F.lower("token").alias("_token"), F.col("phrase").alias("_phrase")).dropna()
+             .groupBy("_token").agg(F.min("_phrase").alias("_phrase")))
+    pieces = F.regexp_extract_all(as_text(F.col(text_col)), F.lit(_PIECE), F.lit(0))
+    numbered = materialized(df.withColumn("_pieces", pieces).withColumn("_row", F.monotonically_increasing_id()))
+    cores = F.filter("_pieces", lambda p: p.rlike(rf"\A{_CORE}\z"))
+    words = numbered.select("_row", F.explode(F.array_distinct(F.transform(cores, F.lower))).alias("_token"))
+    found = join_keys(words, known, "_token").groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("_token", "_phrase"))).alias("_found"))
+    new = F.transform("_pieces", lambda p: F.coalesce(F.try_element_at("_found", F.lower(p)), p))
+    return numbered.join(found, "_row", "left").withColumn(output, F.array_join(
+        F.when(F.col("_found").isNull(), F.col("_pieces")).otherwise(new), "")).drop("_row", "_pieces", "_found")
+
+
 def token_phrases(cfg: CleanConfig, slang: Mapping[str, str] | None = None,
                   contractions: Mapping[str, str] | None = None) -> dict[str, str]:
     """The look-up of one token pass; a contraction wins over a slang entry."""

@@ -95,6 +95,16 @@ _one("clean_token_phrases", lambda t: clean.map_tokens(
     chatty(t), {**lex.SLANG, **lex.CONTRACTIONS}))
 
 
+@query
+def clean_phrase_table(spark, sf_dir):
+    """Every word of four or more characters of the documents has a phrase, which tells its length."""
+    d = documents(spark, sf_dir)
+    words = d.select(F.explode(F.split(F.lower("text"), " ")).alias("token")).distinct()
+    table = words.filter(F.length("token") >= 4).withColumn(
+        "phrase", F.concat(F.lit("<"), F.col("token"), F.lit(" "), F.length("token").cast("string"), F.lit(">")))
+    return clean.map_tokens_table(d, "text", table).select("doc_id", F.md5("processed_text").alias("processed_text"))
+
+
 @query
 def clean_noise_steps(spark, sf_dir):
     d = documents(spark, sf_dir)

@@ -121,6 +121,21 @@ def phrases(expr: str) -> str:
                   f"lambda x: {new})", "")
 
 
+def phrase_table() -> str:
+    """Pieces unnested with their place, joined with the words, joined again in order."""
+    shape = rf"^({NW}*)([{WB}']+)({NW}*)$"
+    part = [f"regexp_extract(x, {q(shape)}, {i})" for i in (1, 2, 3)]
+    return f"""WITH words AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS token FROM documents),
+      known AS (SELECT token, '<' || token || ' ' || length(token) || '>' AS phrase FROM words WHERE length(token) >= 4),
+      pieces AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id,
+        regexp_extract_all(coalesce(text, ''), {q(WS + '+|' + NWS + '+')}) AS l FROM documents)),
+      cores AS (SELECT *, CASE WHEN regexp_matches(x, {q(shape)}) THEN lower({part[1]}) END AS core FROM pieces),
+      mapped AS (SELECT doc_id, i, CASE WHEN phrase IS NULL THEN x ELSE {part[0]} || phrase || {part[2]} END AS y
+        FROM cores LEFT JOIN known ON core = token),
+      built AS (SELECT doc_id, string_agg(y, '' ORDER BY i) AS t FROM mapped GROUP BY doc_id)
+      SELECT doc_id, md5(coalesce(t, '')) AS processed_text FROM documents LEFT JOIN built USING (doc_id)"""
+
+
 def stopwords(expr: str) -> str:
     return joined(f"list_filter({toks(expr)}, lambda x: lower(x) NOT IN {words_in(lex.STOP_WORDS)})")
 
@@ -575,6 +590,7 @@ def oracle_sql() -> dict[str, str]:
             rr(rr(rr("text", "[A-Za-z]"), P), rf"\A{WS}+\z")),
         "clean_unicode": each("nfc_normalize(text)"),
         "clean_token_phrases": each(phrases(chatty())),
+        "clean_phrase_table": phrase_table(),
         "clean_noise_steps": f"SELECT doc_id, {steps} FROM documents",
         "clean_noise": each(noise(SOCIAL)),
         "clean_page_markup": each(NOISE["strip_urls"](NOISE["strip_tags"](
