@@ -394,6 +394,33 @@ def text_lines(spark, sf_dir):
     return datasets.load_dataset(spark, path, "text").groupBy("comment_text").agg(F.count("*").alias("n"))
 
 
+@query
+def dispatched_file(spark, sf_dir):
+    """A file read by its suffix."""
+    suffix = ".jsonl"
+    path = _written(spark, lambda p: documents(spark, sf_dir, "lang").write.json(p + suffix)) + suffix
+    return datasets.load_dataset(spark, path, schema="doc_id bigint, text string, lang string")
+
+
+@query
+def exported_row_results(spark, sf_dir):
+    """Row results with a list column exported and read again."""
+    rows_ = documents(spark, sf_dir, "lang", "source").select("doc_id", "text", F.array("lang", "source").alias("tags"))
+    path = _written(spark, lambda p: datasets.export_row_results(rows_, p))
+    return spark.read.schema("doc_id bigint, text string, tags string").options(
+        header=True, sep="\t", quote='"', escape='"', multiLine=True, mode="FAILFAST").csv(path)
+
+
+@query
+def active_text(spark, sf_dir):
+    """Cleaned anew, a dataset loses what was derived from the older cleaned text."""
+    older = documents(spark, sf_dir).withColumn("processed_text", F.upper("text")).withColumn("augmented_text", F.upper("text"))
+    newer = rows.drop_stale(older.withColumn("processed_text", F.lower("text")), "processed_text")
+    active = rows.active_text_column(newer, "text")
+    return newer.select("doc_id", F.lit(active).alias("active"), F.md5(active).alias("digest"),
+                        F.lit(len(newer.columns)).cast("bigint").alias("n_columns"))
+
+
 # --- labels and metrics ----------------------------------------------------------------------
 
 
@@ -687,6 +714,27 @@ def runs(spark, sf_dir) -> DataFrame:
         F.col("ts").alias("created_at"), F.lit(None).cast("string").alias("results_path"))
 
 
+@query
+def history_written(spark, sf_dir):
+    """Runs appended in two parts, one user's results placed, another user's runs deleted."""
+    log = history.RunHistory(spark, _written(spark, lambda path: None))
+    e = runs(spark, sf_dir).drop("id")
+    log.append(e.filter("user_id <= 50"))
+    log.append(e.filter("user_id > 50"))
+    log.update_results_path(log.read().filter("user_id = 9").select("id", F.lit("/results/9").alias("results_path")))
+    log.clear_user(8)
+    return log.read().groupBy("run_type").agg(
+        F.count("*").alias("n"), F.sum("row_count").alias("rows"), F.countDistinct("id").alias("ids"),
+        F.count("results_path").alias("placed"))
+
+
+@query
+def run_record(spark, sf_dir):
+    """The record of a scoring job over all documents."""
+    facts = scoring.summary_text(score_summary(spark, sf_dir))
+    return history.dataset_run(facts, user_id=1, source_filename="documents").drop("summary")
+
+
 @query
 def history_totals(spark, sf_dir):
     return history.totals(runs(spark, sf_dir))

@@ -683,6 +683,12 @@ def oracle_sql() -> dict[str, str]:
             "CASE WHEN h > 0 THEN 'Harassment' ELSE 'None' END AS category, CASE WHEN h > 0 THEN 'Insult' ELSE 'None' END AS toxicity_type, "
             f"{PREVIEW} AS text_preview FROM ok"),
         "csv_round_trip": "SELECT doc_id, text, lang FROM documents",
+        "dispatched_file": "SELECT doc_id, text, lang FROM documents",
+        "exported_row_results": "SELECT doc_id, text, concat_ws(', ', lang, source) AS tags FROM documents",
+        "active_text": "SELECT doc_id, 'processed_text' AS active, md5(lower(text)) AS digest, 3::BIGINT AS n_columns FROM documents",
+        "history_written": RUNS + (
+            "SELECT run_type, count(*) AS n, sum(row_count)::BIGINT AS rows, count(DISTINCT id) AS ids, "
+            "count(*) FILTER (user_id = 9) AS placed FROM runs WHERE user_id <> 8 GROUP BY run_type"),
         "json_round_trip": "SELECT doc_id, text, lang FROM documents",
         "text_lines": "SELECT comment_text, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS comment_text "
                       "FROM documents) GROUP BY comment_text",
@@ -694,6 +700,9 @@ def oracle_sql() -> dict[str, str]:
             "(SELECT count(*) FROM items WHERE txt = '') AS emptied, (SELECT count(*) FROM scored WHERE failed) AS errors, "
             "count(*) FILTER (overall >= 20) AS toxic, count(*) FILTER (overall < 20) AS non_toxic, round_even(avg(overall), 0)::INT AS avg_overall_score, "
             + ", ".join(f"round_even(avg({c}), 0)::INT AS avg_{c}" for c in SIX) + " FROM ok"),
+        "run_record": RESULTS + (
+            "SELECT 1::BIGINT AS user_id, 'dataset' AS run_type, 'documents' AS source_filename, count(*) AS row_count, "
+            "count(*) FILTER (overall >= 20) AS toxic_count, count(*) FILTER (overall < 20) AS non_toxic_count FROM ok"),
         "score_top_examples": RESULTS + f"SELECT row_id AS row_number, overall, {PREVIEW} AS text_preview FROM ok "
                                         "WHERE overall > 0 ORDER BY overall DESC, row_id LIMIT 5",
         "score_lines_and_bands": RESULTS + (
