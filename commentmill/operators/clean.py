@@ -160,9 +160,10 @@ def map_tokens(col: Column, phrases: Mapping[str, str]) -> Column:
 def map_tokens_table(df: DataFrame, text_col: str, phrases: DataFrame, output: str = PROCESSED) -> DataFrame:
     """``map_tokens`` with a (token, phrase) table of any size; adds ``output``.
 
-    The distinct tokens of each row are joined with the table, and what is found comes back as one map
-    per row, no larger than the row; its pieces are then replaced in their places. Hot words are
-    joined apart (see ``join_keys``). Rows are written once, which fixes the number they are known by.
+    The tokens of each row are joined with the table, and what is found comes back as one list of places
+    per row, no longer than the row; the row is rebuilt from the stretches between them. Hot words are
+    joined apart (see ``join_keys``). Rows and their tokens are written once, which fixes the number
+    that rows are known by.
 
     Missing texts are empty. Tokens of the table are compared in lower case; of a token that is listed
     twice the smallest phrase counts; lines without token or phrase are left out. Equal rows stay.
@@ -171,13 +172,22 @@ def map_tokens_table(df: DataFrame, text_col: str, phrases: DataFrame, output: s
              .groupBy("_token").agg(F.min("_phrase").alias("_phrase")))
     pieces = F.regexp_extract_all(as_text(F.col(text_col)), F.lit(_PIECE), F.lit(0))
     numbered = materialized(df.withColumn("_pieces", pieces).withColumn("_row", F.monotonically_increasing_id()))
-    cores = F.filter("_pieces", lambda p: p.rlike(rf"\A{_CORE}\z"))
-    words = numbered.select("_row", F.explode(F.array_distinct(F.transform(cores, F.lower))).alias("_token"))
+    placed = F.filter(F.transform("_pieces", lambda p, i: F.struct((i + 1).alias("i"), p.alias("p"))),
+                      lambda x: x["p"].rlike(rf"\A{_CORE}\z"))
+    words = materialized(numbered.select("_row", F.inline(placed)).select("_row", "i", F.lower("p").alias("_token")))
     found = join_keys(words, known, "_token").groupBy("_row").agg(
-        F.map_from_entries(F.collect_list(F.struct("_token", "_phrase"))).alias("_found"))
-    new = F.transform("_pieces", lambda p: F.coalesce(F.try_element_at("_found", F.lower(p)), p))
-    return numbered.join(found, "_row", "left").withColumn(output, F.array_join(
-        F.when(F.col("_found").isNull(), F.col("_pieces")).otherwise(new), "")).drop("_row", "_pieces", "_found")
+        F.sort_array(F.collect_list(F.struct("i", "_phrase"))).alias("_found"))
+    last = F.coalesce(F.get("_found", F.size("_found") - 1)["i"], F.lit(0))
+
+    def stretch(hit: Column, j: Column) -> Column:
+        """What stands before a hit, from the hit before it, and the phrase."""
+        start = F.coalesce(F.get("_found", j - 1)["i"], F.lit(0))
+        return F.concat(F.array_join(F.slice("_pieces", start + 1, hit["i"] - start - 1), ""), hit["_phrase"])
+
+    rest = F.array_join(F.slice("_pieces", last + 1, F.size("_pieces")), "")
+    new = F.concat(F.array_join(F.transform("_found", stretch), ""), rest)
+    return numbered.join(found, "_row", "left").withColumn(
+        output, F.coalesce(new, F.array_join("_pieces", ""))).drop("_row", "_pieces", "_found")
 
 
 def token_phrases(cfg: CleanConfig, slang: Mapping[str, str] | None = None,
