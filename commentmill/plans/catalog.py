@@ -13,7 +13,7 @@ from commentmill.functions import lexicons as lex
 from commentmill.functions.cut import ensure_checkpoint_dir
 from commentmill.functions.text import bind, tokens
 from commentmill.operators import (
-    augment, clean, features, metrics, model, parse, profanity, profile, rows, stats,
+    augment, clean, features, lexicon_table, metrics, model, parse, profanity, profile, rows, stats,
 )
 from commentmill.operators.knn import KNNClassifier
 from commentmill.plans import scoring
@@ -211,6 +211,37 @@ def replace_profanity(spark, sf_dir):
     return _sanitized(spark, sf_dir, mode="replace", replacement_map=PHRASES)
 
 
+def _large_lexicon(d: DataFrame) -> DataFrame:
+    """Every word of eight letters, and 100 terms for each document that no text has."""
+    words = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
+    other = d.select(F.explode(F.sequence(F.lit(1), F.lit(100))).alias("k"), "doc_id").select(
+        F.concat(F.lit("zq"), F.left(F.md5(F.concat_ws(":", "doc_id", "k")), F.lit(10))).alias("term"))
+    return words.filter(F.length("term") == 8).unionByName(other).distinct()
+
+
+def _spaced_words(text: Column) -> Column:
+    """The words of a text with figures between them; every third word is spelt, if of eight letters."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    return F.array_join(F.transform(words, lambda w, i: F.when(
+        (i % 3 == 0) & (F.length(w) == 8), F.array_join(F.split(w, ""), ".")).otherwise(w)), " 0 ")
+
+
+@query
+def scan_large_lexicon(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    s = lexicon_table.scan_table(d, "text", _large_lexicon(d))
+    return s.select("doc_id", "profanity_count", F.md5(F.array_join("profanity_matches", ",")).alias("matches"))
+
+
+@query
+def sanitize_large_lexicon(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    spaced = d.select("doc_id", _spaced_words(F.coalesce("text", F.lit(""))).alias("text"))
+    s = lexicon_table.sanitize_table(spaced, "text", _large_lexicon(d))
+    return s.select("doc_id", F.md5("clean_text").alias("clean_text"),
+                    F.md5(F.array_join("clean_replacements", ",")).alias("replacements"))
+
+
 @query
 def changed_row_count(spark, sf_dir):
     return profanity.changed_rows(profanity.sanitize(documents(spark, sf_dir), "text", TERMS))

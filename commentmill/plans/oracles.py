@@ -250,6 +250,43 @@ def scan_cte(source: str, key: str, terms: list[str], text: str = "text", more:
     )
 
 
+LARGE = """WITH terms AS (SELECT DISTINCT t FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS t
+      FROM documents) WHERE length(t) = 8),
+    forms AS (SELECT t || s AS form, min(t) AS term FROM terms, (SELECT unnest(
+      ['', 's', 'es', 'ed', 'ing', 'er', 'ers', 'y', 'ies']) AS s) GROUP BY ALL)"""
+
+
+def scan_large() -> str:
+    """Words of both passes joined with the forms of the terms."""
+    parts = [f"SELECT doc_id, {i} AS pass, unnest(a) AS w, generate_subscripts(a, 1) AS pos FROM (SELECT doc_id, "
+             f"regexp_extract_all({t}, {q(W + '+')}) AS a FROM documents)"
+             for i, t in enumerate(("lower(text)", undisguise("text")))]
+    return (f"{LARGE}, words AS ({' UNION ALL '.join(parts)}), "
+            "found AS (SELECT doc_id, term, min((pass, pos)) AS seen FROM words JOIN forms ON w = form GROUP BY ALL), "
+            "hits AS (SELECT doc_id, count(*)::INT AS n, string_agg(term, ',' ORDER BY seen) AS m FROM found GROUP BY ALL) "
+            "SELECT doc_id, coalesce(n, 0) AS profanity_count, md5(coalesce(m, '')) AS matches "
+            "FROM documents LEFT JOIN hits USING (doc_id)")
+
+
+def sanitize_large() -> str:
+    """Spelt words are terms; one that the row has as a whole word stays as it is spelt."""
+    return f"""{LARGE}, words AS (SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) AS pos FROM (SELECT doc_id,
+        regexp_extract_all(lower(text), '[a-z]+') AS a FROM documents)),
+      marked AS (SELECT *, length(w) = 8 AND (pos - 1) % 3 = 0 AS spelt FROM words),
+      whole AS (SELECT doc_id, pos, term FROM marked JOIN forms ON w = form WHERE NOT spelt),
+      first AS (SELECT doc_id, term, min(pos) AS seen FROM whole GROUP BY ALL),
+      apart AS (SELECT DISTINCT doc_id, w AS term FROM marked WHERE spelt AND (doc_id, w) NOT IN (SELECT doc_id, term FROM first)),
+      listed AS (SELECT doc_id, string_agg(term, ',' ORDER BY grp, seen, term) AS m FROM (SELECT doc_id, term, 0 AS grp, seen
+        FROM first UNION ALL SELECT doc_id, term, 1, 0 FROM apart) GROUP BY doc_id),
+      out AS (SELECT m.doc_id, m.pos, CASE WHEN h.term IS NOT NULL OR a.term IS NOT NULL THEN {q(lex.MASK_TOKEN)}
+          WHEN spelt THEN array_to_string(regexp_extract_all(w, '.'), '.') ELSE w END AS y
+        FROM marked m LEFT JOIN whole h ON h.doc_id = m.doc_id AND h.pos = m.pos
+        LEFT JOIN apart a ON a.doc_id = m.doc_id AND a.term = m.w AND m.spelt),
+      built AS (SELECT doc_id, string_agg(y, ' 0 ' ORDER BY pos) AS t FROM out GROUP BY doc_id)
+      SELECT doc_id, md5(coalesce(t, '')) AS clean_text, md5(coalesce(m, '')) AS replacements
+      FROM documents LEFT JOIN built USING (doc_id) LEFT JOIN listed USING (doc_id)"""
+
+
 def mask_once(expr: str, term_rx: str, new: str) -> str:
     """Replace boundary-to-boundary; twice, since a neighbour may share the separator."""
     rx = f"(?i)(^|{NW}){term_rx}({NW}|$)"
@@ -616,6 +653,8 @@ def oracle_sql() -> dict[str, str]:
             "documents", "doc_id", TERMS, squeeze(rr(rr(fences("text"), P), r"\p{Nd}+")), ", lang") + (
             "SELECT lang, count(n) AS flagged, count(*) AS total, round(count(n) / count(*) * 100, 6) AS percent "
             "FROM src LEFT JOIN hits USING (k) GROUP BY lang"),
+        "scan_large_lexicon": scan_large(),
+        "sanitize_large_lexicon": sanitize_large(),
         "mask_profanity": sanitize_sql({}),
         "replace_profanity": sanitize_sql(PHRASES),
         "changed_row_count": sanitize_sql({}).replace(DISGUISED.replace("'", "'"), "text").split(
