@@ -766,6 +766,13 @@ def run_record(spark, sf_dir):
     return history.dataset_run(facts, user_id=1, source_filename="documents").drop("summary")
 
 
+@query
+def dataset_report(spark, sf_dir):
+    """The report of a scoring job over all documents: facts, highest rows, first failed rows."""
+    report = scoring.full_report(documents(spark, sf_dir), "text", _scored(spark, sf_dir), source_name="documents")
+    return report.select("analyzed", "scores_line", "report")
+
+
 @query
 def history_totals(spark, sf_dir):
     return history.totals(runs(spark, sf_dir))

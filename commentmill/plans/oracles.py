@@ -581,6 +581,35 @@ SIX = ["toxicity", "severe_toxicity", "identity_attack", "insult", "profanity",
 LINE = "'Overall: ' || overall || '%' || " + " || ".join(
     f"' | {lex.SCORE_TITLES[c]}: ' || {c} || '%'" for c in SIX)
 
+
+def report_sql() -> str:
+    """Facts, the five highest rows, the first twenty failed rows and how many are left, one line each."""
+    means = ["overall", *SIX]
+    titles = ["overall score", *(c.replace("_", " ") for c in SIX)]
+    facts = [("source", "'documents'"), ("text in", "'text'"), ("state", "'Completed'"),
+             ("rows chosen", "n_all"), ("scored", "analyzed"), ("blank", "skipped"),
+             ("emptied by cleaning", "emptied"), ("failed", "errors"), ("toxic", "n_toxic"),
+             ("not toxic", "analyzed - n_toxic"),
+             *((f"mean of {t}", f"{c} || '%'") for t, c in zip(titles, means, strict=True))]
+    lines = ", ".join(f"'* {k} = ' || ({v})" for k, v in facts)
+    return RESULTS + (
+        ", facts AS (SELECT (SELECT count(*) FROM documents) AS n_all, count(*) AS analyzed, "
+        f"(SELECT count(*) FROM documents WHERE {strip('text')} = '') AS skipped, "
+        "(SELECT count(*) FROM items WHERE txt = '') AS emptied, (SELECT count(*) FROM scored WHERE failed) AS errors, "
+        "count(*) FILTER (overall >= 20) AS n_toxic, "
+        + ", ".join(f"round_even(avg({c}), 0)::INT AS avg_{c}" for c in means) + " FROM ok), "
+        "named AS (SELECT n_all, analyzed, skipped, emptied, errors, n_toxic, "
+        + ", ".join(f"avg_{c} AS {c}" for c in means) + " FROM facts), "
+        f"best AS (SELECT row_id, overall, '* row ' || row_id || ' at ' || overall || '%: ' || {PREVIEW} AS l FROM ok "
+        "WHERE overall > 0 ORDER BY overall DESC, row_id LIMIT 5), "
+        "lost AS (SELECT row_id, '* row ' || row_id || ': score ''overall_score'' is missing or not a whole number 0-100' AS l "
+        "FROM scored WHERE failed ORDER BY row_id LIMIT 20) "
+        f"SELECT analyzed, {LINE} AS scores_line, concat_ws(chr(10), {LINE}, 'Scores of the dataset', "
+        + lines + ", (SELECT 'Highest rows' || chr(10) || string_agg(l, chr(10) ORDER BY overall DESC, row_id) FROM best), "
+        "(SELECT 'Failed rows' || chr(10) || string_agg(l, chr(10) ORDER BY row_id) FROM lost), "
+        "CASE WHEN errors > 20 THEN '* and ' || (errors - 20) || ' more' END) AS report FROM named")
+
+
 _KIND = "doc_id % 6"
 _N = "length(text) % 101"
 PARSED = (
@@ -742,6 +771,7 @@ def oracle_sql() -> dict[str, str]:
         "run_record": RESULTS + (
             "SELECT 1::BIGINT AS user_id, 'dataset' AS run_type, 'documents' AS source_filename, count(*) AS row_count, "
             "count(*) FILTER (overall >= 20) AS toxic_count, count(*) FILTER (overall < 20) AS non_toxic_count FROM ok"),
+        "dataset_report": report_sql(),
         "score_top_examples": RESULTS + f"SELECT row_id AS row_number, overall, {PREVIEW} AS text_preview FROM ok "
                                         "WHERE overall > 0 ORDER BY overall DESC, row_id LIMIT 5",
         "score_lines_and_bands": RESULTS + (
