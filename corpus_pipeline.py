@@ -50,7 +50,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Each is written in the shared folder and read again, so a lost
-    executor never repeats an earlier stage; the folder goes with the other checkpoints."""
+    executor never repeats an earlier stage. The folder, a new one for each run, stays there: who
+    reads the result decides when it may go."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents")
