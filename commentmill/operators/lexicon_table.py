@@ -1,10 +1,11 @@
 """Scan and sanitise with a lexicon that is a table: 100,000 terms or more.
 
-The plan does not grow with the lexicon. A text is cut into runs of word characters, and runs are looked
-up by a join. A direct hit is a run equal to a term or to a term with a suffix, so the lexicon is spread
-to all its forms once. Letters with separators between them spell a term exactly where neighbouring runs,
-put together, equal it: from each run on, runs are joined up to the length of the longest term, and what
-comes out is looked up too. Only rows with such a hit are looked at any further.
+The plan does not grow with the lexicon. A text is cut into runs of word characters. A direct hit is a run
+equal to a term or to a term with a suffix, so every distinct run of the table is looked up once, as it is
+and without each suffix it ends in. Letters with separators between them spell a term exactly where
+neighbouring runs, put together, equal it: from each run on, runs are joined up to the length of the longest
+term, and the distinct strings that come out are looked up too. Neither the words of the rows nor the forms
+of the lexicon are written: rows meet what the table as a whole was found to hold, where they stand.
 
 Results are those of ``profanity.scan`` and ``profanity.sanitize``, for terms of letters and digits; any
 other term is an error here. Upper case is compared by ``lower``, also where a pattern that ignores case
@@ -17,20 +18,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commentmill.functions import lexicons as lex
 from commentmill.functions.cut import materialized
 from commentmill.functions.hot import join_keys
-from commentmill.functions.text import NOT_W, W, as_text, replacement_quote
+from commentmill.functions.text import NOT_W, W, as_text, bind, replacement_quote
 from commentmill.operators.profanity import undisguise
 
-#: A table to look up is broadcast up to this many bytes of keys and lines; beyond, both sides are joined by
-#: a shuffle, with hot words apart.
-BROADCAST_BYTES, BROADCAST_LINES = 64 << 20, 2_000_000
+#: What the texts hold of the lexicon is sent to every task up to this many bytes and lines; beyond, words
+#: and lines are joined by a shuffle, with hot words apart.
+BROADCAST_BYTES, BROADCAST_LINES = 64 << 20, 1_000_000
+
+#: Strings that a task holds before it passes them on.
+HELD_STRINGS = 200_000
 
 _GAP = r"[^\p{L}\p{N}]*"
+HITS = "array<struct<i:int,to:int,term:string,phrase:string>>"
+TODO = "array<struct<term:string,phrase:string>>"
+_LINE = [("term", pa.string()), ("phrase", pa.string())]
+HITS_ARROW, TODO_ARROW = (pa.list_(pa.struct(fields)) for fields in ([("i", pa.int32()), ("to", pa.int32()), *_LINE], _LINE))
 _SPELT = r"\A[\p{L}\p{N}]+\z"
 
 
@@ -47,24 +56,32 @@ def lexicon(terms: DataFrame) -> DataFrame:
     return known
 
 
-def _forms(known: DataFrame) -> DataFrame:
-    """(form, term, phrase): every term as it is and with each suffix; of several terms the shortest."""
-    suffixes = ["", *[s for s in lex.PROFANITY_SUFFIXES if s.isalpha()]]
-    spread = known.select(F.explode(F.array(*[F.concat("term", F.lit(s)) for s in suffixes])).alias("form"),
-                          "term", "phrase")
-    return materialized(spread.groupBy("form").agg(F.min(F.struct("term", "phrase")).alias("t"))
+def _known_of(tried: DataFrame, known: DataFrame) -> DataFrame:
+    """Inner join with the lexicon by ``term``. Few lines go to the lexicon, which then stays where it is."""
+    tried = materialized(tried)
+    return known.join(F.broadcast(tried) if tried.count() <= BROADCAST_LINES else tried, "term")
+
+
+def _forms(runs: DataFrame, known: DataFrame) -> DataFrame:
+    """(form, term, phrase): the distinct runs that are a term or a term with a suffix; of several terms
+    the shortest."""
+    form = F.col("form")
+    stems = [F.when(form.endswith(s) & (F.length(form) > len(s)), F.left(form, F.length(form) - len(s)))
+             for s in lex.PROFANITY_SUFFIXES if s.isalpha()]
+    tried = runs.distinct().select("form", F.explode(F.array_compact(F.array(form, *stems))).alias("term"))
+    return materialized(_known_of(tried, known).groupBy("form").agg(F.min(F.struct("term", "phrase")).alias("t"))
                         .select("form", "t.*"))
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Inner join with a written table of one line per key."""
+def _few(table: DataFrame, key: str) -> bool:
     lines, size = table.agg(F.count("*"), F.sum(F.octet_length(key) * 2 + F.coalesce(
         F.octet_length("phrase"), F.lit(0)))).first()
-    if not lines:
-        return rows.join(F.broadcast(table.limit(0)), key)
-    if lines <= BROADCAST_LINES and size <= BROADCAST_BYTES:
-        return rows.join(F.broadcast(table), key)
-    return join_keys(materialized(rows), table, key)
+    return lines <= BROADCAST_LINES and (size or 0) <= BROADCAST_BYTES
+
+
+def _sent(table: DataFrame) -> Broadcast:
+    """A table of few lines, for every task."""
+    return table.sparkSession.sparkContext.broadcast(table.toArrow())
 
 
 def _pieces(text: Column) -> Column:
@@ -72,6 +89,37 @@ def _pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"{W}+|{NOT_W}+"), F.lit(0))
 
 
+def _is_run(piece: Column) -> Column:
+    return piece.rlike(rf"\A{W}")
+
+
+def _runs(pieces: Column) -> Column:
+    """The distinct runs of a row, in lower case."""
+    return F.explode(F.array_distinct(F.transform(F.filter(pieces, _is_run), F.lower))).alias("form")
+
+
+def _places(forms: Broadcast):
+    """The direct hits among the lower-cased pieces of a row, as (i, to, term, phrase)."""
+    @F.arrow_udf(HITS)
+    def place(rows: pa.Array) -> pa.Array:
+        table = forms.value
+        lines = dict(zip(table["form"].to_pylist(), zip(table["term"].to_pylist(), table["phrase"].to_pylist())))
+        out = []
+        for part in rows:
+            pieces = part.as_py() or []
+            kept, past = [], -1
+            for i, piece in enumerate(pieces):
+                hit = lines.get(piece) if i > past else None
+                if hit is not None:
+                    past = i + 2 if piece == hit[0] and "".join(pieces[i + 1:i + 3]) == "'s" else i
+                    kept.append({"i": i, "to": past, "term": hit[0], "phrase": hit[1]})
+            out.append(kept)
+        return pa.array(out, HITS_ARROW)
+
+    # see augment._token_udf: the input is a column of its own, and named twice
+    return lambda c: F.when(F.size(c) == 0, F.array().cast(HITS)).otherwise(place.asNondeterministic()(c))
+
+
 def _direct(pieces: DataFrame, forms: DataFrame) -> DataFrame:
     """(_row, _hits): of each row with ``_pieces`` the direct hits in order, as (i, to, term, phrase),
     from piece i to piece ``to``. A term itself takes a following 's with it."""
@@ -81,10 +129,10 @@ def _direct(pieces: DataFrame, forms: DataFrame) -> DataFrame:
     # only what a run needs to know goes on with it, not the row's other pieces
     placed = F.filter(F.transform("_pieces", lambda p, i: F.struct(
         i.alias("i"), F.lower(p).alias("form"), (F.lower(F.concat(near(i + 1), near(i + 2))) == "'s").alias("possessive"))),
-        lambda x: x["form"].rlike(rf"\A{W}"))
+        lambda x: _is_run(x["form"]))
     words = pieces.select("_row", F.inline(placed))
     to = F.when(F.col("possessive") & (F.col("form") == F.col("term")), F.col("i") + 2).otherwise(F.col("i"))
-    found = _looked_up(words, forms, "form").groupBy("_row").agg(
+    found = join_keys(words, forms, "form").groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("i", to.alias("to"), "term", "phrase"))).alias("all"))
 
     def next_hit(kept: Column, hit: Column) -> Column:
@@ -96,9 +144,22 @@ def _direct(pieces: DataFrame, forms: DataFrame) -> DataFrame:
         F.size(kept) == 0, F.array(hit)).otherwise(next_hit(kept, hit))).alias("_hits"))
 
 
+def _with_hits(rows: DataFrame, forms: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """The rows, which are written and have a ``_row``, with a column of direct hits per text."""
+    if _few(forms, "form"):
+        place = _places(_sent(forms))
+        out = rows.withColumns({f"_l{name}": F.transform(_pieces(t), F.lower) for name, t in texts.items()})
+        return out.withColumns({name: place(F.col(f"_l{name}")) for name in texts}).drop(*[f"_l{name}" for name in texts])
+    out = rows
+    for name, text in texts.items():
+        hits = _direct(rows.select("_row", _pieces(text).alias("_pieces")), forms)
+        out = out.join(hits.withColumnRenamed("_hits", name), "_row", "left")
+    return out
+
+
 def _numbered(df: DataFrame, text_col: str) -> DataFrame:
-    """The rows with a number each, and their pieces; written, which fixes the numbers."""
-    return materialized(df.withColumn("_pieces", _pieces(as_text(F.col(text_col))))
+    """The rows with a number each, and their text; written, which fixes the numbers."""
+    return materialized(df.withColumn("_text", as_text(F.col(text_col)))
                         .withColumn("_row", F.monotonically_increasing_id()))
 
 
@@ -109,17 +170,15 @@ def _no_terms() -> Column:
 def scan_table(df: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
     """``profanity.scan`` with a table of terms: adds ``profanity_matches`` (distinct terms in order of
     the first hit, raw text before undisguised text), ``has_profanity`` and ``profanity_count``."""
-    forms = _forms(lexicon(terms))
+    known = lexicon(terms)
     numbered = _numbered(df, text_col)
-    raw = _direct(numbered.select("_row", "_pieces"), forms).select("_row", F.lit(0).alias("part"), "_hits")
-    plain = numbered.select("_row", _pieces(undisguise(F.array_join("_pieces", ""))).alias("_pieces"))
-    bare = _direct(plain, forms).select("_row", F.lit(1).alias("part"), "_hits")
-    found = (raw.unionByName(bare).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("part", "_hits"))).alias("p"))
-             .select("_row", F.array_distinct(F.flatten(F.transform("p", lambda x: x["_hits"]["term"]))).alias("_terms")))
-    matches = F.coalesce("_terms", _no_terms())
-    return (numbered.join(found, "_row", "left")
-            .withColumns({"profanity_matches": matches, "has_profanity": F.size(matches) > 0,
-                          "profanity_count": F.size(matches)}).drop("_row", "_pieces", "_terms"))
+    texts = {"_raw": F.col("_text"), "_bare": undisguise(F.col("_text"))}
+    raw, bare = (numbered.select(_runs(_pieces(t))) for t in texts.values())
+    found = _with_hits(numbered, _forms(raw.unionByName(bare), known), texts)
+    matches = F.array_distinct(F.concat(*[F.coalesce(F.col(c)["term"], _no_terms()) for c in texts]))
+    return (found.withColumn("profanity_matches", matches).withColumns({
+        "has_profanity": F.size("profanity_matches") > 0, "profanity_count": F.size("profanity_matches")})
+        .drop("_row", "_text", *texts))
 
 
 def _spelt_by(runs: list[str], longest: int) -> set[str]:
@@ -140,11 +199,15 @@ def _spelt_by(runs: list[str], longest: int) -> set[str]:
     return found
 
 
+def _spelt_runs() -> Column:
+    runs = F.regexp_extract_all(F.lower("_clean"), F.lit(f"{W}+"), F.lit(0))
+    return F.filter(runs, lambda r: ~r.rlike(r"\A_+\z"))
+
+
 def _spelt(rows: DataFrame, longest: int) -> DataFrame:
     """(_row, term): what each row's present text spells. Growing strings step by step in Python took half
     the time that nested lambdas of array functions took (10.9 and 20.6 s in one task over 2.4 MB)."""
-    runs = F.regexp_extract_all(F.lower("_clean"), F.lit(f"{W}+"), F.lit(0))
-    cut = rows.select("_row", F.filter(runs, lambda r: ~r.rlike(r"\A_+\z")).alias("runs"))
+    cut = rows.select("_row", _spelt_runs().alias("runs"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,15 +219,54 @@ def _spelt(rows: DataFrame, longest: int) -> DataFrame:
     return cut.mapInArrow(spell, "_row bigint, term string")
 
 
+def _spelt_terms(rows: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """(term): the distinct strings that the rows spell, of lengths that terms have. Most repetitions stay
+    in the task."""
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for batch in batches:
+            for own in batch.column("runs"):
+                found.update(w for w in _spelt_by(own.as_py(), longest) if len(w) >= shortest)
+                if len(found) > HELD_STRINGS:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["term"])
+                    found.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["term"])
+
+    return rows.select(_spelt_runs().alias("runs")).mapInArrow(spell, "term string").distinct()
+
+
+def _spelt_hits(rows: DataFrame, found: Broadcast, longest: int) -> DataFrame:
+    """The rows that spell a term of ``found`` whose turn is still to come, with these as ``_todo``."""
+    cut = rows.select("_row", "_clean", "_replaced", "_last", _spelt_runs().alias("runs"))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = dict(zip(found.value["term"].to_pylist(), found.value["phrase"].to_pylist()))
+        for batch in batches:
+            todo = []
+            for own, done, last in zip(*(batch.column(c) for c in ("runs", "_replaced", "_last")), strict=True):
+                gone, past = set(done.as_py()), last.as_py()
+                terms = sorted(t for t in _spelt_by(own.as_py(), longest) if t in phrases and t > past and t not in gone)
+                todo.append([{"term": t, "phrase": phrases[t]} for t in terms])
+            some = pa.array([bool(t) for t in todo], pa.bool_())
+            cols = ["_row", "_clean", "_replaced", "_last"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(todo, TODO_ARROW)],
+                                             [*cols, "_todo"]).filter(some)
+
+    return cut.mapInArrow(spell, f"_row bigint, _clean string, _replaced array<string>, _last string, _todo {TODO}")
+
+
 def _pattern(term: Column) -> Column:
     """The letters of a term with anything but letters and digits between them."""
     return F.concat(F.lit(f"(?iu)(?<!{W})"), F.array_join(F.split(term, ""), _GAP), F.lit(f"(?!{W})"))
 
 
-def _candidates(rows: DataFrame, known: DataFrame, longest: int) -> DataFrame:
+def _candidates(rows: DataFrame, known: DataFrame, shortest: int, longest: int) -> DataFrame:
     """The rows whose present text spells terms with separators, and these in order (``_todo``), but for
     terms already replaced and those whose turn is over."""
-    found = _looked_up(_spelt(rows, longest), known, "term").groupBy("_row").agg(
+    met = materialized(_known_of(_spelt_terms(rows, shortest, longest), known))
+    if _few(met, "term"):
+        return _spelt_hits(rows, _sent(met), longest)
+    found = join_keys(_spelt(rows, longest), met, "term").groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("term", "phrase"))).alias("_todo"))
     return (rows.join(found, "_row").withColumn("_todo", F.filter("_todo", lambda t: (
         t["term"] > F.col("_last")) & ~F.array_contains("_replaced", t["term"]))).filter(F.size("_todo") > 0))
@@ -194,9 +296,9 @@ def sanitize_table(df: DataFrame, text_col: str, terms: DataFrame, *, mask_token
     pass; else each pass takes the first term of every row that still has one, and looks again.
     """
     known = lexicon(terms)
-    forms = _forms(known)
-    facts = known.agg(F.max(F.length("term")).alias("longest"), F.count("phrase").alias("phrases")).first()
-    longest = facts["longest"] or 1
+    facts = known.agg(F.min(F.length("term")).alias("shortest"), F.max(F.length("term")).alias("longest"),
+                       F.count("phrase").alias("phrases")).first()
+    shortest, longest = facts["shortest"] or 1, facts["longest"] or 1
     core = "".join(c for c in mask_token if c.isalnum()).lower()
     settled = bool(core) and not facts["phrases"] and known.filter(F.contains("term", F.lit(core))).isEmpty()
 
@@ -207,25 +309,27 @@ def sanitize_table(df: DataFrame, text_col: str, terms: DataFrame, *, mask_token
         return F.coalesce(F.regexp_replace(hit["phrase"], r"([\\$])", r"\\$1"), F.lit(replacement_quote(mask_token)))
 
     numbered = _numbered(df, text_col)
-    pieces = numbered.select("_row", "_pieces")
-
-    def stretch(hit: Column, j: Column) -> Column:
-        """What stands before a hit, from the hit before it, and what is put in."""
-        start = F.coalesce(F.get("_hits", j - 1)["to"] + 1, F.lit(0))
-        return F.concat(F.array_join(F.slice("_pieces", start + 1, hit["i"] - start), ""), put(hit))
-
-    past = F.coalesce(F.get("_hits", F.size("_hits") - 1)["to"] + 1, F.lit(0))
-    rest = F.array_join(F.slice("_pieces", past + 1, F.size("_pieces")), "")
-    cut = F.concat(F.array_join(F.transform("_hits", stretch), ""), rest)
-    direct = numbered.join(_direct(pieces, forms), "_row", "left").withColumns({
-        "_clean": F.coalesce(cut, F.array_join("_pieces", "")),
-        "_replaced": F.coalesce(F.array_distinct(F.col("_hits")["term"]), _no_terms())}).drop("_pieces", "_hits")
+    forms = _forms(numbered.select(_runs(_pieces(F.col("_text")))), known)
+
+    def cut(pieces: Column) -> Column:
+        def stretch(hit: Column, j: Column) -> Column:
+            """What stands before a hit, from the hit before it, and what is put in."""
+            start = F.coalesce(F.get("_hits", j - 1)["to"] + 1, F.lit(0))
+            return F.concat(F.array_join(F.slice(pieces, start + 1, hit["i"] - start), ""), put(hit))
+
+        past = F.coalesce(F.get("_hits", F.size("_hits") - 1)["to"] + 1, F.lit(0))
+        rest = F.array_join(F.slice(pieces, past + 1, F.size(pieces)), "")
+        return F.concat(F.array_join(F.transform("_hits", stretch), ""), rest)
+
+    direct = _with_hits(numbered, forms, {"_hits": F.col("_text")}).withColumns({
+        "_clean": F.when(F.size("_hits") > 0, bind(_pieces(F.col("_text")), cut)).otherwise(F.col("_text")),
+        "_replaced": F.coalesce(F.array_distinct(F.col("_hits")["term"]), _no_terms())}).drop("_text", "_hits")
     direct = materialized(direct)
 
     now = direct.select("_row", "_clean", "_replaced", F.lit("").alias("_last"))
     done = []
     while True:
-        todo = materialized(_candidates(now, known, longest))
+        todo = materialized(_candidates(now, known, shortest, longest))
         if todo.isEmpty():
             break
         if not settled:

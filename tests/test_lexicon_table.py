@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from commentmill.functions.cut import materialized
 from commentmill.operators import lexicon_table, profanity
 from test_profanity import FOUND, MASKED, TERMS
 
@@ -80,3 +81,20 @@ def test_plan_does_not_grow_with_the_lexicon(spark):
         sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
     assert out.first()["clean_text"] == "[censored] [censored] 8 x"  # w7 comes before w78
     assert max(sizes) < 2 * min(sizes)
+
+
+def test_neither_words_nor_forms_are_written(spark, monkeypatch):
+    written = []
+
+    def counted(df):
+        out = materialized(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(lexicon_table, "materialized", counted)
+    df = spark.createDataFrame([(i, "w7s and a w 8, " * 500) for i in range(4)], "i int, t string")
+    table = spark.range(1_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("term"))
+    assert by_id(lexicon_table.scan_table(df, "t", table), "profanity_matches") == {i: (["w7"],) for i in range(4)}
+    out = by_id(lexicon_table.sanitize_table(df, "t", table, mask_token="#"), "clean_text", "clean_replacements")
+    assert out == {i: ("# and a #, " * 500, ["w7", "w8"]) for i in range(4)}
+    assert max(written) == 1_000  # the lexicon itself, once per call
