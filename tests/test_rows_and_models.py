@@ -224,3 +224,17 @@ def test_missing_labels_are_a_class(spark):
     named = df.withColumn("y", F.when(F.col("y") == "y0", "").otherwise(F.col("y"))).filter("y IS NOT NULL")
     parts = model.split_exact(named, key="id", label_col="y").filter("is_test").groupBy("y").count().collect()
     assert {r["y"]: r["count"] for r in parts} == {"": 5, "y1": 10}
+
+
+def test_vocabulary_moves_no_line_per_document_and_term(spark):
+    from commentmill.operators import features
+
+    own = spark.createDataFrame([(1, "aa bb aa"), (2, "bb aa"), (3, None), (None, "cc")], "k int, t string")
+    shared = spark.createDataFrame([(2, "aa cc"), (None, "cc dd")], "k int, t string")
+    alone, both = features.vocabulary(own, "t", "k"), features.vocabulary(own.unionByName(shared), "t", "k")
+    assert "hashpartitioning(k" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert {r["term"]: (r["total"], r["df"]) for r in alone.collect()} == {
+        "aa": (3, 2), "bb": (2, 2), "cc": (1, 1), "aa bb": (1, 1), "bb aa": (2, 2)}
+    assert {r["term"]: (r["total"], r["df"]) for r in both.collect()} == {
+        "aa": (4, 2), "bb": (2, 2), "cc": (3, 2), "dd": (1, 1), "aa bb": (1, 1), "bb aa": (2, 2),
+        "aa cc": (1, 1), "cc dd": (1, 1)}
