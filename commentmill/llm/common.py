@@ -16,13 +16,13 @@ from commentmill.functions.cut import materialized
 #: A group with at least this share of all rows counts as hot, so there are at most as many hot
 #: groups as its inverse. That bounds what ``attach`` broadcasts, whatever the input's size.
 HOT_SHARE = 1 / 1000
-#: Edges of a graph per task.
-EDGES_PER_TASK = 100_000
+#: Edges of a graph per task, and rows of a written table that ``gathered`` reads in one task.
+EDGES_PER_TASK, ROWS_PER_TASK = 100_000, 20_000
 
 #: Most bytes of text that a Python function takes at once (or one text).
 BATCH_BYTES = 1 << 22
 
-__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "empty_if_null", "map_texts", "materialized",
+__all__ = ["HOT_SHARE", "ascii_lower", "attach", "components", "empty_if_null", "gathered", "map_texts", "materialized",
            "text_slices"]
 
 
@@ -51,22 +51,55 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int, h
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """The rows, written once (see ``materialized``) and read by no more tasks than they need: what is
+    shuffled next then leaves no file per task of an almost empty table."""
+    kept = materialized(df)
+    return kept.coalesce(max(1, -(-kept.count() // ROWS_PER_TASK)))
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of a task as stars: every node but the smallest of its component, and that one."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            up[max(a, b)] = min(a, b)
+    stars = [(x, r) for x in up if (r := root(x)) != x]
+    for at in range(0, len(stars), EDGES_PER_TASK):
+        us, vs = zip(*stars[at:at + EDGES_PER_TASK], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the links (a, b): one line (node, root) per linked node, root
-    being the smallest node reachable. Alternates connecting every node's larger neighbours to
-    its smallest one with connecting the smaller ones; minima are combined before the shuffle."""
+    being the smallest node reachable. Every task first connects its own edges, a bounded number; where
+    there are several tasks, rounds connect every node's larger neighbours to its smallest one and then
+    the smaller ones; minima are combined before the shuffle."""
     spark = links.sparkSession
     edges = materialized(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                          .filter("u != v").distinct())
     parts = -(-edges.count() // EDGES_PER_TASK)
     if not parts:
         return spark.createDataFrame([], "node bigint, root bigint")
-    edges = edges.coalesce(parts)  # edges never become more: few files where there are few
+    # edges never become more: few files where there are few
+    edges = edges.coalesce(parts).mapInArrow(_forest, "u bigint, v bigint")
+    edges = materialized(edges)
+    if parts == 1:  # nothing is left to connect
+        roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+        return materialized(edges.toDF("node", "root").unionByName(roots).coalesce(parts))
 
     def star(both: DataFrame, keep: Column) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         least = least.withColumn("m", F.least("u", "m"))
-        out = both.join(least, "u").filter(keep)
+        out = both.join(least, "u").filter(keep).coalesce(parts)
         pairs = out.select(F.col("v").alias("x"), "m")
         return pairs.filter("x != m").select(F.greatest("x", "m").alias("u"),
                                              F.least("x", "m").alias("v")).distinct()

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commentmill.llm.bloom_dedup import drop_listed, filter_words, keep_listed
-from commentmill.llm.common import attach, components, map_texts, materialized
+from commentmill.llm.common import attach, components, gathered, map_texts, materialized
 
 BUNDLES, BUNDLE = 10, 2
 #: Buckets up to this many sets give all their pairs: at most 15 per member.
@@ -148,7 +148,8 @@ def _key_mask(key: Column) -> Column:
 
 
 def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a, b) that meet in a bucket, and the rows (key, rep, leads) of crowded ones."""
+    """Distinct pairs (a, b) that meet in a bucket, and (rep, at): the crowded ones of each set, at most
+    one per table, with their leaders."""
     keys = _keys(reps)
     buckets = materialized(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
     # most keys stand alone: a Bloom filter of the others, bounded in size, keeps them from moving
@@ -166,25 +167,31 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = met.filter(F.col("c") > SMALL_BUCKET)
     leaders = (full.groupBy("key", "flip").agg(F.min(flipped).alias("lo"), F.max(flipped).alias("hi"))
                .select("key", F.array(back("lo"), back("hi")).alias("leads")))
-    crowd = materialized(full.select("key", "rep").join(leaders, "key"))
+    crowd = gathered(full.select("key", "rep").join(leaders, "key").groupBy("rep").agg(
+        F.collect_list(F.struct("key", "leads")).alias("at")))
     # of all its buckets' leaders a set meets four at first
-    led = crowd.select("rep", F.explode("leads").alias("lead")).filter("rep != lead")
-    drawn = F.xxhash64("rep", "lead")
-    few = led.groupBy("rep").agg(F.array(F.min("lead"), F.max("lead"), F.min_by("lead", drawn),
-                                         F.max_by("lead", drawn)).alias("leads"))
-    stars = (few.select("rep", F.explode(F.array_distinct("leads")).alias("lead"))
+    led = F.filter(F.array_distinct(F.flatten("at.leads")), lambda x: x != F.col("rep"))
+    few = crowd.select("rep", F.transform(led, lambda x: F.struct(
+        F.xxhash64("rep", x).alias("drawn"), x.alias("lead"))).alias("led"))
+    some = F.array(F.array_min("led.lead"), F.array_max("led.lead"), F.array_min("led")["lead"], F.array_max("led")["lead"])
+    stars = (few.filter(F.size("led") > 0).select("rep", F.explode(F.array_distinct(some)).alias("lead"))
              .select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")))
     return near.unionByName(stars).distinct(), crowd
 
 
+def _tagged(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, rep, root, leads): the crowded buckets' members with their components. A set is given its
+    root once, not in each of its buckets."""
+    return (crowd.join(roots, crowd["rep"] == roots["node"], "left")
+            .select("rep", F.coalesce("root", "rep").alias("root"), F.inline("at")))
+
+
 def _other_leaders(crowd: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of a member of a crowded bucket with a leader of it in another component."""
-    tagged = crowd.join(roots, crowd["rep"] == roots["node"], "left").select(
-        "key", "rep", F.coalesce("root", "rep").alias("root"))
-    leads = crowd.select("key", F.explode("leads").alias("lead")).distinct()
-    leads = leads.join(roots, leads["lead"] == roots["node"], "left").select(
-        "key", "lead", F.coalesce("root", "lead").alias("lead_root"))
-    apart = tagged.join(leads, "key").filter("root != lead_root")
+    tagged = _tagged(crowd, roots)
+    leads = tagged.filter(F.array_contains("leads", F.col("rep"))).select(
+        "key", F.col("rep").alias("lead"), F.col("root").alias("lead_root"))  # leaders are members too
+    apart = tagged.select("key", "rep", "root").join(leads, "key").filter("root != lead_root")
     some = apart.groupBy("rep").agg(*[F.min_by("lead", F.xxhash64("lead", "rep", F.lit(i))).alias(f"m{i}")
                                       for i in range(OTHER_LEADERS)])
     met = some.select("rep", F.explode(F.array_distinct(F.array(*[f"m{i}" for i in range(OTHER_LEADERS)]))).alias("lead"))
@@ -282,34 +289,33 @@ def _hidden_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     sets can share at most. A set asks each large component with which it shares a rare shingle, once.
     Sets of small components meet at the shingle: as pairs where few hold it. All others are dealt
     into blocks, and only links leave the task."""
-    root = F.coalesce("root", "rep")
-    tagged = crowd.join(roots, crowd["rep"] == roots["node"], "left").select("key", "rep", root.alias("root"))
+    tagged = _tagged(crowd, roots).select("key", "rep", "root")
     mixed = tagged.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     members = tagged.join(mixed, "key", "left_semi").select("rep", "root").distinct()
-    held = materialized(members.join(sets, "rep").select("rep", "root", F.size("shingles").alias("n"), "shingles"))
+    held = gathered(members.join(sets, "rep").select("rep", "root", F.size("shingles").alias("n"), "shingles"))
     total = held.agg(F.sum("n")).first()[0]
     if not total:  # no crowded bucket spans several components
         return held.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     posted = held.select("rep", "root", "n", F.explode("shingles").alias("s"))
-    seen = materialized(posted.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"))
+    seen = gathered(posted.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"))
     counted = attach(posted, seen, "s", "c", total)  # shingles that several have, with their number
     ranked = counted.groupBy("rep", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all"))
     # of the rarest, those that one set only has come first
     most = F.size("all")
     kept = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - most)
-    rare = materialized(ranked.filter(100 * most >= percent * F.col("n"))
-                        .select("rep", "root", "n", most.alias("most"),
-                                F.explode(F.slice("all", F.lit(1), F.greatest(kept, F.lit(0)))).alias("e"))
-                        .select("rep", "root", "n", "most", "e.s"))
-    sizes = materialized(held.groupBy("root").agg(F.count("*").alias("members")))
-    rare = materialized(rare.join(sizes, "root").withColumn("large", F.col("members") > SMALL_BUCKET).drop("members"))
-    to_large = materialized(_asks_of_large(rare, percent).distinct())
+    rare = gathered(ranked.filter(100 * most >= percent * F.col("n"))
+                    .select("rep", "root", "n", most.alias("most"),
+                            F.explode(F.slice("all", F.lit(1), F.greatest(kept, F.lit(0)))).alias("e"))
+                    .select("rep", "root", "n", "most", "e.s"))
+    sizes = gathered(held.groupBy("root").agg(F.count("*").alias("members")))
+    rare = gathered(rare.join(sizes, "root").withColumn("large", F.col("members") > SMALL_BUCKET).drop("members"))
+    to_large = gathered(_asks_of_large(rare, percent).distinct())
     small = rare.filter("NOT large").drop("large")
     who = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"who{i}") for i in range(2)]
     shared = small.groupBy("s").agg(F.count("*").alias("held"), F.min("root").alias("lo"), F.max("root").alias("hi"), *who)
     # shingles that the same sets hold ask the same: one of them is enough
-    of_small = materialized(shared.filter("lo < hi").groupBy("held", "who0", "who1").agg(F.min("s").alias("s")).select("s", "held"))
-    near = materialized(small.join(of_small, "s"))
+    of_small = gathered(shared.filter("lo < hi").groupBy("held", "who0", "who1").agg(F.min("s").alias("s")).select("s", "held"))
+    near = gathered(small.join(of_small, "s"))
     few = F.col("held") <= SMALL_BUCKET
     asking = near.filter(few).select("s", F.col("rep").alias("x"), F.col("root").alias("x_root"),
                                      F.col("n").alias("x_n"), F.col("most").alias("x_most"))
@@ -319,30 +325,30 @@ def _hidden_links(crowd: DataFrame, roots: DataFrame, sets: DataFrame, percent:
                      & ((100 + percent) * F.least("most", "x_most") >= percent * (F.col("n") + F.col("x_n"))))
              .select(F.col("x").alias("a"), F.col("rep").alias("b")).distinct())
     # (group, x) asks all of (group, rep): a large root by its askers, a block of sets by another block
-    near_asks, near_holds = _block_pairs(materialized(near.filter(~few).select("s", "rep", "root")))
-    asks = materialized(to_large.select(F.concat(F.lit("r"), "to").alias("group"), F.col("rep").alias("x"), F.col("root").alias("x_root"))
-                        .unionByName(near_asks))
+    near_asks, near_holds = _block_pairs(gathered(near.filter(~few).select("s", "rep", "root")))
+    asks = gathered(to_large.select(F.concat(F.lit("r"), "to").alias("group"), F.col("rep").alias("x"), F.col("root").alias("x_root"))
+                    .unionByName(near_asks))
     mine = held.select(F.concat(F.lit("r"), "root").alias("group"), "rep", "root")
     holds = mine.join(asks.select("group").distinct(), "group", "left_semi").unionByName(near_holds)
-    linked = materialized(_between_blocks(asks, holds, held, percent))
-    return _confirmed(materialized(pairs), sets, percent).unionByName(linked).distinct()
+    linked = gathered(_between_blocks(asks, holds, held, percent))
+    return _confirmed(gathered(pairs), sets, percent).unionByName(linked).distinct()
 
 
 def _block_pairs(many: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(group, x, x_root) and (group, rep, root): blocks of sets that have a shingle in common. Sets
     share most shingles with the same others, so blocks are cut from what a few rounds of passing the
     smallest number on have brought together; a set then goes to few blocks, not to one per shingle."""
-    sets = materialized(many.select("rep", "root").distinct())
+    sets = gathered(many.select("rep", "root").distinct())
     labels = sets.select("rep", F.col("rep").alias("label"))
     for _ in range(LABEL_ROUNDS):
         least = many.join(labels, "rep").groupBy("s").agg(F.min("label").alias("label"))
-        labels = materialized(many.select("s", "rep").join(least, "s").groupBy("rep").agg(F.min("label").alias("label")))
+        labels = gathered(many.select("s", "rep").join(least, "s").groupBy("rep").agg(F.min("label").alias("label")))
     sizes = labels.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_SETS).alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    blocks = materialized(labels.join(sizes, "label").select("rep", F.xxhash64("label", part).alias("b")).join(sets, "rep"))
-    at = materialized(many.select("s", "rep").join(blocks.select("rep", "b"), "rep").select("s", "b").distinct())
-    pairs = materialized(at.join(at.select(F.col("s").alias("s"), F.col("b").alias("c")), "s").filter("b <= c")
-                         .select("b", "c", F.concat_ws(":", "b", "c").alias("group")).distinct())
+    blocks = gathered(labels.join(sizes, "label").select("rep", F.xxhash64("label", part).alias("b")).join(sets, "rep"))
+    at = gathered(many.select("s", "rep").join(blocks.select("rep", "b"), "rep").select("s", "b").distinct())
+    pairs = gathered(at.join(at.select(F.col("s").alias("s"), F.col("b").alias("c")), "s").filter("b <= c")
+                     .select("b", "c", F.concat_ws(":", "b", "c").alias("group")).distinct())
     asks = pairs.select("group", "b").join(blocks, "b").select("group", F.col("rep").alias("x"), F.col("root").alias("x_root"))
     holds = pairs.select("group", F.col("c").alias("b")).join(blocks, "b").select("group", "rep", "root")
     return asks, holds
@@ -374,8 +380,8 @@ def _between_blocks(asks: DataFrame, holds: DataFrame, held: DataFrame, percent:
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), blocks(n) - 1))
 
-    counts = materialized(asks.groupBy("group").agg(F.count("*").alias("ask"))
-                          .join(holds.groupBy("group").agg(F.count("*").alias("held")), "group"))
+    counts = gathered(asks.groupBy("group").agg(F.count("*").alias("ask"))
+                      .join(holds.groupBy("group").agg(F.count("*").alias("held")), "group"))
     own = held.select("rep", "shingles")
     left = (asks.join(counts, "group").select("group", "x", "x_root", block("x", "ask").alias("u"), every("held").alias("v"))
             .join(own.toDF("x", "own"), "x"))
@@ -399,28 +405,28 @@ def _found(df: DataFrame, id_col: str, text_col: str, width: int, percent: int)
         F.first("sig").alias("sig")).withColumn("rep", F.monotonically_increasing_id()))
     reps = groups.select("rep", "n", "sig")
     found, crowd = _candidates(reps)
-    pairs = materialized(_agreeing(found, reps, percent))
+    pairs = gathered(_agreeing(found, reps, percent))
     wanted = (pairs.select(F.explode(F.array("a", "b")).alias("rep"))
               .unionByName(crowd.select("rep")).distinct())
     named = groups.join(wanted, "rep", "left_semi").select("least.id")
     chosen = keep_listed(texts.select("id.id", "text"), named, "id")
     sets = map_texts(chosen, "id", "text", _set_arrays(width), "s", "struct<set_key:binary,shingles:array<bigint>>")
-    sets = materialized(sets.select("s.*").dropDuplicates(["set_key"]).join(groups.select("set_key", "rep"), "set_key")
-                        .select("rep", "shingles"))
+    sets = gathered(sets.select("s.*").dropDuplicates(["set_key"]).join(groups.select("set_key", "rep"), "set_key")
+                    .select("rep", "shingles"))
     # one partner each first: most of a group is connected by these few confirmations
     ends = pairs.select(F.col("b").alias("x"), "a", "b", "same").unionByName(
         pairs.select(F.col("a").alias("x"), "a", "b", "same"))
     best = ends.groupBy("x").agg(F.max(F.struct("same", -F.col("a"), "b")).alias("m"))
     first = best.select((-F.col("m.col2")).alias("a"), F.col("m.b").alias("b")).distinct()
-    links = materialized(_confirmed(first, sets, percent))
+    links = gathered(_confirmed(first, sets, percent))
     roots = components(links)
     rest = _apart(pairs.select("a", "b"), roots).join(first, ["a", "b"], "left_anti")
-    links = materialized(links.unionByName(_confirmed(rest, sets, percent)))
+    links = gathered(links.unionByName(_confirmed(rest, sets, percent)))
     roots = components(links)
     more = _agreeing(_other_leaders(crowd, roots), reps, percent).select("a", "b")
-    links = materialized(links.unionByName(_confirmed(more, sets, percent)))
+    links = gathered(links.unionByName(_confirmed(more, sets, percent)))
     roots = components(links)
-    hidden = materialized(_hidden_links(crowd, roots, sets, percent))
+    hidden = gathered(_hidden_links(crowd, roots, sets, percent))
     roots = components(links.unionByName(hidden))
     linked = materialized(groups.select("rep", "least").join(roots, F.col("rep") == F.col("node")))
     least = linked.groupBy("root").agg(F.min("least").alias("component"))

@@ -243,3 +243,20 @@ def test_pipeline_stages_against_plain_versions(spark):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in near.collect()}
     coded = rows["encode"](spark, mixed, SF)
     assert coded.count() == mixed.count() and coded.filter("n_tokens = 0").count() == mixed.filter("text = ''").count()
+
+
+def test_a_crowded_set_is_one_row_and_a_task_connects_its_own_edges(spark, monkeypatch):
+    """A set is given its component once, however many crowded buckets it is in; edges that fit in one
+    task need no rounds, and several tasks give the same."""
+    sig = [[7] * 20] * 40
+    reps = spark.createDataFrame([(i, 30, s) for i, s in enumerate(sig)], "rep bigint, n bigint, sig array<int>")
+    pairs, crowd = tensor_minhash._candidates(reps)
+    assert crowd.count() == 40 and {len(r.at) for r in crowd.collect()} == {100}
+    assert {x for r in pairs.collect() for x in (r.a, r.b)} == set(range(40))
+    roots = spark.createDataFrame([(i, 0) for i in range(39)], "node bigint, root bigint")
+    assert tensor_minhash._tagged(crowd, roots).select("rep", "root").distinct().count() == 40
+    chain = spark.range(200).filter("id % 50 != 49").selectExpr("id AS a", "id + 1 AS b")
+    one = {r.node: r.root for r in common.components(chain, rounds=0).collect()}
+    monkeypatch.setattr(common, "EDGES_PER_TASK", 40)
+    several = {r.node: r.root for r in common.components(chain).collect()}
+    assert one == several == {i: i // 50 * 50 for i in range(200)}
