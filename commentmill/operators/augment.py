@@ -11,7 +11,7 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,6 +210,17 @@ def insert_tokens(toks: list[str], key: str, seed: int, share: float,
     return toks
 
 
+#: Rows whose texts are Python objects at once.
+SLICE_ROWS = 256
+
+
+def _in_slices(one, *columns: pa.Array) -> pa.Array:
+    """``one`` of the values of each row; only a slice of a batch is held as Python objects."""
+    parts = [pa.array(map(one, *[c.slice(at, SLICE_ROWS).to_pylist() for c in columns]), pa.string())
+             for at in range(0, len(columns[0]), SLICE_ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -224,9 +235,9 @@ def _token_udf(edit, least: int):
         toks = text.split()
         return " ".join(edit(toks, key)) if len(toks) >= least else text
 
-    @F.pandas_udf(T.StringType())
-    def run(text: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([one(t, k) for t, k in zip(text, key)], dtype=object)
+    @F.arrow_udf(T.StringType())
+    def run(text: pa.Array, key: pa.Array) -> pa.Array:
+        return _in_slices(one, text, key)
 
     # Spark cannot hand an expression with nested lambdas to Python. Neither the step before
     # nor this one may therefore be folded into another expression: the input is named twice,
@@ -248,9 +259,9 @@ def random_insertion(text: Column, key: Column, seed: int, share: float,
             options = json.loads(found) if found else {}
             return " ".join(insert_tokens(toks, k, seed, share, options)) if toks else t
 
-        @F.pandas_udf(T.StringType())
-        def run_map(t: pd.Series, k: pd.Series, found: pd.Series) -> pd.Series:
-            return pd.Series(list(map(one, t, k, found)), dtype=object)
+        @F.arrow_udf(T.StringType())
+        def run_map(t: pa.Array, k: pa.Array, found: pa.Array) -> pa.Array:
+            return _in_slices(one, t, k, found)
 
         return F.when(text == "", text).otherwise(run_map.asNondeterministic()(
             text, key.cast("string"), F.to_json(synonyms)))

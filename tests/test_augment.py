@@ -103,3 +103,26 @@ def test_table_of_many_synonyms_equals_the_list(spark):
     a = augment.augment(df, "text", cfg, key="id", synonyms=few).select("id", "augmented_text").collect()
     b = augment.augment(df, "text", cfg, key="id", synonyms=many).select("id", "augmented_text").collect()
     assert sorted(a) == sorted(b) and any("crimson" in r[1] for r in a)
+
+
+def test_edits_hold_one_slice_of_a_batch():
+    """Of a large batch only a slice at a time is Python objects; order and nulls stay."""
+    import pyarrow as pa
+
+    held = []
+
+    class Column:
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, at, n):
+            held.append(min(n, len(self.values) - at))
+            return self.values.slice(at, n)
+
+    texts = pa.array([str(i) for i in range(1_000)])
+    got = augment._in_slices(lambda t, k: f"{t}{k or ''}", Column(texts), Column(pa.nulls(1_000, pa.string())))
+    assert got.to_pylist() == texts.to_pylist() and max(held) <= augment.SLICE_ROWS
+    assert len(augment._in_slices(str, texts.slice(0, 0))) == 0
