@@ -19,6 +19,10 @@ DIGIT_LIKE = (
     r"\x{10A40}-\x{10A43}\x{10E60}-\x{10E68}\x{11052}-\x{1105A}\x{1F100}-\x{1F10A}"
 )
 
+#: The characters of SPACE as a string.
+SPACES = "".join(map(chr, [*range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b),
+                           0x2028, 0x2029, 0x202f, 0x205f, 0x3000]))
+
 W = f"[{WORD}]"
 NOT_W = f"[^{WORD}]"
 # Intersecting a class with the range it can lie in rejects most characters on one test.
@@ -49,7 +53,7 @@ def is_blank(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim Unicode whitespace on both ends."""
-    return F.regexp_replace(col, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(col, F.lit(SPACES))  # looks at the ends only
 
 
 def tokens(col: Column) -> Column:

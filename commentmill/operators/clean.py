@@ -16,7 +16,7 @@ from commentmill.functions import lexicons as lex
 from commentmill.functions.cut import materialized
 from commentmill.functions.hot import join_keys
 from commentmill.functions.text import (
-    BOUNDARY, NOT_WS, PUNCT, SPACE, W, WORD, WS, as_text, in_words, text_map, tokens, within,
+    BOUNDARY, NOT_WS, PUNCT, SPACE, W, WORD, WS, as_text, bind, in_words, regex_quote, text_map, tokens, within,
 )
 
 PROCESSED = "processed_text"
@@ -87,8 +87,10 @@ def strip_urls(col: Column) -> Column:
 
 
 def strip_emails(col: Column) -> Column:
+    # the boundary before one of the first characters, told by that character; no way back from the at sign
+    start = f"(?:(?={W})(?<!{W})|(?=[.%+-])(?<={W}))"
     return F.regexp_replace(
-        col, rf"{BOUNDARY}[{WORD}.%+-]+@[{WORD}.-]+\.[A-Za-z]{{2,63}}{BOUNDARY}", " ")
+        col, rf"{start}[{WORD}.%+-]++@[{WORD}.-]+\.[A-Za-z]{{2,63}}{BOUNDARY}", " ")
 
 
 def strip_mentions(col: Column) -> Column:
@@ -139,22 +141,39 @@ _PIECE = rf"[^{WORD}{SPACE}]++(?={_CORE}{_TRAIL})|{_CORE}{_TRAIL}|{WS}+|{NOT_WS}
 def map_tokens(col: Column, phrases: Mapping[str, str]) -> Column:
     """Replace whole tokens by phrases, keeping outer punctuation and the spacing.
 
-    The text is cut into pieces that join back to it. Where a token is word characters and
-    inner apostrophes with punctuation around it, that core is a piece of its own; other
-    tokens stay whole, so they match no key. Each piece then costs one hash probe, and the
-    literal map, whose look-up is linear, is read after a hit only.
+    A token's core is word characters and inner apostrophes with punctuation around it; other tokens match
+    no key. One pattern of all keys finds the places, and what stands between them is not cut further.
     """
     reachable = {k: v for k, v in phrases.items() if re.fullmatch(r"\w[\w']*", k)}
     if not reachable:
         return col
     table = text_map(reachable)
+    pattern = token_pattern(reachable)
 
-    def replace(piece: Column) -> Column:
-        key = F.lower(piece)
-        return F.when(in_words(key, reachable), F.try_element_at(table, key)).otherwise(piece)
+    def replace(hit: Column) -> Column:
+        """The punctuation before the core stays; a core that only looks like a key in capitals, too."""
+        core = F.regexp_replace(hit, rf"\A[^{WORD}]+", "")
+        key = F.lower(core)
+        phrase = F.when(in_words(key, reachable), F.try_element_at(table, key)).otherwise(core)
+        return F.concat(F.left(hit, F.length(hit) - F.length(core)), phrase)
 
-    pieces = F.regexp_extract_all(col, F.lit(_PIECE), F.lit(0))
-    return F.array_join(F.transform(pieces, replace), "")
+    def rebuilt(text: Column, hits: Column) -> Column:
+        pieces = F.zip_with(F.split(text, pattern, -1), F.transform(hits, replace),
+                            lambda gap, word: F.concat(gap, F.coalesce(word, F.lit(""))))
+        return F.when(F.size(hits) > 0, F.array_join(pieces, "")).otherwise(text)
+
+    return bind(col, lambda text: bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+                                       lambda hits: rebuilt(text, hits)))
+
+
+def token_pattern(keys: Iterable[str]) -> str:
+    """A whole token whose core may be one of the keys, with the punctuation before it. Keys are grouped by
+    their first letter, so that a token is held against few of them."""
+    rests: dict[str, list[str]] = {}
+    for k in sorted({k.lower() for k in keys}):
+        rests.setdefault(k[0], []).append(regex_quote(k[1:]))
+    some = "|".join(f"{regex_quote(c)}(?:{'|'.join(r)})" for c, r in rests.items())
+    return rf"(?<!{NOT_WS})[^{WORD}{SPACE}]*+(?iu:{some})(?![{WORD}']){_TRAIL}"
 
 
 def map_tokens_table(df: DataFrame, text_col: str, phrases: DataFrame, output: str = PROCESSED) -> DataFrame:
@@ -215,7 +234,8 @@ def remove_stopwords(col: Column, stop_words: Iterable[str] = lex.STOP_WORDS) ->
 
 
 def normalize_whitespace(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, f"{WS}+", " "))
+    # single spaces, the most of them, stay as they are
+    return F.trim(F.regexp_replace(col, rf"[\x00-\x1f\x85-\u3000&&[{SPACE}]]{WS}*+| {WS}++", " "))
 
 
 def blank_to_empty(col: Column) -> Column:

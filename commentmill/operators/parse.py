@@ -25,21 +25,25 @@ def allow_repeated_keys(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+#: What a walk over JSON looks at: an escape, a quote, a brace, or a stretch of anything else.
+_STEPS = r'\\[\s\S]?|["{}]|[^"{}\\]+'
+
+
 def _balanced(tail: Column) -> Column:
     """The object a text begins with, nested to any depth, braces in strings skipped; null if it
-    does not end. One walk over the characters."""
-    start = F.struct(F.lit(0).alias("open"), F.lit(False).alias("quoted"),
-                     F.lit(False).alias("escaped"), F.lit(0).alias("read"), F.lit(False).alias("done"))
+    does not end. One walk over quotes, braces, escapes and the stretches between them."""
+    start = F.struct(F.lit(0).alias("open"), F.lit(False).alias("quoted"), F.lit(0).alias("read"),
+                     F.lit(False).alias("done"))
 
-    def step(s: Column, ch: Column) -> Column:
-        quote = (ch == '"') & ~s["escaped"]
+    def step(s: Column, piece: Column) -> Column:
+        # a backslash escapes in strings only; elsewhere what follows it counts
+        ch = F.when(F.substring(piece, 1, 1) != "\\", piece).when(s["quoted"], "").otherwise(F.substring(piece, 2, 1))
         depth = s["open"] + F.when(s["quoted"], 0).when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
         return F.when(s["done"], s).otherwise(F.struct(
-            depth.alias("open"), F.when(quote, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
-            (s["quoted"] & (ch == "\\") & ~s["escaped"]).alias("escaped"),
-            (s["read"] + 1).alias("read"), (depth == 0).alias("done")))
+            depth.alias("open"), F.when(ch == '"', ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
+            (s["read"] + F.length(piece)).alias("read"), (depth == 0).alias("done")))
 
-    return F.aggregate(F.split(tail, ""), start, step, lambda s: F.when(
+    return F.aggregate(_all(tail, _STEPS, 0), start, step, lambda s: F.when(
         s["done"], F.substring(tail, F.lit(1), s["read"])))
 
 

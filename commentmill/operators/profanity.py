@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +45,41 @@ def obfuscated_pattern(term: str) -> str:
     return (_edge(term[0], True) + gap.join(map(regex_quote, term)) + _edge(term[-1], False))
 
 
+#: Other characters that a pattern without regard to case takes for an ASCII letter.
+CASE_TWINS = "\u017f\u212a\u0130\u0131"
+
+
+#: Up to so many terms are looked for one by one before their pattern runs.
+FEW_TERMS = 64
+
+
+def _has_twin(col: Column) -> Column:
+    return reduce(or_, [F.contains(col, F.lit(c)) for c in CASE_TWINS])
+
+
+def letters_only(col: Column) -> Column:
+    """Lower-cased letters and figures of a text; null where a character is an ASCII letter's twin."""
+    return F.when(~_has_twin(col), F.lower(F.regexp_replace(col, r"[^\p{L}\p{N}]+", "")))
+
+
+def may_hold(bare: Column, term: str) -> Column:
+    """False only where no separated form of the term can be in the text."""
+    letters = "".join(filter(str.isalnum, term))
+    return F.coalesce(F.contains(bare, F.lit(letters)), F.lit(True)) if term.isascii() else F.lit(True)
+
+
 def undisguise(col: Column) -> Column:
     """Lower-cased text with look-alike characters mapped and the rest blanked."""
-    plain = F.translate(F.lower(col), lex.LOOKALIKE_FROM, lex.LOOKALIKE_TO)
+    return _words_only(_plain(F.lower(col)))
+
+
+def _plain(low: Column) -> Column:
+    for look, letter in zip(lex.LOOKALIKE_FROM, lex.LOOKALIKE_TO, strict=True):
+        low = F.replace(low, F.lit(look), F.lit(letter))  # no letter is itself a look-alike
+    return low
+
+
+def _words_only(plain: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
@@ -62,7 +97,19 @@ def found_terms(col: Column, terms: Iterable[str] | None = None) -> Column:
     if not lexicon:
         return _nothing()
     pattern = direct_pattern(lexicon)
-    return F.array_distinct(F.concat(_hits(col, pattern), _hits(undisguise(col), pattern)))
+    if len(lexicon) > FEW_TERMS or not all(re.fullmatch("[a-z0-9]+", t) for t in lexicon):
+        return F.array_distinct(F.concat(_hits(col, pattern), _hits(undisguise(col), pattern)))
+
+    def holds(text: Column) -> Column:
+        return reduce(or_, [F.contains(text, F.lit(t)) for t in lexicon])
+
+    def both(t: Column, low: Column) -> Column:
+        """The patterns only run over texts that hold the letters of a term."""
+        raw = F.when(_has_twin(t) | holds(low), _hits(t, pattern)).otherwise(_nothing())
+        more = bind(_plain(low), lambda p: F.when(holds(p), _hits(_words_only(p), pattern)).otherwise(_nothing()))
+        return F.array_distinct(F.concat(raw, more))
+
+    return bind(col, lambda t: bind(F.lower(t), lambda low: both(t, low)))
 
 
 def scan(df: DataFrame, text_col: str, terms: Iterable[str] | None = None) -> DataFrame:
@@ -101,8 +148,9 @@ def sanitize_expr(text: Column, terms: Iterable[str] | None = None, *, mode: str
     """struct(clean_text, replacements) of one text column.
 
     Direct hits go first. Then each term, in sorted order, is looked for with separators
-    between its letters unless it was already replaced; later terms see earlier output. The
-    second stage runs only for rows that contain a separated term at all.
+    between its letters unless it was already replaced; later terms see earlier output. That
+    pattern is slow, so it is only tried where the letters and figures of the text, with
+    nothing between them, hold the term's (see ``letters_only``).
     """
     mode = (mode or "mask").strip().lower()
     if mode not in ("mask", "replace"):
@@ -114,17 +162,16 @@ def sanitize_expr(text: Column, terms: Iterable[str] | None = None, *, mode: str
         return F.struct(text.alias("clean_text"), _nothing().alias("replacements"))
 
     pattern = direct_pattern(lexicon)
-    any_separated = "(?iu)(?:" + "|".join(map(obfuscated_pattern, lexicon)) + ")"
 
     def state(out: Column, found: Column) -> Column:
-        return F.struct(out.alias("clean_text"), found.alias("replacements"))
+        return F.struct(out.alias("clean_text"), found.alias("replacements"), letters_only(out).alias("bare"))
 
     def replace_separated(term: str):
         rx = "(?iu)" + obfuscated_pattern(term)
 
         def step(s: Column) -> Column:
             out, found = s["clean_text"], s["replacements"]
-            todo = ~F.array_contains(found, term) & out.rlike(rx)
+            todo = ~F.array_contains(found, term) & may_hold(s["bare"], term) & out.rlike(rx)
             new = F.regexp_replace(out, rx, replacement_quote(phrases.get(term, mask_token)))
             return F.when(todo, state(new, F.array_append(found, F.lit(term)))).otherwise(s)
 
@@ -134,12 +181,12 @@ def sanitize_expr(text: Column, terms: Iterable[str] | None = None, *, mode: str
         chain = s
         for term in lexicon:
             chain = bind(chain, replace_separated(term))
-        return F.when(s["clean_text"].rlike(any_separated), chain).otherwise(s)
+        return F.when(reduce(or_, [may_hold(s["bare"], t) for t in lexicon]), chain).otherwise(s)
 
     def both_stages(t: Column, found: Column) -> Column:
-        first = state(_replace_direct(t, pattern, found, phrases, mask_token),
-                      F.array_distinct(found))
-        return bind(first, second_stage)
+        direct = F.when(F.size(found) > 0, _replace_direct(t, pattern, found, phrases, mask_token)).otherwise(t)
+        return bind(bind(direct, lambda out: state(out, F.array_distinct(found))), lambda s: bind(
+            second_stage(s), lambda end: F.struct(end["clean_text"], end["replacements"])))
 
     return bind(text, lambda t: bind(_hits(t, pattern), lambda found: both_stages(t, found)))
 

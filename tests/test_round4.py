@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from commentmill.operators import knn
+from commentmill.operators import clean, knn, parse, profanity
 from commentmill.operators.knn import KNNClassifier
 
 
@@ -20,3 +20,30 @@ def test_neighbours_do_not_depend_on_blocks(spark, monkeypatch):
     monkeypatch.setattr(knn, "TRAIN_BLOCK", 3)
     monkeypatch.setattr(knn, "TEST_BLOCK", 2)
     assert found() == whole and len(whole) % 4 == 0
+
+
+def test_guards_see_letters_that_patterns_take_for_others(spark):
+    """Terms spelled with a long s, a dotless i or a Kelvin sign, and objects that a backslash stands before."""
+    rows = [(1, "ſtupıd"), (2, "s.tıu-p i_d"), (3, "STUPİD träsh"), (4, "Klown c l-o_w n"), (5, "nothing")]
+    df = spark.createDataFrame(rows, "k int, text string")
+    found = profanity.scan(df, "text", ["stupid", "klown", "clown"]).orderBy("k").collect()
+    assert [r["profanity_matches"] for r in found[3:]] == [["klown"], []]
+    assert [r["profanity_count"] for r in found] == [1, 0, 1, 1, 0]
+    clean = profanity.sanitize(df, "text", ["stupid", "clown"]).orderBy("k").collect()
+    assert [len(r["clean_replacements"]) for r in clean] == [1, 0, 1, 1, 0]
+
+
+def test_pieces_of_answers_are_few(spark):
+    text = r'x {"row_id": 1, "a": "}\"{", "b": {"c": 2}} \{"row_id": 2, "a": "\\"} {"row_id": 3, "a": "'
+    got = spark.createDataFrame([(text,)], "t string").select(
+        parse.objects_starting(F.col("t"), parse.ROW_START).alias("o")).first()["o"]
+    assert got == [r'{"row_id": 1, "a": "}\"{", "b": {"c": 2}}', r'{"row_id": 2, "a": "\\"}']
+
+
+def test_steps_skip_what_cannot_match(spark):
+    """The pattern of separated terms is not the only thing that every row meets."""
+    plan = spark.range(1).select(profanity.found_terms(F.col("id").cast("string"), ["stupid"]).alias("f"))
+    assert "contains" in plan._jdf.queryExecution().toString().lower()
+    tokens = clean.map_tokens(F.col("t"), {"idk": "I do not know", "b/c": "because"})
+    out = spark.createDataFrame([("((IDK)) idk's  idk, b/c idk",)], "t string").select(tokens.alias("o")).first()["o"]
+    assert out == "((I do not know)) idk's  I do not know, b/c I do not know"
