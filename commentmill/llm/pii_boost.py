@@ -7,7 +7,7 @@ groups (IPv6 and MAC addresses). Boosted trees score each
 candidate by its format and its context, a threshold per shape is calibrated for precision on
 documents kept aside, and candidates above it that touch no base span are added.
 
-The trees learn from a bounded sample of the given documents: candidates that coincide with a base
+The trees learn from all given documents, equal texts once: candidates that coincide with a base
 span are positive, others negative. Each positive is also shown rewritten in ways that base patterns
 miss (without the plus, spelled out, other separators, a host without a dot, an IP address as IPv6,
 MAC or with spaced dots), and each with a near miss of the same shape (a broken check digit, a date,
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,14 +32,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commentmill.llm.common import map_texts
+from commentmill.llm.common import map_texts, materialized
+from commentmill.operators.linear import _added
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
-#: The most documents and candidates the trees learn from; a fifth of the documents calibrates.
-SAMPLE_DOCS, SAMPLE_ROWS, FOLDS = 20_000, 20_000, 5
+#: A fifth of the documents calibrates. Distinct lines that one task adds up, and steps of a score.
+FOLDS, LINES_PER_TASK, STEPS = 5, 50_000, 1 << 14
 PRECISION = 0.99
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 32
+INNER = 2 ** DEPTH - 1
 
 Span = tuple[str, int, int]
 
@@ -238,85 +241,155 @@ class Boosted:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.start)
-        rows = np.arange(len(x))
         for feature, cut, value in zip(self.feature, self.cut, self.value, strict=True):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (x[rows, feature[node]] > cut[node])
-            total += value[node - (2 ** DEPTH - 1)]
+            total += value[_node(x, feature, cut, DEPTH) - INNER]
         return 1 / (1 + np.exp(-total))
 
 
+def _node(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
+    node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+    for _ in range(levels):
+        node = 2 * node + 1 + (x[rows, feature[node]] > cut[node])
+    return node
+
+
+def node_sums(bins: np.ndarray, n: np.ndarray, good: np.ndarray, model: Boosted, feature: np.ndarray,
+              cut: np.ndarray, level: int) -> np.ndarray:
+    """(slope, curvature, rows) x nodes of the level x features x bins, of lines that stand for ``n`` equal
+    rows, ``good`` of them positive. Trees are told by bins here."""
+    p = model.score(bins)
+    node = _node(bins, feature, cut, level) - (2 ** level - 1)
+    width, most = bins.shape[1], 2 ** level * bins.shape[1] * BINS
+    at = ((node[:, None] * width + np.arange(width)) * BINS + bins).ravel()
+    parts = [np.bincount(at, np.repeat(v, width), most) for v in (good - n * p, n * p * (1 - p), n)]
+    return np.stack(parts).reshape(3, 2 ** level, width, BINS)
+
+
 def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
-    """Gradient boosting of the logistic loss; splits are searched over binned values."""
-    model = Boosted(start=float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6))))
+    """The trees of rows that are at hand."""
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS)[1:-1])) for f in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
-    total = np.full(len(x), model.start)
-    inner = 2 ** DEPTH - 1
+    bins = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
+    start = float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
+    return boost_counted(lambda *state: node_sums(bins, np.ones(len(x)), y.astype(float), *state), cuts, start)[1]
+
+
+def boost_counted(sums: Callable, cuts: list[np.ndarray], start: float) -> tuple[Boosted, Boosted]:
+    """Gradient boosting of the logistic loss over binned values; splits are searched by bins; ``sums`` adds ``node_sums`` up over all
+    rows. The model by bins, and the same by values."""
+    binned, model = Boosted(start=start), Boosted(start=start)
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-total))
-        g, h = y - p, p * (1 - p)
-        feature, cut = np.zeros(inner, np.int64), np.full(inner, np.inf)
-        node = np.zeros(len(x), np.int64)
+        feature, place, cut = np.zeros(INNER, np.int64), np.full(INNER, BINS), np.full(INNER, np.inf)
         for level in range(DEPTH):
             first = 2 ** level - 1
-            for n in range(first, 2 * first + 1):
-                rows = np.nonzero(node == n)[0]
-                best = 1e-3
+            g, h, n = sums(binned, feature, place, level)
+            leaf = np.zeros((2, 2 ** level, 2))
+            for i in range(2 ** level):
+                best, split = 1e-3, None
+                gs, hs = g[i].cumsum(axis=1), h[i].cumsum(axis=1)
                 for f, c in enumerate(cuts):
-                    if not len(c) or len(rows) < 10:
+                    if not len(c) or n[i, f].sum() < 10:
                         continue
-                    gs = np.bincount(binned[rows, f], g[rows], len(c) + 1).cumsum()
-                    hs = np.bincount(binned[rows, f], h[rows], len(c) + 1).cumsum()
-                    gain = gs ** 2 / (hs + 1) + (gs[-1] - gs) ** 2 / (hs[-1] - hs + 1) - gs[-1] ** 2 / (hs[-1] + 1)
-                    at = int(gain[:-1].argmax())
+                    gl, hl, ga, ha = gs[f, :len(c)], hs[f, :len(c)], gs[f, -1], hs[f, -1]
+                    gain = gl ** 2 / (hl + 1) + (ga - gl) ** 2 / (ha - hl + 1) - ga ** 2 / (ha + 1)
+                    at = int(gain.argmax())
                     if gain[at] > best:
-                        best, feature[n], cut[n] = gain[at], f, c[at]
-            node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > cut[node])
-        leaf = node - inner
-        value = RATE * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + 1)
-        total += value[leaf]
-        model.feature.append(feature)
-        model.cut.append(cut)
-        model.value.append(value)
-    return model
+                        best, split = gain[at], (f, at)
+                whole = np.array([gs[0, -1], hs[0, -1]])
+                low = whole
+                if split:
+                    f, at = split
+                    feature[first + i], place[first + i], cut[first + i] = f, at, cuts[f][at]
+                    low = np.array([gs[f, at], hs[f, at]])
+                leaf[:, i] = np.stack([low, whole - low], axis=1)
+        value = RATE * leaf[0].ravel() / (leaf[1].ravel() + 1)
+        for m, where in ((binned, place), (model, cut)):
+            m.feature.append(feature)
+            m.cut.append(where)
+            m.value.append(value)
+    return binned, model
+
+
+def thresholds(lines: pd.DataFrame) -> dict[str, float]:
+    """Per shape the lowest score from which on the precision holds; none if none is known to. Lines
+    (shape, step, n, good): counts by score in steps of 1 / STEPS."""
+    out = {}
+    for i, shape in enumerate(SHAPES):
+        rows = lines[lines["shape"] == i].sort_values("step", ascending=False)
+        seen, good = rows["n"].to_numpy().cumsum(), rows["good"].to_numpy().cumsum()
+        fine = np.nonzero((good >= PRECISION * seen) & (seen >= 20))[0]
+        out[shape] = float(rows["step"].iloc[fine[-1]]) / STEPS if len(fine) else np.inf
+    return out
 
 
-def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray) -> None:
-    """Per shape the lowest score from which on the precision holds; none if none is known to."""
-    score = model.score(x)
-    for i, shape in enumerate(SHAPES):
-        rows = x[:, 0] == i
-        order = np.argsort(-score[rows], kind="stable")
-        s, good = score[rows][order], y[rows][order].cumsum()
-        seen = np.arange(1, len(s) + 1)
-        last = np.append(s[1:] != s[:-1], True)[:len(s)]
-        fine = np.nonzero(last & (good >= PRECISION * seen) & (seen >= 20))[0]
-        model.thresholds[shape] = float(s[fine[-1]]) if len(fine) else np.inf
+def _matrix(bins: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(bins), np.uint8).reshape(len(bins), -1)
 
 
-def train(docs: DataFrame, text_col: str) -> Boosted | None:
-    """From a sample of at most SAMPLE_DOCS documents (in expectation) and SAMPLE_ROWS candidates."""
-    total = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(1, total))
-    drawn = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+def _summed(lines: DataFrame, n_lines: int) -> Callable:
+    """``sums`` for ``boost_counted``: by tasks, or at once where the distinct lines are few."""
+    if n_lines <= LINES_PER_TASK:
+        few = lines.toPandas()
+        held = _matrix(few["bins"]), few["n"].to_numpy(float), few["good"].to_numpy(float)
+        return lambda *state: node_sums(*held, *state)
+    kept = lines.coalesce(-(-n_lines // LINES_PER_TASK)).cache()
+
+    def sums(*state) -> np.ndarray:
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = sum(node_sums(_matrix(b["bins"]), b["n"].to_numpy(float), b["good"].to_numpy(float), *state)
+                        for b in batches if len(b))
+            yield pd.DataFrame({"total": [np.ravel(total)] if isinstance(total, np.ndarray) else []})
 
+        parts = kept.mapInPandas(part, "total array<double>")
+        few = int(kept.rdd.getNumPartitions() ** 0.5)
+        if few > 2:
+            parts = parts.repartition(few).mapInPandas(_added, "total array<double>")
+        return sum(np.array(r["total"]) for r in parts.collect()).reshape(3, 2 ** state[-1], -1, BINS)
+
+    return sums
+
+
+def train(docs: DataFrame, text_col: str) -> Boosted | None:
+    """From all documents, equal texts once. Examples are counted by their binned values, which is all that
+    the trees look at; the documents kept aside are counted by score."""
     def learn_from(text: str | None) -> dict:
-        code = int(hashlib.md5((text or "").encode("utf-8", "surrogatepass")).hexdigest()[:12], 16)
+        code = hashlib.md5((text or "").encode("utf-8", "surrogatepass")).hexdigest()
         return {"code": code, "rows": [{"x": list(map(float, x)), "y": bool(y)} for x, y in examples(text or "")]}
 
-    kind = "struct<code:bigint,rows:array<struct<x:array<double>,y:boolean>>>"
-    found = (map_texts(drawn, text_col, text_col, lambda: learn_from, "e", kind)
-             .select("e.code", F.posexplode("e.rows").alias("i", "r")).select("code", "i", "r.x", "r.y")
-             .dropDuplicates(["code", "i"]).orderBy("code", "i").limit(SAMPLE_ROWS).toPandas())
-    aside = (found["code"] % FOLDS == 0).to_numpy()
-    y = found["y"].to_numpy(float)
-    if not 20 <= y[~aside].sum() <= (~aside).sum() - 20:
+    kind = "struct<code:string,rows:array<struct<x:array<double>,y:boolean>>>"
+    found = materialized(map_texts(docs, text_col, text_col, lambda: learn_from, "e", kind).select("e.code", "e.rows")
+                         .filter(F.size("rows") > 0).dropDuplicates(["code"])
+                         .select((F.conv(F.substring("code", 1, 12), 16, 10).cast("bigint") % FOLDS == 0).alias("aside"),
+                                 F.inline("rows")))
+    width = len(features("", SHAPES[0], 0, 1))
+    shares = F.array(*[F.lit(float(v)) for v in np.linspace(0, 1, BINS)[1:-1]])
+    told = found.filter("not aside").agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("good"), *[
+        F.percentile(F.get("x", F.lit(f)), shares).alias(f"q{f}") for f in range(width)]).first()
+    if not 20 <= told["good"] <= told["n"] - 20:
         return None
-    x = np.array(found["x"].tolist())
-    model = boost(x[~aside], y[~aside])
-    calibrate(model, x[aside], y[aside])
+    cuts = [np.unique(told[f"q{f}"]) for f in range(width)]
+
+    def bin_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = np.array(b["x"].tolist())
+                bins = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
+                yield pd.DataFrame({"aside": b["aside"], "shape": x[:, 0].astype(int), "good": b["y"].astype(int),
+                                    "bins": [r.tobytes() for r in bins.astype(np.uint8)]})
+
+    lines = materialized(found.mapInPandas(bin_up, "aside boolean, shape int, good int, bins binary")
+                         .groupBy("aside", "shape", "bins").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good")))
+    learnt = lines.filter("not aside")
+    rate = told["good"] / told["n"]
+    binned, model = boost_counted(_summed(learnt, learnt.count()), cuts, float(np.log(rate / (1 - rate))))
+
+    def by_score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b[["shape", "n", "good"]].assign(step=np.floor(binned.score(_matrix(b["bins"])) * STEPS).astype(int))
+
+    # at most STEPS + 1 lines per shape
+    model.thresholds = thresholds(lines.filter("aside").mapInPandas(by_score, "shape int, n bigint, good bigint, step int")
+                                  .groupBy("shape", "step").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).toPandas())
     return model
 
 
