@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from commentmill.functions.hot import join_keys
 from commentmill.functions.numbers import draw_hex, draw_int, hex_threshold
-from commentmill.functions.text import WS, as_text, bind, is_blank, strip, tokens
+from commentmill.functions.text import SPACES, WS, as_text, bind, is_blank, strip, tokens
 
 AUGMENTED = "augmented_text"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -231,8 +231,8 @@ def _token_udf(edit, least: int):
     edit copies the whole array (edits x tokens per row); a mutable list does it in place.
     """
 
-    def one(text: str, key: str) -> str:
-        toks = text.split()
+    def one(text: str | None, key: str | None) -> str | None:
+        toks = text.split() if text else []
         return " ".join(edit(toks, key)) if len(toks) >= least else text
 
     @F.arrow_udf(T.StringType())
@@ -270,18 +270,21 @@ def random_insertion(text: Column, key: Column, seed: int, share: float,
     return run(text, key)
 
 
+def _hex_draws(seed: int, key: str | None, op: str, n: int) -> list[str]:
+    """Python twin of ``draw_hex`` at the positions before ``n``; a missing key is left out."""
+    start = f"{seed}:{op}:" if key is None else f"{seed}:{key}:{op}:"
+    return [hashlib.md5(f"{start}{i}".encode()).hexdigest() for i in range(n)]
+
+
+def delete_tokens(toks: list[str], key: str | None, seed: int, limit: str) -> list[str]:
+    hashes = _hex_draws(seed, key, "delete", len(toks))
+    return [t for t, h in zip(toks, hashes, strict=True) if h > limit] or [toks[hashes.index(max(hashes))]]
+
+
 def random_deletion(text: Column, key: Column, seed: int, share: float) -> Column:
     """Drop each token with probability ``share``; if none is left, keep the luckiest one."""
     limit = hex_threshold(share)
-
-    def drop(toks: Column) -> Column:
-        hashes = F.transform(toks, lambda _, i: draw_hex(seed, key, "delete", i))
-        return bind(hashes, lambda h: bind(
-            F.filter(toks, lambda _, i: F.get(h, i) > limit),
-            lambda kept: F.when(F.size(kept) > 0, kept).otherwise(
-                F.array(F.get(toks, F.array_position(h, F.array_max(h)).cast("int") - 1)))))
-
-    return on_tokens(text, 3, drop)
+    return _token_udf(lambda t, k: delete_tokens(t, k, seed, limit), 3)(text, key)
 
 
 def back_translation(text: Column) -> Column:
@@ -329,44 +332,29 @@ def sentence_crop(text: Column, share: float) -> Column:
         toks, F.lit(1), F.size(toks) - share_count(F.size(toks), min(share, 0.4))))
 
 
+def noisy_text(text: str, key: str | None, seed: int, share: float) -> str:
+    chars = list(text)
+    n = max(1, int(len(chars) * share))
+    places, letters = (_hex_draws(seed, key, op, n) for op in ("noise.at", "noise.letter"))
+    put = {int(at[:8], 16) % len(chars): LETTERS[int(c[:8], 16) % 26] for at, c in zip(places, letters, strict=True)}
+    for at, letter in put.items():  # the last draw of a place
+        if chars[at] not in SPACES:
+            chars[at] = letter
+    return "".join(chars)
+
+
 def noise_injection(text: Column, key: Column, seed: int, share: float) -> Column:
     """``max(1, floor(len * min(share, 0.08)))`` draws with replacement put a random letter at
-    a random place; spaces stay.
+    a random place; the last draw of a place wins and spaces stay. Only the drawn places are hashed."""
+    def one(t: str | None, k: str | None) -> str | None:
+        return noisy_text(t, k, seed, min(share, 0.08)) if t else t
 
-    Only the drawn places are hashed. They are sorted, the last draw of a place wins, and the
-    text is rebuilt from the stretches between them: linear in the text, not draws x length.
-    """
+    @F.arrow_udf(T.StringType())
+    def run(t: pa.Array, k: pa.Array) -> pa.Array:
+        return _in_slices(one, t, k)
 
-    def place(j: Column, n: Column) -> Column:
-        letter = draw_int(draw_hex(seed, key, "noise.letter", j), F.lit(26))
-        return F.struct(draw_int(draw_hex(seed, key, "noise.at", j), n).cast("int").alias("at"),
-                        j.alias("j"),
-                        F.substring(F.lit(LETTERS), (letter + 1).cast("int"), F.lit(1)).alias("c"))
-
-    def last_per_place(draws: Column) -> Column:
-        return F.filter(draws, lambda d, i: (i + 1 == F.size(draws))
-                        | (F.get(draws, i + 1)["at"] != d["at"]))
-
-    def rebuild(chars: Column, draws: Column) -> Column:
-        def stretch(d: Column, i: Column) -> Column:
-            start = F.when(i == 0, F.lit(0)).otherwise(F.get(draws, i - 1)["at"] + 1)
-            old = F.get(chars, d["at"])
-            return F.concat(F.array_join(F.slice(chars, start + 1, d["at"] - start), ""),
-                            F.when(old.rlike(WS), old).otherwise(d["c"]))
-
-        end = F.get(draws, F.size(draws) - 1)["at"]
-        tail = F.slice(chars, end + 2, F.size(chars) - end - 1)
-        return F.concat(F.array_join(F.transform(draws, stretch), ""), F.array_join(tail, ""))
-
-    def noisy(chars: Column) -> Column:
-        n = F.size(chars)
-        draws = F.transform(F.sequence(F.lit(0), share_count(n, min(share, 0.08)) - 1),
-                            lambda j: place(j, n))
-        return bind(F.sort_array(draws), lambda all_draws: bind(
-            last_per_place(all_draws), lambda d: rebuild(chars, d)))
-
-    return bind(text, lambda t: F.when(F.length(t) == 0, t).otherwise(
-        bind(F.split(t, ""), noisy)))
+    # named twice and not folded, as token edits are
+    return F.when(text == "", text).otherwise(run.asNondeterministic()(text, key.cast("string")))
 
 
 # --- the configured chain ------------------------------------------------------------

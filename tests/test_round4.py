@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from commentmill.operators import clean, knn, parse, profanity
+from commentmill.operators import augment, knn, parse, profanity
 from commentmill.operators.knn import KNNClassifier
 
 
@@ -44,6 +44,16 @@ def test_steps_skip_what_cannot_match(spark):
     """The pattern of separated terms is not the only thing that every row meets."""
     plan = spark.range(1).select(profanity.found_terms(F.col("id").cast("string"), ["stupid"]).alias("f"))
     assert "contains" in plan._jdf.queryExecution().toString().lower()
-    tokens = clean.map_tokens(F.col("t"), {"idk": "I do not know", "b/c": "because"})
-    out = spark.createDataFrame([("((IDK)) idk's  idk, b/c idk",)], "t string").select(tokens.alias("o")).first()["o"]
-    assert out == "((I do not know)) idk's  I do not know, b/c I do not know"
+
+
+def test_noise_and_deletion_are_plain_edits(spark):
+    """A million characters are edited in place; spaces stay, and no text means no text."""
+    long = "ab c\u3000d😀" * 120_000
+    df = spark.createDataFrame([(1, long), (2, ""), (3, None), (None, "one two three four")], "k long, t string")
+    noisy = augment.noise_injection(F.col("t"), F.col("k"), 7, 0.1)
+    fewer = augment.random_deletion(F.col("t"), F.col("k"), 7, 0.3)
+    got = df.select("k", noisy.alias("n"), fewer.alias("f")).collect()
+    assert len(got[0]["n"]) == len(long)
+    assert [c for c in got[0]["n"] if c.isspace()] == [c for c in long if c.isspace()] and got[0]["n"] != long
+    assert (got[1]["n"], got[1]["f"], got[2]["n"], got[2]["f"]) == ("", "", None, None)
+    assert set(got[3]["f"].split()) <= {"one", "two", "three", "four"} and augment.noisy_text("abc", "1", 7, 0.08) != ""
