@@ -12,16 +12,21 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from commentmill.functions.cut import materialized
 from commentmill.functions.hot import join_keys
 from commentmill.functions.numbers import draw_hex, draw_int, hex_threshold
 from commentmill.functions.text import SPACES, WS, as_text, bind, is_blank, strip, tokens
 
 AUGMENTED = "augmented_text"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Synonyms of a table that has at most this many words and bytes are sent to every task; beyond, words
+#: and rows are joined by a shuffle.
+SENT_WORDS, SENT_BYTES = 200_000, 16 << 20
 ASCII_EDGES = r"\A[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+\z"
 
 
@@ -96,7 +101,7 @@ def _replace_positions(text: Column, key: Column, seed: int, op: str, share: flo
     return on_tokens(text, 2, with_hashes)
 
 
-Synonyms = Mapping[str, list[str]] | Column | None
+Synonyms = Mapping[str, list[str]] | Column | Broadcast | None
 
 
 def synonym_lookup(synonyms: Synonyms):
@@ -126,6 +131,8 @@ def tidy_synonyms(synonyms: Mapping[str, list[str]]) -> dict[str, list[str]]:
 def synonym_replacement(text: Column, key: Column, seed: int, share: float,
                         synonyms: Synonyms = None,
                         op: str = "synonym") -> Column:
+    if isinstance(synonyms, Broadcast):
+        return _token_udf(lambda t, k: replace_tokens(t, k, seed, share, op, _options(synonyms, k)), 2)(text, key)
     return _replace_positions(text, key, seed, op, share, synonym_lookup(synonyms))
 
 
@@ -134,12 +141,16 @@ def synonyms_from_table(df: DataFrame, text_col: str, synonyms: DataFrame, *, ke
                         output: str = AUGMENTED) -> DataFrame:
     """Synonym replacement from a (word, synonym) table of any size.
 
-    Only the k drawn tokens of a row travel: they are joined with the words (one row each, its
-    options gathered) and the picks come back per row. Frequent words are joined apart (see
-    ``join_keys``).
-    ``key`` must be unique.
+    Few words go to the rows (see ``sent_words``). Of more, only the k drawn tokens of a row travel: they
+    are joined with the words (one row each, its options gathered) and the picks come back per row.
+    Frequent words are joined apart (see ``join_keys``); ``key`` must be unique then. Rows without a key
+    keep their words.
     """
-    words = synonym_words(synonyms)
+    words = materialized(synonym_words(synonyms))
+    sent = sent_words(words)
+    if sent is not None:
+        plain = df.withColumn("_text", as_text(F.col(text_col)))
+        return plain.withColumn(output, synonym_replacement(F.col("_text"), F.col(key), seed, share, sent)).drop("_text")
 
     def drawn(toks: Column) -> Column:
         hashes = F.transform(toks, lambda _, i: draw_hex(seed, F.col(key), "synonym", i))
@@ -172,6 +183,20 @@ def synonym_words(synonyms: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.sort_array(F.collect_set("s")).alias("options"))
 
 
+def sent_words(words: DataFrame) -> Broadcast | None:
+    """word -> options for every task, if there are few."""
+    size = F.octet_length("word") + F.aggregate("options", F.lit(0), lambda n, o: n + F.octet_length(o))
+    lines, held = words.agg(F.count(F.lit(1)), F.sum(size)).first()
+    if lines > SENT_WORDS or (held or 0) > SENT_BYTES:
+        return None
+    return words.sparkSession.sparkContext.broadcast({r["word"]: list(r["options"]) for r in words.collect()})
+
+
+def _options(sent: Broadcast, key: str | None) -> Mapping[str, list[str]]:
+    """Rows without a key meet no word of a table, sent or joined."""
+    return {} if key is None else sent.value
+
+
 def with_row_synonyms(df: DataFrame, text_col: str, words: DataFrame, key: str) -> DataFrame:
     """Adds ``_syn``: the options of every word of the row that has some. Only distinct words
     travel, not the texts' other tokens; ``key`` must be unique."""
@@ -188,6 +213,18 @@ def _draw(seed: int, key: str, op: str, pos: str, bound: int) -> int:
     return int(digest[:8], 16) % bound
 
 
+def replace_tokens(toks: list[str], key: str | None, seed: int, share: float, op: str,
+                   synonyms: Mapping[str, list[str]]) -> list[str]:
+    """Python twin of ``_replace_positions``. Only rows that hold a word with synonyms draw positions."""
+    options = [synonyms.get(t.strip(PUNCTUATION).lower()) for t in toks]
+    if not any(options):
+        return toks
+    hashes = _hex_draws(seed, key, op, len(toks))
+    top = sorted(hashes)[max(1, int(len(toks) * share)) - 1]
+    return [o[_draw(seed, key, op + ".pick", str(i), len(o))] if o and h <= top else t
+            for i, (t, o, h) in enumerate(zip(toks, options, hashes, strict=True))]
+
+
 def swap_tokens(toks: list[str], key: str, seed: int, share: float, op: str) -> list[str]:
     """k swaps of two distinct positions, one after the other."""
     n = len(toks)
@@ -265,6 +302,8 @@ def random_insertion(text: Column, key: Column, seed: int, share: float,
 
         return F.when(text == "", text).otherwise(run_map.asNondeterministic()(
             text, key.cast("string"), F.to_json(synonyms)))
+    if isinstance(synonyms, Broadcast):
+        return _token_udf(lambda t, k: insert_tokens(t, k, seed, share, _options(synonyms, k)), 1)(text, key)
     table = tidy_synonyms(synonyms or {})
     run = _token_udf(lambda t, k: insert_tokens(t, k, seed, share, table), 1)
     return run(text, key)
@@ -405,10 +444,16 @@ def augment(df: DataFrame, text_col: str, cfg: AugmentConfig, *, key: str, seed:
             synonyms: Mapping[str, list[str]] | DataFrame | None = None,
             output: str = AUGMENTED) -> DataFrame:
     """Add the augmented text. Synonyms come from a list, or from a (word, synonym) table of any
-    size, with the same result. The source is ``processed_text`` where present; masked text
+    size (few words are sent to the rows, more are joined), with the same result. The source is ``processed_text`` where present; masked text
     derived from an older version is dropped. Blank text is unchanged."""
     source = "processed_text" if "processed_text" in df.columns else text_col
-    table = isinstance(synonyms, DataFrame)
-    steps = augment_steps(F.col(key), cfg, seed, F.col("_syn") if table else synonyms)
-    words = synonym_words(synonyms) if table else None
+    words = None
+    if isinstance(synonyms, DataFrame):
+        words = materialized(synonym_words(synonyms))
+        synonyms = sent_words(words)
+        if synonyms is None:
+            synonyms = F.col("_syn")
+        else:
+            words = None
+    steps = augment_steps(F.col(key), cfg, seed, synonyms)
     return apply_steps(df, source, steps, output, words=words, key=key).drop("clean_text", "clean_replacements")

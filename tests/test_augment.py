@@ -126,3 +126,25 @@ def test_edits_hold_one_slice_of_a_batch():
     got = augment._in_slices(lambda t, k: f"{t}{k or ''}", Column(texts), Column(pa.nulls(1_000, pa.string())))
     assert got.to_pylist() == texts.to_pylist() and max(held) <= augment.SLICE_ROWS
     assert len(augment._in_slices(str, texts.slice(0, 0))) == 0
+
+
+def test_few_words_of_a_table_go_to_the_rows(spark, df, monkeypatch):
+    """Sent or joined, a table gives the same; rows without a key meet no word; rows may repeat."""
+    pairs = spark.createDataFrame([(w, s) for w, ss in SYN.items() for s in ss], "word string, synonym string")
+    rows = df.select(F.col("k").cast("string").alias("k"), "text").unionByName(
+        spark.createDataFrame([(None, next(t for t in TEXTS if len(t.split()) > 5))], "k string, text string"))
+    cfg = augment.AugmentConfig(synonym_replacement=True, random_insertion=True, paraphrasing=True, strength=0.4)
+
+    def both():
+        a = augment.augment(rows, "text", cfg, key="k", synonyms=pairs)
+        b = augment.synonyms_from_table(rows, "text", pairs, key="k", share=0.4)
+        plans = [d._jdf.queryExecution().toString() for d in (a, b)]
+        return [sorted(map(str, d.select("k", "augmented_text").collect())) for d in (a, b)], plans
+
+    got, plans = both()
+    assert not any("Join" in p for p in plans)
+    twice = augment.synonyms_from_table(rows.unionAll(rows), "text", pairs, key="k", share=0.4)
+    assert sorted(map(str, twice.select("k", "augmented_text").collect())) == sorted(got[1] * 2)
+    monkeypatch.setattr(augment, "SENT_WORDS", 0)
+    joined, plans = both()
+    assert joined == got and all("Join" in p for p in plans)
