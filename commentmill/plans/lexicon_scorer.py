@@ -18,6 +18,10 @@ from commentmill.functions.text import bind
 from commentmill.operators.profanity import found_terms
 
 
+#: Letters that a pattern without case takes for i, s or k though ``lower`` does not make them so.
+FOLDED = re.compile("[\u0130\u0131\u017f\u212a]")
+
+
 def row_answer(row_id: Column, hits: Column) -> Column:
     """One JSON object for a row with ``hits`` distinct terms."""
 
@@ -57,9 +61,18 @@ def python_scorer(terms: Iterable[str]) -> Callable[[], Callable[[str], str]]:
         spelled = re.compile(rf"(?i)(?<!\w)({'|'.join(map(re.escape, words))})(?:{'|'.join(endings)})?(?!\w)")
         plain = str.maketrans(lex.LOOKALIKE_FROM, lex.LOOKALIKE_TO)
 
+        # a pattern runs only where a word stands; letters that it takes for others are always searched
+        simple = all(re.fullmatch("[a-z0-9]+", w) for w in words)
+
         def hits(text: str) -> int:
-            bare = re.sub("[^a-z0-9]+", " ", text.lower().translate(plain))
-            return len({m.lower() for t in (text, bare) for m in spelled.findall(t)})
+            low = text.lower()
+            spelt = low.translate(plain)
+            found: set[str] = set()
+            if not simple or any(w in low for w in words) or (not text.isascii() and FOLDED.search(text)):
+                found |= {m.lower() for m in spelled.findall(text)}
+            if not simple or any(w in spelt for w in words):
+                found |= set(spelled.findall(re.sub("[^a-z0-9]+", " ", spelt)))
+            return len(found)
 
         def one(line: str) -> dict:
             number, _, text = line.partition(": ")

@@ -57,3 +57,20 @@ def test_noise_and_deletion_are_plain_edits(spark):
     assert [c for c in got[0]["n"] if c.isspace()] == [c for c in long if c.isspace()] and got[0]["n"] != long
     assert (got[1]["n"], got[1]["f"], got[2]["n"], got[2]["f"]) == ("", "", None, None)
     assert set(got[3]["f"].split()) <= {"one", "two", "three", "four"} and augment.noisy_text("abc", "1", 7, 0.08) != ""
+
+
+def test_python_scorer_searches_only_where_a_word_stands(monkeypatch):
+    """Texts without a word are not searched; look-alikes and letters that a pattern folds still count."""
+    import json
+    import re
+
+    from commentmill.plans import lexicon_scorer
+
+    texts = ["nothing here", "STUPID idiots", "stup1d $cum", "\u017ftupid", "\u0130diot", "stupidity", "s.t.u.p.i.d", ""]
+    prompt = "\n".join(f"{i * 10}: {t}" for i, t in enumerate(texts))
+    patterns = []
+    real = re.sub
+    monkeypatch.setattr(lexicon_scorer.re, "sub", lambda *a: patterns.append(a) or real(*a))
+    rows = json.loads(lexicon_scorer.python_scorer(["stupid", "idiot", "scum"])()(prompt))
+    assert [r["scores"]["toxicity"] for r in rows] == [0, 60, 60, 30, 30, 0, 0, 0]
+    assert len(patterns) < len(texts) - 2
