@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, fields
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from commentmill.functions import lexicons as lex
 from commentmill.functions.cut import materialized
-from commentmill.functions.hot import join_keys
 from commentmill.functions.text import (
     BOUNDARY, NOT_WS, PUNCT, SPACE, W, WORD, WS, as_text, in_words, text_map, tokens, within,
 )
@@ -159,37 +162,116 @@ def map_tokens(col: Column, phrases: Mapping[str, str]) -> Column:
     return F.array_join(F.transform(pieces, replace), "")
 
 
+#: Tokens that are sent to every task: so many bytes and lines at most, the commonest first.
+SENT_BYTES, SENT_LINES = 64 << 20, 1_000_000
+#: A token without a phrase is worth sending if it is in so many rows; steps of the count, per doubling.
+OFTEN, STEPS = 16, 8
+#: Pieces whose phrases are looked up at once.
+PIECES_AT_ONCE = 1 << 21
+
+
+def _core_tokens(pieces: Column) -> Column:
+    """The pieces in lower case, null where a piece is not a token that can have a phrase."""
+    return F.transform(pieces, lambda p: F.when(p.rlike(rf"\A{_CORE}\z"), F.lower(p)))
+
+
+def _looked_up(pieces: pa.ListArray, keys: pa.ListArray, words: list[tuple[pa.Array, pa.Array]]) -> pa.Array:
+    """Each row's pieces put together, with the phrase of a piece where one of ``words`` has its key."""
+    out, ends = [], np.append(0, pc.list_value_length(pieces).to_numpy(zero_copy_only=False).cumsum())
+    lo = 0
+    while lo < len(pieces):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PIECES_AT_ONCE, "right")) - 1)
+        own, key = pieces.slice(lo, hi - lo).flatten().cast(pa.large_string()), keys.slice(lo, hi - lo).flatten()
+        found = [phrase.take(pc.index_in(key, value_set=token)) for token, phrase in words]
+        new = pc.coalesce(*found, own)
+        at = np.frombuffer(new.buffers()[1], np.int64)[new.offset:][ends[lo:hi + 1] - ends[lo]]  # put together: fewer cuts
+        out.append(pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(at), new.buffers()[2]).cast(pa.string()))
+        lo = hi
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
+def _lines(sent: Broadcast) -> tuple[pa.Array, pa.Array]:
+    return tuple(sent.value[c].combine_chunks().cast(kind) for c, kind in (("_token", pa.string()), ("_phrase", pa.large_string())))
+
+
+def _phrases_put(sent: Broadcast):
+    """(pieces, tokens[, found]) -> text: phrases of the words that are sent and of those a row brings."""
+    @F.arrow_udf(T.StringType())
+    def common(pieces: pa.Array, keys: pa.Array) -> pa.Array:
+        return _looked_up(pieces, keys, [_lines(sent)])
+
+    @F.arrow_udf(T.StringType())
+    def both(pieces: pa.Array, keys: pa.Array, token: pa.Array, phrase: pa.Array) -> pa.Array:
+        own = token.flatten(), phrase.flatten().cast(pa.large_string())  # a token has one phrase in all rows
+        return _looked_up(pieces, keys, [_lines(sent), own])
+
+    # see augment._token_udf: the input is a column of its own, and named twice
+    return lambda pieces, *rest: F.when(F.size(pieces) == 0, F.lit("")).otherwise(
+        (both if len(rest) > 1 else common).asNondeterministic()(pieces, *rest))
+
+
+def _common(met: DataFrame) -> Column:
+    """Which lines of (_token, _phrase, _n) are sent: all that have a phrase if these are few, else the commonest."""
+    size = F.octet_length("_token") + F.coalesce(F.octet_length("_phrase"), F.lit(0))
+    step = F.floor(F.log2("_n") * STEPS)
+    steps = met.groupBy(step.alias("step")).agg(
+        F.count("*").alias("lines"), F.sum(size).alias("bytes"), F.count("_phrase").alias("known"),
+        F.coalesce(F.sum(F.when(F.col("_phrase").isNotNull(), size)), F.lit(0)).alias("known_bytes")).collect()
+    if sum(r["known"] for r in steps) <= SENT_LINES and sum(r["known_bytes"] for r in steps) <= SENT_BYTES:
+        return F.col("_phrase").isNotNull()
+    least, lines, held = None, 0, 0
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        lines, held = lines + r["lines"], held + r["bytes"]
+        if lines > SENT_LINES or held > SENT_BYTES:
+            break
+        least = r["step"]
+    return F.lit(False) if least is None else step >= least
+
+
 def map_tokens_table(df: DataFrame, text_col: str, phrases: DataFrame, output: str = PROCESSED) -> DataFrame:
     """``map_tokens`` with a (token, phrase) table of any size; adds ``output``.
 
-    The tokens of each row are joined with the table, and what is found comes back as one list of places
-    per row, no longer than the row; the row is rebuilt from the stretches between them. Hot words are
-    joined apart (see ``join_keys``). Rows and their tokens are written once, which fixes the number
-    that rows are known by.
+    The tokens that the texts hold are counted and meet the table. The commonest go to every task, where
+    rows are rebuilt; if that is all that have a phrase, no row moves. Else the others, distinct tokens of
+    distinct texts, are joined with the table, and what is found comes back as one list per text, no longer
+    than the text. Texts are known by a hash, and two with one hash only share their lists, which does no
+    harm. ``df`` is read up to three times and must give the same rows; it is not written.
 
     Missing texts are empty. Tokens of the table are compared in lower case; of a token that is listed
     twice the smallest phrase counts; lines without token or phrase are left out. Equal rows stay.
     """
-    known = (phrases.select(F.lower("token").alias("_token"), F.col("phrase").alias("_phrase")).dropna()
+    known = (phrases.select(F.lower("token").alias("_token"), F.col("phrase").cast("string").alias("_phrase")).dropna()
              .groupBy("_token").agg(F.min("_phrase").alias("_phrase")))
-    pieces = F.regexp_extract_all(as_text(F.col(text_col)), F.lit(_PIECE), F.lit(0))
-    numbered = materialized(df.withColumn("_pieces", pieces).withColumn("_row", F.monotonically_increasing_id()))
-    placed = F.filter(F.transform("_pieces", lambda p, i: F.struct((i + 1).alias("i"), p.alias("p"))),
-                      lambda x: x["p"].rlike(rf"\A{_CORE}\z"))
-    words = materialized(numbered.select("_row", F.inline(placed)).select("_row", "i", F.lower("p").alias("_token")))
-    found = join_keys(words, known, "_token").groupBy("_row").agg(
-        F.sort_array(F.collect_list(F.struct("i", "_phrase"))).alias("_found"))
-    last = F.coalesce(F.get("_found", F.size("_found") - 1)["i"], F.lit(0))
-
-    def stretch(hit: Column, j: Column) -> Column:
-        """What stands before a hit, from the hit before it, and the phrase."""
-        start = F.coalesce(F.get("_found", j - 1)["i"], F.lit(0))
-        return F.concat(F.array_join(F.slice("_pieces", start + 1, hit["i"] - start - 1), ""), hit["_phrase"])
-
-    rest = F.array_join(F.slice("_pieces", last + 1, F.size("_pieces")), "")
-    new = F.concat(F.array_join(F.transform("_found", stretch), ""), rest)
-    return numbered.join(found, "_row", "left").withColumn(
-        output, F.coalesce(new, F.array_join("_pieces", ""))).drop("_row", "_pieces", "_found")
+    text = as_text(F.col(text_col))
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+    tokens_of = F.array_distinct(F.array_compact(_core_tokens(pieces)))
+    counts = df.select(F.explode(tokens_of).alias("_token")).groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    met = materialized(counts.join(known, "_token", "left").filter(F.col("_phrase").isNotNull() | (F.col("_n") >= OFTEN)))
+    common = _common(met)
+    sent = df.sparkSession.sparkContext.broadcast(met.filter(common).select("_token", "_phrase").toArrow())
+    rare = met.filter(~common & F.col("_phrase").isNotNull()).select("_token", "_phrase")
+    put, rest = _phrases_put(sent), []
+    rows = df.withColumn("_text", text)
+    if not rare.isEmpty():
+        def not_sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = _lines(sent)[0]
+            for batch in batches:
+                keys = batch.column("_tokens")
+                row = pc.list_parent_indices(keys)
+                some = pc.invert(pc.is_in(keys.flatten(), value_set=words))
+                yield pa.RecordBatch.from_arrays([batch.column("_hash").take(row.filter(some)), keys.flatten().filter(some)],
+                                                 ["_hash", "_token"])
+
+        others = df.select(F.xxhash64(text).alias("_hash"), tokens_of.alias("_tokens")).mapInArrow(
+            not_sent, "_hash bigint, _token string")
+        found = others.join(rare, "_token").groupBy("_hash").agg(
+            F.collect_set(F.struct("_token", "_phrase")).alias("_found"))
+        rows = rows.withColumn("_hash", F.xxhash64("_text")).join(found, "_hash", "left")
+        rest = [F.col("_found._token"), F.col("_found._phrase")]
+    cut = rows.withColumn("_pieces", F.regexp_extract_all("_text", F.lit(_PIECE), F.lit(0)))
+    cut = cut.withColumn("_keys", _core_tokens(F.col("_pieces")))
+    own = dict.fromkeys([*df.columns, output])
+    return cut.withColumn(output, put(F.col("_pieces"), F.col("_keys"), *rest)).select(*[F.col(f"`{c}`") for c in own])
 
 
 def token_phrases(cfg: CleanConfig, slang: Mapping[str, str] | None = None,

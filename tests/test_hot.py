@@ -58,3 +58,28 @@ def test_many_phrases(spark):
     got = clean.map_tokens_table(df, "text", table)
     for r in got.collect():
         assert r["processed_text"] == " ".join(f"n{t}" if int(t) < 50_000 else t for t in r["text"].split(" "))
+
+
+@pytest.mark.parametrize("sent", [0, 2, 1_000_000])
+def test_phrases_meet_the_rows_whether_sent_or_joined_and_no_row_is_written(spark, monkeypatch, sent):
+    phrases = {"u": "you", "r": "", "can't": "can not", "thx": "thanks $1 \\ x", "ıd": "long " * 300, **{f"w{i}": f"<{i}>" for i in range(90)}}
+    texts = [*TEXTS, "W7 w7, ıD w8 x-w9", " ".join(f"w{i}" for i in range(200)), " ".join(f"w{i}" for i in range(200)), "w3 " * 500]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, processed_text int").repartition(3)
+    table = spark.createDataFrame([*phrases.items(), ("u", "zzz")], "token string, phrase string")
+    written, kept = [], clean.materialized
+
+    def counted(rows):
+        out = kept(rows)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(clean, "materialized", counted)
+    monkeypatch.setattr(clean, "SENT_LINES", sent)
+    monkeypatch.setattr(clean, "OFTEN", 2)
+    monkeypatch.setattr(clean, "PIECES_AT_ONCE", 50)
+    got = clean.map_tokens_table(df, "text", table, "out")
+    want = df.withColumn("out", clean.map_tokens(F.coalesce("text", F.lit("")), phrases))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert max(written) < 250  # distinct tokens, not rows, pieces or words: the texts have more than 4,000
+    again = clean.map_tokens_table(df, "text", table)
+    assert again.columns == ["text", "processed_text"]
