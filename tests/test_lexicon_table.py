@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from commentmill.functions.cut import materialized
+from commentmill.functions.cut import materialized, spread
 from commentmill.operators import lexicon_table, profanity
 from test_profanity import FOUND, MASKED, TERMS
 
@@ -98,3 +98,36 @@ def test_neither_words_nor_forms_are_written(spark, monkeypatch):
     out = by_id(lexicon_table.sanitize_table(df, "t", table, mask_token="#"), "clean_text", "clean_replacements")
     assert out == {i: ("# and a #, " * 500, ["w7", "w8"]) for i in range(4)}
     assert max(written) == 1_000  # the lexicon itself, once per call
+
+
+def test_spelt_terms_are_masked_where_rows_stand(spark):
+    df = spark.createDataFrame([(1, "t r a s h and i.d-iot"), (2, "none")], "i int, t string")
+    out = lexicon_table.sanitize_table(df, "t", lines(spark, ["trash", "idiot"]), mask_token="[x]")
+    assert by_id(out, "clean_text", "clean_replacements") == {1: ("[x] and [x]", ["idiot", "trash"]), 2: ("none", [])}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "regexp_replace" not in plan.lower()
+
+
+def test_masking_in_one_go_is_what_the_patterns_do(spark, monkeypatch):
+    import random
+    draw = random.Random(7)
+    texts = ["".join(draw.choices("aAbBcé _.-'’1ΣıſKß", [6, 2, 6, 2, 4, 1, 12, 2, 2, 1, 1, 1, 1, .1, .1, .1, .1, .2], k=draw.randrange(60)))
+             for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    terms = lines(spark, ["a", "ab", "aab", "bca", "cab", "aaaa", "é1b", "bb", "s", "ßa", "acabb", "kb", "bs"])
+    monkeypatch.setattr(lexicon_table, "RUNS_AT_ONCE", 500)
+    for mask in ("[xx]", "zz", "*q "):
+        got = by_id(lexicon_table.sanitize_table(df, "t", terms, mask_token=mask), "clean_text", "clean_replacements")
+        with monkeypatch.context() as m:
+            m.setattr(lexicon_table, "_masked", lambda *_: None)
+            assert got == by_id(lexicon_table.sanitize_table(df, "t", terms, mask_token=mask), "clean_text", "clean_replacements")
+    assert len({c for c, _ in got.values()}) > 300
+
+
+def test_rows_of_one_partition_are_dealt_to_all_cores(spark):
+    one = spark.range(0, 3_000, 1, 1).select("id", F.lit("a t.r.a.s.h text").alias("t"))
+    out = lexicon_table.scan_table(one, "t", lines(spark, ["text"]))
+    held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) >= 8 and max(held) < 1_000 and sum(held) == 3_000
+    even = one.repartition(8)
+    assert spread(even) is even and spread(one.limit(10)).count() == 10
