@@ -131,3 +131,16 @@ def test_rows_of_one_partition_are_dealt_to_all_cores(spark):
     assert len(held) >= 8 and max(held) < 1_000 and sum(held) == 3_000
     even = one.repartition(8)
     assert spread(even) is even and spread(one.limit(10)).count() == 10
+
+
+@pytest.mark.parametrize("at_once", [3, 500_000])
+def test_direct_hits_of_few_rows_at_a_time(spark, monkeypatch, at_once):
+    """Also where a hit is the s of the hit before it; the terms of raw and undisguised texts."""
+    monkeypatch.setattr(lexicon_table, "RUNS_AT_ONCE", at_once)
+    terms = ["trash", "s", "idiot", "scum"]
+    df = spark.createDataFrame(list(enumerate([*TEXTS, "trash's 's s's's s'x", "$cum 1d10t", "scums' scum's"])), "i int, t string")
+    cols = ["profanity_matches", "profanity_count"]
+    assert by_id(lexicon_table.scan_table(df, "t", lines(spark, terms)), *cols) == by_id(
+        profanity.scan(df, "t", terms), *cols)
+    got = by_id(lexicon_table.sanitize_table(df, "t", lines(spark, terms)), "clean_text", "clean_replacements")
+    assert got == by_id(profanity.sanitize(df, "t", terms), "clean_text", "clean_replacements")
