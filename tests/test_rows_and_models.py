@@ -172,6 +172,14 @@ def test_models(spark, labelled, tmp_path):
         model.investigate(labelled.limit(5), text_col="text", label_col="y", key="k")
 
 
+def test_neighbours_take_the_features_that_are_fitted(spark, labelled, monkeypatch):
+    from commentmill.operators import knn
+    only = {"KNN": model.MODELS["KNN"]}
+    want = model.investigate(labelled, text_col="text", label_col="y", key="k", models=only).collect()
+    monkeypatch.setattr(knn, "vocabulary", None)  # not counted again
+    assert model.investigate(labelled, text_col="text", label_col="y", key="k", models=only).collect() == want
+
+
 def test_comparison_runs_the_real_models(spark, labelled, monkeypatch):
     from commentmill.plans import catalog
     asked = {}
